@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
-FLAGSHIP = ""
-QUERIES: dict = {}
-ORACLES: dict = {}
+from .queries import ORACLES, QUERIES
+
+FLAGSHIP = "border_k"
+__all__ = ["FLAGSHIP", "ORACLES", "QUERIES"]
