@@ -141,6 +141,7 @@ def identify(pages: DataFrame, docs: DataFrame, id_col: str = "page_id", url_col
     # What pages of each language declare and hint at: a table of languages by languages.
     table = {k: np.full((n, n + 2), 1.0) for k in ("said", "hint")}
     for k, t in table.items():
+        t[np.arange(n), np.arange(n)] += PRIOR  # most say what they are
         for r in rows.where("best is not null").groupBy("best", k).agg(F.count(F.lit(1)).alias("m")).collect():
             t[r["best"], r[k]] += r["m"]
     logs_of = {k: np.log(t / t.sum(1, keepdims=True)) for k, t in table.items()}

@@ -214,7 +214,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id"
     texts = cut(_with_text(own, touched).select(*_KEYS, "id", "bytes"))
     whole, todo = _settle(shared, cut)
     found = [whole]
-    for block in (BLOCK, 1):
+    for block in (max(1, min(BLOCK, length // 4)), 1):
         parts = cut(_narrower(texts, todo, length, block))
         whole, todo = _settle(parts, cut)
         found.append(whole)

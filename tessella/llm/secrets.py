@@ -207,7 +207,8 @@ def _from_base64(layer: Layer) -> Iterator[Layer]:
             first, last = np.cumsum(widths) - widths, np.cumsum(widths) - 1
             at = np.array(kept, np.int64)
             lo = at[first // 3 * 4] + a
-            hi = at[np.minimum(last // 3 * 4 + 3, len(at) - 1)] + a
+            group = last // 3 * 4 + 3
+            hi = np.where(group >= len(at) - 1, len(own) - 1, at[np.minimum(group, len(at) - 1)]) + a  # padding goes with the last group
             yield Layer(text, lo if layer.starts is None else layer.starts[lo], hi + 1 if layer.ends is None else layer.ends[hi])
             continue
         start, end = layer.span(a, b)
