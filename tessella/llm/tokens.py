@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import json
 import os
 import re
 import unicodedata
@@ -106,6 +107,17 @@ class Encoder:
         return [kept[piece] for piece in pieces]
 
 
+def lower_case_encoder(tokenizer: Tokenizer, value: Callable[[list[int]], object]) -> Encoder | None:
+    """An Encoder for a tokenizer that composes, lower-cases and cuts by a pattern; None for any other."""
+    spec = json.loads(tokenizer.to_str())
+    steps = [x["type"] for x in (spec["normalizer"] or {}).get("normalizers", [])]
+    cuts = (spec["pre_tokenizer"] or {}).get("pretokenizers", [])
+    known = steps == ["NFC", "Replace", "Lowercase"] and [x["type"] for x in cuts] == ["Split", "ByteLevel"] and cuts[0]["invert"] and cuts[0]["behavior"] == "Removed" and not cuts[1]["add_prefix_space"]
+    if not known or not all(x["content"].startswith("<|") for x in spec["added_tokens"]):
+        return None
+    return Encoder(tokenizer, cuts[0]["pattern"]["Regex"], True, value)
+
+
 def encode_with_offsets(tokenizer: Tokenizer, text: str) -> tuple[list[int], list[tuple[int, int]]]:
     """Ids and their code point ranges; a character split over tokens is in the range of each."""
     made = tokenizer.encode(text, add_special_tokens=False)
@@ -216,11 +228,12 @@ def token_counts(docs: DataFrame, vocab_path: str | None = None, limit: int = TO
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokenizer = Tokenizer.from_str(spec)
+        encoder = lower_case_encoder(tokenizer, len)
         for batch in batches:
             texts, counts = [x or "" for x in batch.column(1).to_pylist()], []
             for a, b in runs(texts, 500_000):
                 small = [x for x in texts[a:b] if len(x) <= chunk]
-                made = iter([len(e.ids) for e in tokenizer.encode_batch_fast(small, add_special_tokens=False)])
+                made = iter([sum(encoder.values(x)) for x in small] if encoder else [len(e.ids) for e in tokenizer.encode_batch_fast(small, add_special_tokens=False)])
                 counts += [next(made) if len(x) <= chunk else resynchronised_count(tokenizer, x, chunk) for x in texts[a:b]]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(x.encode()) for x in texts], pa.int64()), pa.array(counts, pa.int64()), pa.array([n > limit for n in counts], pa.bool_())], names=names)
 

@@ -180,6 +180,15 @@ def test_encoders_match_the_libraries(libraries, text):
     assert tokens.resynchronised_count(word, text * 30, 200, 70) == len(word.encode(text * 30, add_special_tokens=False).ids)
 
 
+def test_token_counts_of_short_and_long_texts(spark, libraries):
+    rng = random.Random(8)
+    texts = ["".join(rng.choice(["Ab ", "it's ", "é", "漢", "12", "<|endoftext|>", "\n"]) for _ in range(n)) for n in (0, 1, 50, 400, 3000)]
+    got = {r.doc_id: r for r in tokens.token_counts(frame(spark, texts), chunk=500, limit=100).collect()}
+    for i, text in enumerate(texts):
+        n = len(libraries[2].encode(text, add_special_tokens=False).ids)
+        assert (got[i].n_tokens, got[i].n_bytes, got[i].over_limit) == (n, len(text.encode()), n > 100)
+
+
 def test_counts_without_a_common_boundary(libraries):
     text = "a" * 5000 + "é" * 3000
     assert tokens.resynchronised_count(libraries[2], text, 300, 80) == len(libraries[2].encode(text, add_special_tokens=False).ids)
