@@ -131,3 +131,43 @@ def group_shares(df: DataFrame, value: Column, *by: str) -> DataFrame:
     k = df.groupBy(*by, value.alias("level")).agg(F.count(F.lit(1)).alias("k"))
     return k.withColumn("share", F.col("k") / F.sum("k").over(Window.partitionBy(*by)))
 
+
+
+def manski_bounds(units: DataFrame, low: float, high: float, *by: str, treated: str = "treated", outcome: str = "outcome") -> DataFrame:
+    """Bounds of the mean effect when nothing is assumed about the unseen outcomes in [low, high]."""
+    p = F.avg(F.col(treated).cast("double"))
+    y1, y0 = F.avg(F.when(F.col(treated) == 1, F.col(outcome))), F.avg(F.when(F.col(treated) == 0, F.col(outcome)))
+    s = units.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), p.alias("p"), F.coalesce(y1, F.lit(0.0)).alias("y1"), F.coalesce(y0, F.lit(0.0)).alias("y0"))
+    top = F.col("y1") * F.col("p") + high * (1 - F.col("p")) - F.col("y0") * (1 - F.col("p")) - low * F.col("p")
+    bottom = F.col("y1") * F.col("p") + low * (1 - F.col("p")) - F.col("y0") * (1 - F.col("p")) - high * F.col("p")
+    return s.select(*by, "n", bottom.alias("lower"), top.alias("upper"))
+
+
+def freedman_lane(records: DataFrame, replicates: int, seed: int, *by: str, outcome: str = "value", group: str = "is_first", covariates: Sequence[str] = ()) -> DataFrame:
+    """Group coefficient given covariates, with a two-sided p-value over permuted residuals of the
+    reduced model. A unit without residual freedom or with a collinear group has nulls."""
+
+    def fit(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        q, r = np.linalg.qr(x)
+        return np.linalg.solve(r, q.T @ y)
+
+    def t_values(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        b = fit(x, y)
+        s2 = ((y - x @ b) ** 2).sum(0) / (len(x) - x.shape[1])
+        return b[-1], b[-1] / np.sqrt(s2 * np.linalg.inv(x.T @ x)[-1, -1])
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values([outcome, group, *covariates])
+        y, g = pdf[outcome].to_numpy(float), pdf[group].to_numpy(float)
+        reduced = np.column_stack([np.ones(len(y)), *(pdf[c].to_numpy(float) for c in covariates)])
+        full, row = np.column_stack([reduced, g]), {**{c: pdf[c].iloc[0] for c in by}, "coefficient": None, "t": None, "p": None}
+        if len(y) > full.shape[1] and np.linalg.matrix_rank(full) == full.shape[1]:
+            b, t = t_values(full, y[:, None])
+            fitted = reduced @ fit(reduced, y)
+            order = shuffles(len(y), replicate_seeds(seed, 11, replicates))
+            _, null = t_values(full, fitted[:, None] + (y - fitted)[order].T)
+            row |= {"coefficient": b[0], "t": t[0], "p": (1 + int((np.abs(null) >= abs(t[0]) - 1e-12).sum())) / (1 + replicates)}
+        return pd.DataFrame([row]).astype({c: "float64" for c in ("coefficient", "t", "p")})
+
+    kinds = {f.name: f.dataType.simpleString() for f in records.schema.fields}
+    return records.groupBy(*by).applyInPandas(run, ", ".join([*(f"{c} {kinds[c]}" for c in by), "coefficient double", "t double", "p double"]))

@@ -211,3 +211,58 @@ def close_pairs(points: DataFrame, radius: float, saturation: int) -> DataFrame:
     """Sufficient statistics of hard-distance models: close pairs, and neighbours capped at saturation."""
     near = pairs(points, None, radius).groupBy("pattern_id", "i").agg(F.count(F.lit(1)).alias("k"))
     return near.groupBy("pattern_id").agg((F.sum("k") / 2).cast("long").alias("close_pairs"), F.sum(F.least("k", F.lit(saturation))).cast("long").alias("saturated"))
+
+
+def disc_census(points: DataFrame, radius: float, classes: Sequence[str], label: str = "label") -> DataFrame:
+    """Share of each class in the disc around every cell, the cell itself included."""
+    met = pairs(points, None, radius, [label], with_self=True)
+    shares = [F.avg(F.when(F.col(f"j_{label}") == c, 1.0).otherwise(0.0)).alias(f"share_{c}") for c in classes]
+    return met.groupBy("pattern_id", F.col("i").alias("idx")).agg(F.count(F.lit(1)).alias("members"), *shares)
+
+
+def exposure(points: DataFrame, radius: float, high: float, treated: str = "mark") -> DataFrame:
+    """Treated share of each unit's neighbours and its exposure class; units without neighbours have none."""
+    near = pairs(points, None, radius, [treated]).groupBy("pattern_id", F.col("i").alias("idx"), F.col(f"i_{treated}").alias("own")).agg(F.avg(f"j_{treated}").alias("share"))
+    kind = F.concat_ws("_", F.when(F.col("own") == 1, "treated").otherwise("control"), F.when(F.col("share") >= high, "high").otherwise("low"))
+    return near.select("pattern_id", "idx", "share", kind.alias("exposure"))
+
+
+def k_3d(points: DataFrame, radii: Sequence[float], volume: float, z: str = "z") -> DataFrame:
+    """Homogeneous K of points in space, uncorrected: volume * ordered pairs / (n (n - 1))."""
+    dz = F.col(f"i_{z}") - F.col(f"j_{z}")
+    met = pairs(points, None, max(radii), [z], unordered=True).withColumn("d3", F.col("d2") + dz * dz)
+    counts = [F.count(F.when(F.col("d3") <= float(r) ** 2, 1)).alias(f"k{i}") for i, r in enumerate(radii)]
+    n = points.groupBy("pattern_id").agg(F.count(F.lit(1)).alias("n"))
+    wide = n.join(met.groupBy("pattern_id").agg(*counts), "pattern_id", "left")
+    each = F.explode(F.array(*[F.struct(F.lit(float(r)).alias("r"), F.coalesce(f"k{i}", F.lit(0)).alias("pairs")) for i, r in enumerate(radii)])).alias("v")
+    out = wide.select("pattern_id", "n", each).select("pattern_id", "n", "v.r", "v.pairs")
+    return out.withColumn("k", F.when(F.col("n") > 1, 2 * volume * F.col("pairs") / (F.col("n") * (F.col("n") - 1))))
+
+
+def moran_permutation(points: DataFrame, radius: float, replicates: int, seed: int, value: str = "value") -> DataFrame:
+    """Moran's I of each pattern with a plus-one p-value over shuffled values; the pattern is the unit
+    of work. Points are taken in index order, so partitions don't matter."""
+    import numpy as np
+    import pandas as pd
+
+    from ..functions.seeds import replicate_seeds, shuffles
+
+    def run(key, own: pd.DataFrame, edges: pd.DataFrame) -> pd.DataFrame:
+        own = own.sort_values("idx")
+        ids, z = own["idx"].to_numpy(), own[value].to_numpy(float)
+        z = z - z.mean()
+        row = {"pattern_id": key[0], "moran_i": None, "p_high": None, "replicates": replicates}
+        if len(edges) and (z * z).sum() > 0:
+            edges = edges.sort_values(["i", "j"])
+            a, b = np.searchsorted(ids, edges["i"].to_numpy()), np.searchsorted(ids, edges["j"].to_numpy())
+            scale = len(z) / len(a) / (z * z).sum()
+            seen = scale * (z[a] * z[b]).sum()
+            hits = 0
+            for some in np.array_split(replicate_seeds(seed, int(key[0]), replicates), max(1, replicates // 64)):
+                zs = z[shuffles(len(z), some)]
+                hits += int((scale * (zs[:, a] * zs[:, b]).sum(1) >= seen - 1e-12).sum())
+            row |= {"moran_i": seen, "p_high": (1 + hits) / (1 + replicates)}
+        return pd.DataFrame([row]).astype({"moran_i": "float64", "p_high": "float64"})
+
+    edges = pairs(points, None, radius, unordered=True).select("pattern_id", "i", "j")
+    return points.select("pattern_id", "idx", value).groupBy("pattern_id").cogroup(edges.groupBy("pattern_id")).applyInPandas(run, "pattern_id long, moran_i double, p_high double, replicates long")

@@ -21,10 +21,10 @@ B = "least(x, 1000.0 - x, y, 1000.0 - y)"
 BI = "least(ix, 1000.0 - ix, iy, 1000.0 - iy)"
 PTS = """pts AS (SELECT l_suppkey::BIGINT AS pattern_id, (((l_orderkey * 8 + l_linenumber) * 1000000 + l_partkey) * 64 + l_quantity::BIGINT)::BIGINT AS idx,
   ((l_partkey * 37 + l_orderkey * 17) % 1000)::DOUBLE AS x, ((l_orderkey * 61 + l_linenumber * 211 + l_partkey * 7) % 1000)::DOUBLE AS y,
-  CASE WHEN l_returnflag = 'R' THEN 1 ELSE 0 END AS mark, l_returnflag AS label, l_linestatus AS stratum, l_quantity::DOUBLE AS value,
+  CASE WHEN l_returnflag = 'R' THEN 1 ELSE 0 END AS mark, l_returnflag AS label, l_linestatus AS stratum, l_quantity::DOUBLE AS value, ((l_partkey * 11 + l_orderkey * 3) % 1000)::DOUBLE AS z,
   (l_discount * 5)::DOUBLE AS pa, (l_tax * 5)::DOUBLE AS pb, (1 - l_discount * 5 - l_tax * 5)::DOUBLE AS pc FROM lineitem)"""
 PR = f"""pr AS (SELECT a.pattern_id, a.idx AS i, b.idx AS j, a.x AS ix, a.y AS iy, b.x AS jx, b.y AS jy, a.label AS il, b.label AS jl,
-  a.value AS iv, b.value AS jv, a.mark AS im, b.mark AS jm, a.pa AS ipa, b.pa AS jpa, a.pb AS ipb, b.pb AS jpb, a.pc AS ipc, b.pc AS jpc,
+  a.value AS iv, b.value AS jv, a.mark AS im, b.mark AS jm, a.pa AS ipa, b.pa AS jpa, a.pb AS ipb, b.pb AS jpb, a.pc AS ipc, b.pc AS jpc, a.z AS iz, b.z AS jz,
   (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) AS d2 FROM pts a JOIN pts b ON a.pattern_id = b.pattern_id
   WHERE a.idx <> b.idx AND abs(a.x - b.x) <= {R} AND abs(a.y - b.y) <= {R} AND (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) <= {R * R})"""
 RS = "rs AS (SELECT unnest([15.0, 30.0, 50.0])::DOUBLE AS r)"
@@ -43,7 +43,7 @@ def points(spark: SparkSession, sf_dir: str) -> DataFrame:
         c("l_suppkey").cast("long").alias("pattern_id"), (((c("l_orderkey").cast("long") * 8 + c("l_linenumber")) * 1000000 + c("l_partkey")) * 64 + c("l_quantity").cast("long")).alias("idx"),
         d((c("l_partkey") * 37 + c("l_orderkey") * 17) % 1000).alias("x"), d((c("l_orderkey") * 61 + c("l_linenumber") * 211 + c("l_partkey") * 7) % 1000).alias("y"),
         F.when(c("l_returnflag") == "R", 1).otherwise(0).alias("mark"), c("l_returnflag").alias("label"), c("l_linestatus").alias("stratum"), d(c("l_quantity")).alias("value"),
-        d(c("l_discount") * 5).alias("pa"), d(c("l_tax") * 5).alias("pb"), d(1 - c("l_discount") * 5 - c("l_tax") * 5).alias("pc"), c("l_linenumber").cast("int").alias("component"),
+        d(c("l_discount") * 5).alias("pa"), d(c("l_tax") * 5).alias("pb"), d(1 - c("l_discount") * 5 - c("l_tax") * 5).alias("pc"), c("l_linenumber").cast("int").alias("component"), d((c("l_partkey") * 11 + c("l_orderkey") * 3) % 1000).alias("z"),
     )
 
 
@@ -621,3 +621,43 @@ def sinkhorn_plan(t):
 @query()
 def conditional_csr(pts):
     return models.uniform_points(pts.groupBy("pattern_id").agg(F.count(F.lit(1)).alias("n")), WINDOW, 7)
+
+
+@query(f"""WITH {PTS}, {PR}, u AS (SELECT pattern_id, i AS idx, jl AS l FROM pr WHERE d2 <= 900 UNION ALL SELECT pattern_id, idx, label FROM pts)
+    SELECT pattern_id, idx, count(*) AS members, {q("avg((l = 'A')::INT)")} AS "share_A", {q("avg((l = 'N')::INT)")} AS "share_N", {q("avg((l = 'R')::INT)")} AS "share_R" FROM u GROUP BY 1, 2""")
+def disc_census(pts):
+    return neighbourhood.disc_census(pts, 30.0, ["A", "N", "R"])
+
+
+@query(f"""WITH {PTS}, {PR} SELECT pattern_id, i AS idx, {q('avg(jm)')} AS share, CASE WHEN any_value(im) = 1 THEN 'treated' ELSE 'control' END || '_' || CASE WHEN avg(jm) >= 0.5 THEN 'high' ELSE 'low' END AS exposure FROM pr GROUP BY 1, 2""")
+def exposure_mapping(pts):
+    return neighbourhood.exposure(pts, R, 0.5)
+
+
+@query(f"""{BASE}, {_N}, c AS (SELECT pattern_id, r, count(*) AS pairs FROM pr, rs WHERE i < j AND d2 + (iz - jz) * (iz - jz) <= r * r GROUP BY 1, 2)
+    SELECT pattern_id, n, r, coalesce(pairs, 0) AS pairs, CASE WHEN n > 1 THEN {q('2 * 1000000000.0 * coalesce(pairs, 0) / (n * (n - 1))')} END AS k FROM n CROSS JOIN rs LEFT JOIN c USING (pattern_id, r)""")
+def homogeneous_k3d(pts):
+    return neighbourhood.k_3d(pts, RADII, 1e9)
+
+
+@query(f"""WITH {PTS}, {PR}, b AS (SELECT * FROM (VALUES (0, 0.0, 15.0, false), (1, 15.0, 30.0, false), (2, 30.0, 50.0, true)) t(bin, lo, hi, closed)),
+    c AS (SELECT pattern_id, bin, count(*) AS pairs, avg(0.5 * ((ipa - jpa) * (ipa - jpa) + (ipb - jpb) * (ipb - jpb) + (ipc - jpc) * (ipc - jpc))) AS gamma FROM pr, b WHERE i < j AND d2 >= lo * lo AND (d2 < hi * hi OR closed AND d2 <= hi * hi) GROUP BY 1, 2)
+    SELECT pattern_id, bin::INT AS bin, coalesce(pairs, 0) AS pairs, {q('gamma')} AS gamma FROM (SELECT DISTINCT pattern_id FROM pts) CROSS JOIN b LEFT JOIN c USING (pattern_id, bin)""")
+def vector_semivariogram(pts):
+    return embedding.vector_semivariogram(pts.withColumn("vec", F.array("pa", "pb", "pc")), "vec", [0.0, 15.0, 30.0, 50.0])
+
+
+@query(f"""WITH {PTS}, s AS (SELECT pattern_id, count(*) AS n, avg(mark) AS p, coalesce(avg(value) FILTER (mark = 1), 0) AS y1, coalesce(avg(value) FILTER (mark = 0), 0) AS y0 FROM pts GROUP BY 1)
+    SELECT pattern_id, n, {q('y1 * p + 0 * (1 - p) - y0 * (1 - p) - 50 * p')} AS lower, {q('y1 * p + 50 * (1 - p) - y0 * (1 - p) - 0 * p')} AS upper FROM s""")
+def manski_bounds(pts):
+    return cohort.manski_bounds(pts, 0.0, 50.0, "pattern_id", treated="mark", outcome="value")
+
+
+@query()
+def moran_permutation(pts):
+    return neighbourhood.moran_permutation(pts, R, 99, 123456789)
+
+
+@query()
+def covariate_permutation(pts):
+    return cohort.freedman_lane(pts.select("pattern_id", "value", (F.col("mark") == 1).alias("is_first"), "pa"), 99, 123456789, "pattern_id", covariates=["pa"])

@@ -125,3 +125,17 @@ def test_window_with_a_hole(spark, tmp_path):
     pts = spark.createDataFrame([(1.0, 2.0), (5.0, 5.0), (4.0, 5.0), (11.0, 5.0), (10.0, 3.0)], "x double, y double")
     got = {(r.x, r.y): (r.inside, r.boundary_distance) for r in cells.in_window(pts, edges).collect()}
     assert got == {(1, 2): (True, 1), (5, 5): (False, 1), (4, 5): (True, 0), (11, 5): (False, 1), (10, 3): (True, 0)}
+
+
+def test_permuted_moran_keeps_the_observed_value(spark, cloud):
+    a, b = neighbourhood.moran_permutation(cloud[1], 1.5, 99, 3).first(), point_process.moran(cloud[1], 1.5).first()
+    assert a.moran_i == pytest.approx(b.moran_i) and 0.01 <= a.p_high <= 1
+    again = neighbourhood.moran_permutation(cloud[1].repartition(7, "idx"), 1.5, 99, 3).first()
+    assert again == a
+
+
+def test_covariate_permutation_finds_a_group_effect(spark):
+    rng = np.random.default_rng(2)
+    rows = [(1, float(5 * (i % 2) + 3 * c + rng.normal()), bool(i % 2), float(c)) for i, c in enumerate(rng.normal(size=60))]
+    got = cohort.freedman_lane(spark.createDataFrame(rows, "unit int, value double, is_first boolean, c double"), 99, 1, "unit", covariates=["c"]).first()
+    assert got.coefficient == pytest.approx(5, abs=1) and got.p == 0.01
