@@ -253,3 +253,151 @@ def mean_nearest(points: DataFrame, reach: float) -> DataFrame:
     """Mean distance to the nearest neighbour, over points that have one within reach."""
     near = nearest(points.select("pattern_id", "idx", "x", "y"), None, reach)
     return near.groupBy("pattern_id").agg(F.avg(F.sqrt("d2")).alias("mean_distance"), F.count(F.lit(1)).alias("points"))
+
+
+def _inside(window: Rect, x: str, y: str, d: str = "d") -> Column:
+    """Share of the circle of radius d around a point that lies in the window; 1 for d = 0.
+
+    Each side cuts off an arc; two arcs that meet beyond a corner share part of it. Right for
+    radii up to half the shorter side, where opposite sides' arcs can't meet.
+    """
+    x0, y0, x1, y1 = map(float, window)
+    arc = lambda gap: F.acos(F.least(F.lit(1.0), gap / F.nullif(F.col(d), F.lit(0.0))))
+    across, along = [arc(F.col(x) - x0), arc(x1 - F.col(x))], [arc(F.col(y) - y0), arc(y1 - F.col(y))]
+    out = 2 * (across[0] + across[1] + along[0] + along[1])
+    for a in across:
+        for b in along:
+            out = out - F.greatest(F.lit(0.0), a + b - F.pi() / 2)
+    return 1 - out / (2 * F.pi())
+
+
+def _isotropic(points: DataFrame, reach: float, window: Rect) -> DataFrame:
+    if 2 * reach > min(window[2] - window[0], window[3] - window[1]):
+        raise ValueError("radii must not exceed half the window's shorter side")
+    met = pairs(points, None, reach, unordered=True).withColumn("d", F.sqrt("d2"))
+    return met.withColumn("w", 1 / _inside(window, "i_x", "i_y") + 1 / _inside(window, "j_x", "j_y"))
+
+
+def isotropic_k(points: DataFrame, radii: Sequence[float], window: Rect) -> DataFrame:
+    """K and L with each pair weighted by the inverse shares of its two circles in the window."""
+    sums = _at_radii(points, _isotropic(points, max(radii), window), radii).groupBy("pattern_id", "r").agg(F.sum("w").alias("weight"))
+    n = points.groupBy("pattern_id").agg(F.count(F.lit(1)).alias("n"))
+    out = on_all(sums, n.select("pattern_id"), levels(points, r=[float(r) for r in radii]), ["r"]).join(n, "pattern_id")
+    k = F.when(F.col("n") > 1, area(window) * F.coalesce("weight", F.lit(0.0)) / (F.col("n") * (F.col("n") - 1)))
+    return out.select("pattern_id", "r", "n", k.alias("k")).withColumn("l", F.sqrt(F.col("k") / F.pi()))
+
+
+def _kernel(met: DataFrame, radii: Sequence[float], h: float) -> DataFrame:
+    """met at each radius whose open Epanechnikov kernel holds the pair, with the kernel's value e."""
+    at = met.select("*", F.explode(F.array(*[F.lit(float(x)) for x in radii])).alias("r")).where(F.abs(F.col("r") - F.col("d")) < h)
+    u = (F.col("r") - F.col("d")) / h
+    return at.withColumn("e", 0.75 * (1 - u * u) / h)
+
+
+def isotropic_g(points: DataFrame, radii: Sequence[float], bandwidth: float, window: Rect) -> DataFrame:
+    """Pair correlation with the isotropic weights."""
+    h = float(bandwidth)
+    sums = _kernel(_isotropic(points, max(radii) + h, window), radii, h).groupBy("pattern_id", "r").agg(F.sum(F.col("e") * F.col("w")).alias("weight"))
+    n = points.groupBy("pattern_id").agg(F.count(F.lit(1)).alias("n"))
+    out = on_all(sums, n.select("pattern_id"), levels(points, r=[float(r) for r in radii]), ["r"]).join(n, "pattern_id")
+    g = area(window) * F.coalesce("weight", F.lit(0.0)) / (2 * F.pi() * F.col("r") * F.col("n") * (F.col("n") - 1))
+    return out.select("pattern_id", "r", "n", F.when(F.col("n") > 1, g).alias("g"))
+
+
+def cross_g(points: DataFrame, source: str, target: str, radii: Sequence[float], bandwidth: float, window: Rect) -> DataFrame:
+    """Border-corrected pair correlation from one label to another; sources eligible at r + bandwidth."""
+    h, own, other = float(bandwidth), points.where(F.col("label") == source), points.where(F.col("label") == target)
+    met = _kernel(pairs(own, other, max(radii) + h).withColumn("d", F.sqrt("d2")), radii, h)
+    sums = met.where(F.col("r") + h <= boundary_distance(window, "i_x", "i_y")).groupBy("pattern_id", "r").agg(F.sum("e").alias("weight"))
+    targets = other.groupBy("pattern_id").agg(F.count(F.lit(1)).alias("targets"))
+    out = _eligible(own, radii, window, h).join(targets, "pattern_id").join(sums, ["pattern_id", "r"], "left")
+    g = area(window) * F.coalesce("weight", F.lit(0.0)) / (2 * F.pi() * F.col("r") * F.col("targets") * F.col("eligible"))
+    return out.select("pattern_id", "r", F.col("n").alias("sources"), "targets", "eligible", F.when(F.col("eligible") > 0, g).alias("g"))
+
+
+def inhomogeneous_g(points: DataFrame, intensity: Column, radii: Sequence[float], bandwidth: float, window: Rect) -> DataFrame:
+    """Pair correlation of a pattern whose intensity varies; pairs count 1 / (intensity_i * intensity_j)."""
+    h, rich = float(bandwidth), points.withColumn("lam", intensity)
+    met = _kernel(pairs(rich, None, max(radii) + h, ["lam"]).withColumn("d", F.sqrt("d2")), radii, h)
+    top = met.where(F.col("r") + h <= boundary_distance(window, "i_x", "i_y")).groupBy("pattern_id", "r").agg(F.sum(F.col("e") / (F.col("i_lam") * F.col("j_lam"))).alias("top"))
+    b = boundary_distance(window)
+    low = rich.select("pattern_id", "lam", F.explode(F.array(*[F.lit(float(r)) for r in radii])).alias("r"), b.alias("b")).where(F.col("r") + h <= F.col("b"))
+    low = low.groupBy("pattern_id", "r").agg(F.sum(1 / F.col("lam")).alias("low"))
+    return low.join(top, ["pattern_id", "r"], "left").select("pattern_id", "r", (F.coalesce("top", F.lit(0.0)) / F.col("low") / (2 * F.pi() * F.col("r"))).alias("g"))
+
+
+def bandwidth_selection(points: DataFrame, bandwidths: Sequence[float], reach: float, least: float = 1e-12) -> DataFrame:
+    """Mean log leave-one-out intensity of each Gaussian bandwidth; the first best one is selected.
+
+    Events with no other within reach count as intensity `least`.
+    """
+    met = pairs(points, None, reach)
+    sums = [F.sum(F.exp(-F.col("d2") / (2.0 * float(h) ** 2))).alias(f"s{k}") for k, h in enumerate(bandwidths)]
+    at = points.select("pattern_id", "idx").join(met.groupBy("pattern_id", F.col("i").alias("idx")).agg(*sums), ["pattern_id", "idx"], "left")
+    each = F.explode(F.array(*[F.struct(F.lit(float(h)).alias("bandwidth"), (F.coalesce(f"s{k}", F.lit(0.0)) / (2 * F.pi() * float(h) ** 2)).alias("lam")) for k, h in enumerate(bandwidths)]))
+    score = at.select("pattern_id", each.alias("v")).groupBy("pattern_id", "v.bandwidth").agg(F.avg(F.log(F.greatest(F.col("v.lam"), F.lit(float(least))))).alias("score"))
+    best = score.groupBy("pattern_id").agg(F.max(F.struct("score", F.negative("bandwidth").alias("o"))).alias("best"))
+    return score.join(best, "pattern_id").select("pattern_id", "bandwidth", "score", (F.col("bandwidth") == -F.col("best.o")).alias("selected"))
+
+
+def poisson_log_likelihood(points: DataFrame, log_intensity: Column, window: Rect, grid: int) -> DataFrame:
+    """Sum of the events' log intensities less the intensity's integral over midpoints of a grid."""
+    x0, y0, x1, y1 = map(float, window)
+    dx, dy, n = (x1 - x0) / grid, (y1 - y0) / grid, F.col("id")
+    nodes = points.sparkSession.range(grid * grid).select((x0 + (n % grid + 0.5) * dx).alias("x"), (y0 + (F.floor(n / grid) + 0.5) * dy).alias("y"))
+    integral = nodes.agg((F.sum(F.exp(log_intensity)) * dx * dy).alias("integral"))
+    events = points.groupBy("pattern_id").agg(F.count(F.lit(1)).alias("n"), F.sum(log_intensity).alias("events"))
+    return events.join(F.broadcast(integral)).select("pattern_id", "n", "events", "integral", (F.col("events") - F.col("integral")).alias("log_likelihood"))
+
+
+def conditional_intensity(points: DataFrame, radius: float, log_beta: float, log_gamma: float) -> DataFrame:
+    """Log conditional intensity of a pairwise-interaction process at each event, given the others."""
+    near = pairs(points, None, radius).groupBy("pattern_id", F.col("i").alias("idx")).agg(F.count(F.lit(1)).alias("t"))
+    out = points.select("pattern_id", "idx").join(near, ["pattern_id", "idx"], "left").select("pattern_id", "idx", F.coalesce("t", F.lit(0)).alias("neighbours"))
+    return out.withColumn("log_intensity", log_beta + log_gamma * F.col("neighbours"))
+
+
+def minimum_contrast(curves: DataFrame, densities: Sequence[float], scales: Sequence[float], power: float = 0.25) -> DataFrame:
+    """Cluster process fitted to K curves (pattern_id, r, k): parent density and scale of least contrast.
+
+    The contrast is the sum over radii of (observed^power - model^power)^2, over a parameter grid;
+    ties keep the smallest density, then scale.
+    """
+    grid = F.explode(F.array(*[F.struct(F.lit(float(a)).alias("density"), F.lit(float(s)).alias("scale")) for a in densities for s in scales]))
+    model = F.pi() * F.col("r") * F.col("r") + (1 - F.exp(-F.col("r") * F.col("r") / (4 * F.col("g.scale") * F.col("g.scale")))) / F.col("g.density")
+    gap = F.pow("k", F.lit(power)) - F.pow(model, F.lit(power))
+    at = curves.where("k is not null").select("pattern_id", "r", "k", grid.alias("g")).groupBy("pattern_id", "g").agg(F.sum(gap * gap).alias("contrast"))
+    best = at.groupBy("pattern_id").agg(F.min(F.struct("contrast", "g.density", "g.scale")).alias("b"))
+    return best.select("pattern_id", "b.density", "b.scale", "b.contrast")
+
+
+def cross_covariance(points: DataFrame, radii: Sequence[float], first: str, second: str) -> DataFrame:
+    """Mean product of the deviations of `first` at one point and `second` at the other, per shell."""
+    mean = points.groupBy("pattern_id").agg(F.avg(first).alias("mf"), F.avg(second).alias("ms"))
+    rich = points.join(mean, "pattern_id").withColumn("f", F.col(first) - F.col("mf")).withColumn("s", F.col(second) - F.col("ms"))
+    met = pairs(rich, None, max(radii), ["f", "s"]).withColumn("shell", shells(radii))
+    return met.groupBy("pattern_id", "shell").agg(F.count(F.lit(1)).alias("pairs"), F.avg(F.col("i_f") * F.col("j_s")).alias("covariance"))
+
+
+def kernel_mark_correlation(points: DataFrame, radii: Sequence[float], columns: Sequence[str]) -> DataFrame:
+    """Mean linear kernel of the pairs of each shell, over its mean for all pairs of the pattern.
+
+    The normaliser needs no pairs: it is (|sum of v|^2 - sum of |v|^2) / (n (n - 1)).
+    """
+    total = sum((F.sum(c) * F.sum(c) - F.sum(F.col(c) * F.col(c)) for c in columns[1:]), F.sum(columns[0]) * F.sum(columns[0]) - F.sum(F.col(columns[0]) * F.col(columns[0])))
+    n = F.count(F.lit(1))
+    whole = points.groupBy("pattern_id").agg(F.when(n > 1, total / F.nullif(n * (n - 1), F.lit(0))).alias("whole"))
+    dot = sum((F.col(f"i_{c}") * F.col(f"j_{c}") for c in columns[1:]), F.col(f"i_{columns[0]}") * F.col(f"j_{columns[0]}"))
+    met = pairs(points, None, max(radii), columns, unordered=True).withColumn("shell", shells(radii))
+    return met.groupBy("pattern_id", "shell").agg(F.count(F.lit(1)).alias("pairs"), F.avg(dot).alias("mean")).join(whole, "pattern_id").select("pattern_id", "shell", "pairs", (F.col("mean") / F.nullif("whole", F.lit(0.0))).alias("correlation"))
+
+
+def cross_k3d(points: DataFrame, source: str, target: str, radii: Sequence[float], volume: float) -> DataFrame:
+    """Directed K in three dimensions (x, y, z), uncorrected: volume * pairs / (sources * targets)."""
+    own, other = points.where(F.col("label") == source), points.where(F.col("label") == target)
+    dz = F.col("i_z") - F.col("j_z")
+    met = _at_radii(points, pairs(own, other, max(radii), ["z"]).withColumn("d2", F.col("d2") + dz * dz), radii)
+    counts = met.groupBy("pattern_id", "r").agg(F.count(F.lit(1)).alias("pairs"))
+    n = own.groupBy("pattern_id").agg(F.count(F.lit(1)).alias("sources")).join(other.groupBy("pattern_id").agg(F.count(F.lit(1)).alias("targets")), "pattern_id")
+    out = on_all(counts, n.select("pattern_id"), levels(points, r=[float(r) for r in radii]), ["r"]).join(n, "pattern_id").withColumn("pairs", F.coalesce("pairs", F.lit(0)))
+    return out.select("pattern_id", "r", "sources", "targets", "pairs", (volume * F.col("pairs") / (F.col("sources") * F.col("targets"))).alias("k"))

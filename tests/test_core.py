@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessella.functions import core, seeds
-from tessella.operators import cohort, models, neighbourhood, point_process, tables
+from tessella.operators import cohort, groups, models, morphology, neighbourhood, point_process, tables
 from tessella.sources import cells
 
 SCHEMA = "pattern_id long, idx long, x double, y double, mark int, label string, value double"
@@ -139,3 +139,57 @@ def test_covariate_permutation_finds_a_group_effect(spark):
     rows = [(1, float(5 * (i % 2) + 3 * c + rng.normal()), bool(i % 2), float(c)) for i, c in enumerate(rng.normal(size=60))]
     got = cohort.freedman_lane(spark.createDataFrame(rows, "unit int, value double, is_first boolean, c double"), 99, 1, "unit", covariates=["c"]).first()
     assert got.coefficient == pytest.approx(5, abs=1) and got.p == 0.01
+
+
+def test_isotropic_weights_of_a_corner_and_an_edge(spark):
+    pts = spark.createDataFrame([(1, 1, 0.0, 0.0), (1, 2, 1.0, 0.0), (2, 1, 5.0, 5.0), (2, 2, 5.0, 6.0)], "pattern_id long, idx long, x double, y double")
+    got = {r.pattern_id: r.k for r in point_process.isotropic_k(pts, [2.0], (0.0, 0.0, 10.0, 10.0)).collect()}
+    # a quarter of the corner's circle lies inside, half of that of a point one radius along the edge
+    assert got[1] == pytest.approx(100 * (4 + 2) / 2)
+    assert got[2] == pytest.approx(100 * (1 + 1) / 2)
+    with pytest.raises(ValueError):
+        point_process.isotropic_k(pts, [6.0], (0.0, 0.0, 10.0, 10.0))
+
+
+def test_raster_with_a_hole_and_its_boxes(spark):
+    ring = [(x, y) for x in range(3) for y in range(3) if (x, y) != (1, 1)]
+    pts = spark.createDataFrame([(1, k, x + 0.5, y + 0.5) for k, (x, y) in enumerate(ring)], "pattern_id long, idx long, x double, y double")
+    r = morphology.raster_morphology(pts, 1.0).first()
+    assert (r.area, r.perimeter, r.euler) == (8.0, 16.0, 0)
+    boxes = {r.size: r.lacunarity for r in morphology.lacunarity(pts, 1.0, 3, [1, 3]).collect()}
+    assert boxes == {1: pytest.approx(8 / 9 / (8 / 9) ** 2), 3: pytest.approx(1.0)}
+
+
+def test_landmarks_turned_and_moved_fit_without_residual(spark):
+    marks = [(1, x, y, -y + 3.0, x - 2.0) for x, y in ((0.0, 0.0), (1.0, 0.0), (0.0, 2.0), (3.0, 1.0))]
+    line = [(2, float(x), float(x), 0.0, 0.0) for x in range(3)]
+    got = {r.pattern_id: r for r in morphology.landmark_fits(spark.createDataFrame(marks + line, "pattern_id long, x double, y double, u double, v double")).collect()}
+    r = got[1]
+    assert (r.theta, r.shift_x, r.shift_y, r.b, r.f) == pytest.approx((np.pi / 2, 3.0, -2.0, -1.0, -2.0))
+    assert r.rigid_rmse < 1e-6 and r.affine_rmse < 1e-6
+    assert got[2].a is None  # landmarks on one line have no affine fit
+
+
+def test_half_defect_in_a_ring_of_directors(spark):
+    angles = [(1, 0, 0, 0.0), (1, 1, 0, 0.8), (1, 1, 1, 1.5), (1, 0, 1, 2.4)]
+    field = spark.createDataFrame(angles, "pattern_id long, gx long, gy long, director double")
+    assert [r.charge for r in morphology.half_defects(field).collect()] == [0.5]
+
+
+def test_energy_distance_and_mmd_equal_all_pairs(spark):
+    rng = np.random.default_rng(4)
+    a, b = rng.integers(0, 6, 9).astype(float), rng.integers(2, 9, 7).astype(float)
+    rows = spark.createDataFrame([(1, True, float(x)) for x in a] + [(1, False, float(x)) for x in b] + [(2, True, 1.0)], "site int, is_first boolean, value double")
+    gap = lambda p, q: np.abs(p[:, None] - q[None]).mean()
+    assert [(r.site, pytest.approx(r.energy)) for r in groups.energy_distance(rows, "site").collect()] == [(1, 2 * gap(a, b) - gap(a, a) - gap(b, b))]
+    u, v = rng.normal(size=(5, 3)), rng.normal(size=(4, 3))
+    vectors = spark.createDataFrame([(0, x.tolist()) for x in u] + [(1, x.tolist()) for x in v], "label int, v array<double>")
+    r = groups.linear_mmd(vectors, "label", "v", 0).first()
+    off = lambda m: (m.sum() - np.trace(m)) / (len(m) * (len(m) - 1))
+    assert r.biased == pytest.approx(((u.mean(0) - v.mean(0)) ** 2).sum())
+    assert r.unbiased == pytest.approx(off(u @ u.T) + off(v @ v.T) - 2 * (u @ v.T).mean())
+
+
+def test_conformal_quantile_of_a_small_group_is_null(spark):
+    rows = spark.createDataFrame([("a", k / 20) for k in range(19)] + [("b", 0.5)], "g string, score double")
+    assert {r.g: r.quantile for r in groups.conformal_quantiles(rows, "g", "score", 0.1).collect()} == {"a": 17 / 20, "b": None}
