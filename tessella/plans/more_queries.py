@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..operators import cohort, graphs, groups, morphology, point_process
-from .queries import _MODES, _N, _PAT, _SC, _SF, _WE, AREA, BASE, BI, PR, PTS, RADII, WINDOW, B, _patients, _powers, _scores, q, query, table_query
+from ..operators import cohort, dynamics, graphs, groups, inference, morphology, point_process
+from .queries import _MODES, _N, _PAT, _SC, _SF, _WE, _null, AREA, BASE, BI, PR, PTS, RADII, WINDOW, B, _patients, _powers, _scores, q, query, table_query
 
 # Edge corrections and fits of point patterns -----------------------------------------------------
 
@@ -294,3 +294,102 @@ def abstention(t):
     SELECT lang, weight, {q('v')} AS log_score, row_number() OVER (PARTITION BY lang ORDER BY round(v, 9) DESC, weight) = 1 AS selected FROM m""")
 def log_score_weights(t):
     return groups.log_score_weights(_scores(t).withColumn("base", F.lit(0.6)), "lang", "score", "base", "label")
+
+
+# Permutation nulls, local prediction, dynamics ---------------------------------------------------
+
+
+@table_query()
+def step_down_max_t(t):
+    return inference.step_down(_null(t), "site")
+
+
+@query()
+def paired_sign_flips(pts):
+    return inference.sign_flips(pts.withColumn("difference", F.col("z") - F.col("x")), 199, 31, "pattern_id")
+
+
+@query()
+def cluster_bootstrap(pts):
+    return inference.bootstrap_mean(pts, 199, 17, 0.1, "pattern_id", "component")
+
+
+@query()
+def shuffled_enrichment(pts):
+    return inference.shuffled_enrichment(pts, 30.0, 99, 5)
+
+
+@query()
+def stratified_enrichment(pts):
+    return inference.shuffled_enrichment(pts, 30.0, 99, 5, stratum="stratum")
+
+
+@query()
+def ordinary_kriging(pts):
+    spots = pts.sparkSession.range(25).select(F.col("id").alias("idx"), ((F.col("id") % 5) * 200.0 + 100).alias("x"), (F.floor(F.col("id") / 5) * 200.0 + 100).alias("y"))
+    targets = pts.select("pattern_id").distinct().crossJoin(F.broadcast(spots))  # 25 fixed spots a pattern
+    return inference.kriging(pts, targets, 150.0, 8, 200.0, 80.0, 10.0)
+
+
+@query()
+def neighbour_information(pts):
+    return inference.neighbour_information(pts, "value", "z", 3)
+
+
+@query()
+def connectivity_transition(pts):
+    return inference.merge_curve(pts, [10.0, 20.0, 30.0, 40.0, 50.0])
+
+
+@table_query(f"""WITH {_PAT}, u AS (SELECT grp, site, count(*) AS n, avg(value) AS m, var_pop(value) * count(*) AS ss FROM p GROUP BY 1, 2),
+    a AS (SELECT sum(n * m) / sum(n) AS g, sum(ss) / (sum(n) - count(*)) AS w, sum(n * m * m) - sum(n * m) * (sum(n * m) / sum(n)) AS b, count(*) AS k, sum(n) - sum(n * n) / sum(n) AS d FROM u), v AS (SELECT g, w, greatest(0.0, (b - (k - 1) * w) / d) AS t FROM a)
+    SELECT grp || '_' || site AS unit, n, {q('m', 3)} AS mean, {q('n * t / (n * t + w)')} AS weight, {q('g + n * t / (n * t + w) * (m - g)', 3)} AS shrunken FROM u, v""")
+def hierarchical_means(t):
+    rows = _patients(t).select(F.concat_ws("_", "grp", "site").alias("unit"), "value")
+    return inference.shrunken_means(rows, "unit").withColumns({c: F.round(c, 3) for c in ("mean", "shrunken")})
+
+
+@query()
+def hamiltonian_mean(pts):
+    s = pts.groupBy("pattern_id").agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("s"))
+    return inference.hamiltonian_mean(s, "pattern_id", 20.0, 100.0, 225.0, 200, 3)
+
+
+_C = [(1 if k == 0 else 2) * (-1) ** k * dynamics._bessel(k, 1.0) * 2.718281828459045**-1 for k in range(4)]
+_STEP = "SELECT e.pattern_id, e.i AS idx, sum(e.w * s.v) AS m FROM e JOIN {0} s ON s.pattern_id = e.pattern_id AND s.idx = e.j GROUP BY 1, 2"
+
+
+@query(f"""WITH {PTS}, {PR}, e0 AS (SELECT pattern_id, i, j FROM pr WHERE d2 <= 900), g AS (SELECT pattern_id, i, count(*) AS deg FROM e0 GROUP BY 1, 2),
+    e AS (SELECT e0.pattern_id, e0.i, e0.j, -1 / sqrt(a.deg * b.deg) AS w FROM e0 JOIN g a ON a.pattern_id = e0.pattern_id AND a.i = e0.i JOIN g b ON b.pattern_id = e0.pattern_id AND b.i = e0.j),
+    t0 AS (SELECT pattern_id, idx, value AS v FROM pts), m1 AS ({_STEP.format('t0')}), t1 AS (SELECT pattern_id, idx, coalesce(m, 0) AS v FROM t0 LEFT JOIN m1 USING (pattern_id, idx)),
+    m2 AS ({_STEP.format('t1')}), t2 AS (SELECT pattern_id, idx, 2 * coalesce(m, 0) - t0.v AS v FROM t0 LEFT JOIN m2 USING (pattern_id, idx)),
+    m3 AS ({_STEP.format('t2')}), t3 AS (SELECT pattern_id, idx, 2 * coalesce(m, 0) - t1.v AS v FROM t1 LEFT JOIN m3 USING (pattern_id, idx))
+    SELECT pattern_id, idx, {q(f'{_C[0]!r} * t0.v + {_C[1]!r} * t1.v + {_C[2]!r} * t2.v + {_C[3]!r} * t3.v')} AS heat FROM t0 JOIN t1 USING (pattern_id, idx) JOIN t2 USING (pattern_id, idx) JOIN t3 USING (pattern_id, idx)""")
+def chebyshev_heat(pts):
+    return dynamics.chebyshev_heat(pts, 30.0, 1.0, 3)
+
+
+@table_query()
+def growth_front(t):
+    s = t("supplier").select(F.col("s_suppkey").alias("key"), (0.5 + F.col("s_suppkey") % 5 / 10).alias("rate"), (0.5 + F.col("s_suppkey") % 3 / 4).alias("diffusion"))
+    return dynamics.growth_front(s, 80, 1.0, 0.1, 200)
+
+
+@table_query()
+def competition(t):
+    k = F.col("s_suppkey")
+    return dynamics.competition(t("supplier").select(k.alias("key"), (0.5 + k % 7 / 5).alias("a"), (0.5 + k % 4 / 3).alias("b"), (0.1 + k % 3 / 10).alias("x"), (0.1 + k % 5 / 10).alias("y")), 0.05, 400)
+
+
+@table_query()
+def particle_filter(t):
+    e = t("events").select(F.col("user_id").cast("long").alias("series"), F.col("event_id").cast("long").alias("t"), F.col("value").cast("double"))
+    return dynamics.particle_filter(e, 0.9, 1.0, 4.0, 0.0, 10.0, 200, 9)
+
+
+@table_query(f"""WITH c AS (SELECT o_custkey % 50 AS key, month(o_orderdate) / 12.0::DOUBLE AS t, count(*)::DOUBLE AS value FROM orders GROUP BY 1, 2), m AS (SELECT key, count(*) AS n, sum(t * t) AS tt, sum(t * ln(value)) AS tv, sum(ln(value) * ln(value)) AS vv FROM c GROUP BY 1),
+    d AS (SELECT 1.0 + 7.0 * (i * 0.6180339887498949::DOUBLE - floor(i * 0.6180339887498949::DOUBLE)) AS r FROM (SELECT unnest(range(1, 201))::DOUBLE AS i)), k AS (SELECT key, CASE WHEN sqrt(greatest(0, r * r * tt - 2 * r * tv + vv) / n) <= 1.6 THEN r END AS r FROM m, d)
+    SELECT key::BIGINT AS key, count(r) AS accepted, {q('avg(r)')} AS mean, {q('min(r)')} AS least, {q('max(r)')} AS most FROM k GROUP BY 1""")
+def rejection_growth(t):
+    curves = t("orders").groupBy((F.col("o_custkey") % 50).cast("long").alias("key"), (F.month("o_orderdate") / 12.0).alias("t")).agg(F.count(F.lit(1)).cast("double").alias("value"))
+    return dynamics.rejection_growth(curves, 1.0, 8.0, 200, 1.6)
