@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..operators import cohort, dynamics, graphs, groups, inference, morphology, point_process
+from ..operators import cohort, dynamics, graphs, groups, inference, morphology, point_process, spectra
 from .queries import _MODES, _N, _PAT, _SC, _SF, _WE, _null, AREA, BASE, BI, PR, PTS, RADII, WINDOW, B, _patients, _powers, _scores, q, query, table_query
 
 # Edge corrections and fits of point patterns -----------------------------------------------------
@@ -393,3 +393,45 @@ def particle_filter(t):
 def rejection_growth(t):
     curves = t("orders").groupBy((F.col("o_custkey") % 50).cast("long").alias("key"), (F.month("o_orderdate") / 12.0).alias("t")).agg(F.count(F.lit(1)).cast("double").alias("value"))
     return dynamics.rejection_growth(curves, 1.0, 8.0, 200, 1.6)
+
+
+# Spectra -----------------------------------------------------------------------------------------
+
+
+@query()
+def permuted_spectrum(pts):
+    return spectra.permuted_spectrum(pts, 1000.0, 0.006, 0.045, 6, 99, 4)
+
+
+@query()
+def spectrum_readouts(pts):
+    return spectra.spectrum_readouts(pts, 1000.0, 0.006, 0.045, 6, 2, 99, 4)
+
+
+@query()
+def stratified_spectrum_readouts(pts):
+    return spectra.spectrum_readouts(pts, 1000.0, 0.006, 0.045, 6, 2, 99, 4, stratum="stratum")
+
+
+@query()
+def raster_periodogram(pts):
+    return spectra.periodogram(pts, 1000.0, 32, 8)
+
+
+@query(f"""WITH {PTS}, {PR}, s AS (SELECT unnest([15.0, 30.0])::DOUBLE AS scale), p AS (SELECT pattern_id, avg(mark) AS p FROM pts GROUP BY 1), u AS (SELECT pattern_id, i, jm, jx, jy, d2 FROM pr WHERE im = 1 UNION ALL SELECT pattern_id, idx, mark, x, y, 0 FROM pts WHERE mark = 1),
+    d AS (SELECT pattern_id, i AS idx, scale, count(*) AS n, sum(jm)::BIGINT AS marked, avg(jx) FILTER (jm = 1) AS cx, avg(jy) FILTER (jm = 1) AS cy FROM u, s WHERE d2 <= 2 * scale * scale GROUP BY 1, 2, 3)
+    SELECT pattern_id, idx, scale, n, marked, {q('cx')} AS cx, {q('cy')} AS cy, {q('(marked / n - p) / sqrt(p * (1 - p) / n + 1e-9)')} AS z FROM d JOIN p USING (pattern_id)""")
+def residual_discs(pts):
+    return spectra.residual_discs(pts, [15.0, 30.0])
+
+
+@query()
+def residual_territories(pts):
+    return spectra.residual_territories(pts, [15.0, 30.0], 2.0)
+
+
+@query(f"""WITH {PTS}, m AS (SELECT pattern_id, stratum, floor(x / 100) * 100 AS axis, avg(value) AS v FROM pts GROUP BY 1, 2, 3), a AS (SELECT * FROM m WHERE stratum = 'F'), b AS (SELECT * FROM m WHERE stratum = 'O')
+    SELECT pattern_id, axis::DOUBLE AS axis, {q('a.v')} AS before, {q('b.v')} AS after, {q('b.v - a.v')} AS delta, abs(b.v - a.v) <= 5 AS within FROM a FULL JOIN b USING (pattern_id, axis)""")
+def paired_deltas(pts):
+    m = pts.groupBy("pattern_id", "stratum", (F.floor(F.col("x") / 100) * 100.0).alias("axis")).agg(F.avg("value").alias("v"))
+    return spectra.paired_deltas(m.where("stratum = 'F'"), m.where("stratum = 'O'"), ["pattern_id", "axis"], "v", 5.0)
