@@ -137,3 +137,53 @@ def binned_spectrum(peaks: DataFrame, width: float, axis: str, intensity: str, *
     """Summed and square-root-scaled intensity per fixed bin, with the bin's share of the total."""
     bins = peaks.groupBy(*by, F.floor(F.col(axis) / float(width)).cast("long").alias("bin")).agg(F.sum(intensity).alias("total"), F.sum(F.sqrt(intensity)).alias("root"), F.count(F.lit(1)).alias("n"))
     return bins.withColumn("share", F.col("total") / F.sum("total").over(Window.partitionBy(*by)))
+
+
+def codebook(rows: DataFrame, column: str, order: str) -> DataFrame:
+    """Dense codes of a column's levels, in the order of their first rows; null and blank have none.
+
+    The window runs over levels, one row each, not over rows.
+    """
+    firsts = rows.where(F.trim(column) != "").groupBy(F.col(column).alias("level")).agg(F.min(order).alias("first"), F.count(F.lit(1)).alias("n"))
+    return firsts.select("level", (F.row_number().over(Window.orderBy("first", "level")) - 1).alias("code"), "n")
+
+
+def matched(left: DataFrame, right: DataFrame, on: Sequence[str]) -> DataFrame:
+    """One-to-one join by identity: repeated or missing keys, on either side, are errors."""
+    one = lambda df, n: df.groupBy(*on).agg(F.count(F.lit(1)).alias(n))
+    bad = F.raise_error(F.concat(F.lit("no single match for "), F.to_json(F.struct(*on)))).cast("boolean")
+    counts = one(left, "_l").join(one(right, "_r"), list(on), "full")
+    counts = counts.where(F.when(F.coalesce(F.col("_l") == 1, F.lit(False)) & F.coalesce(F.col("_r") == 1, F.lit(False)), True).otherwise(bad)).select(*on)
+    return counts.join(left, list(on)).join(right, list(on))
+
+
+def contained(points: DataFrame, boxes: DataFrame, width: float) -> DataFrame:
+    """Points in half-open boxes(pattern_id, box, x0, y0, x1, y1): pattern_id, idx, box.
+
+    Boxes are copied to the squares of `width` that they touch; a point meets those of its own.
+    """
+    cell = lambda c: F.floor(F.col(c) / width)
+    own = points.select("pattern_id", "idx", "x", "y", cell("x").alias("gx"), cell("y").alias("gy"))
+    to = boxes.select("*", F.explode(F.sequence(cell("x0"), cell("x1"))).alias("gx")).select("*", F.explode(F.sequence(cell("y0"), cell("y1"))).alias("gy"))
+    met = own.join(to.hint("merge"), ["pattern_id", "gx", "gy"]).where("x >= x0 and x < x1 and y >= y0 and y < y1")
+    return met.select("pattern_id", "idx", "box")
+
+
+def rolling_mean(curves: DataFrame, width: int, key: str, order: str, value: str) -> DataFrame:
+    """Centred mean over `width` (odd) neighbouring rows; null where the frame isn't full."""
+    frame = Window.partitionBy(key).orderBy(order).rowsBetween(-(width // 2), width // 2)
+    return curves.withColumn("rolled", F.when(F.count(value).over(frame) == width, F.avg(value).over(frame)))
+
+
+def preprocessed_spectrum(peaks: DataFrame, low: float, high: float, axis: str, intensity: str, by: str) -> DataFrame:
+    """Trimmed to [low, high), square-rooted, smoothed by a quadratic over five points, divided by the total.
+
+    Where a spectrum's ends have no five points the root stays; negative results become zero.
+    """
+    w = Window.partitionBy(by).orderBy(axis)
+    at = lambda k: F.lag("root", k).over(w)
+    rows = peaks.where((F.col(axis) >= low) & (F.col(axis) < high)).withColumn("root", F.sqrt(F.greatest(F.col(intensity), F.lit(0.0))))
+    smooth = (-3 * at(2) + 12 * at(1) + 17 * F.col("root") + 12 * at(-1) - 3 * at(-2)) / 35
+    rows = rows.withColumn("smooth", F.greatest(F.lit(0.0), F.coalesce(smooth, F.col("root"))))
+    total = rows.groupBy(by).agg(F.sum("smooth").alias("total"))
+    return rows.join(total, by).select(by, axis, (F.col("smooth") / F.nullif("total", F.lit(0.0))).alias("intensity"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..operators import cohort, dynamics, graphs, groups, inference, morphology, point_process, spectra
+from ..operators import cohort, dynamics, graphs, groups, inference, morphology, point_process, spectra, tables
 from .queries import _MODES, _N, _PAT, _SC, _SF, _WE, _null, AREA, BASE, BI, PR, PTS, RADII, WINDOW, B, _patients, _powers, _scores, q, query, table_query
 
 # Edge corrections and fits of point patterns -----------------------------------------------------
@@ -435,3 +435,71 @@ def residual_territories(pts):
 def paired_deltas(pts):
     m = pts.groupBy("pattern_id", "stratum", (F.floor(F.col("x") / 100) * 100.0).alias("axis")).agg(F.avg("value").alias("v"))
     return spectra.paired_deltas(m.where("stratum = 'F'"), m.where("stratum = 'O'"), ["pattern_id", "axis"], "v", 5.0)
+
+
+# Clusters, curves, matrices, tables --------------------------------------------------------------
+
+
+@query()
+def cluster_permutation(pts):
+    return inference.cluster_permutation(pts.withColumn("is_first", F.col("component") <= 3), 199, 21, "pattern_id", "component")
+
+
+@table_query()
+def functional_permutation(t):
+    quarter = lambda k: F.struct(F.lit(float(k)).alias("axis"), F.count(F.when(F.quarter("o_orderdate") == k, 1)).cast("double").alias("value"))
+    curves = t("orders").groupBy(F.col("o_orderpriority").alias("endpoint"), (F.col("o_custkey") % 20).cast("long").alias("unit")).agg(F.array(*map(quarter, range(1, 5))).alias("curve"))
+    curves = curves.select("endpoint", "unit", F.inline("curve"))
+    return inference.functional_permutation(curves.withColumn("is_first", F.col("unit") < 10), 199, 23)
+
+
+@query()
+def mantel_association(pts):
+    return inference.mantel(pts, ["x", "y"], ["value", "z"], 19, 27)
+
+
+@query()
+def process_regression(pts):
+    return inference.process_regression(pts, 50.0, 150.0, 60.0)
+
+
+@query()
+def graph_signal_spectrum(pts):
+    return graphs.signal_spectrum(pts, 30.0, 8)
+
+
+@query()
+def hodge_parts(pts):
+    return graphs.hodge_parts(pts, 30.0)
+
+
+@table_query("""WITH f AS (SELECT o_orderpriority AS level, min(o_orderkey) AS f, count(*) AS n FROM orders WHERE trim(o_orderpriority) <> '' GROUP BY 1) SELECT level, (row_number() OVER (ORDER BY f, level) - 1)::INT AS code, n FROM f""")
+def stratum_codebook(t):
+    return tables.codebook(t("orders"), "o_orderpriority", "o_orderkey")
+
+
+@table_query("""SELECT doc_id, lang, quality FROM (SELECT doc_id, lang FROM documents) JOIN labels USING (doc_id)""")
+def matched_labels(t):
+    labels = t("labels").select("doc_id", "quality")
+    return tables.matched(t("documents").select("doc_id", "lang").join(labels.select("doc_id"), "doc_id", "left_semi"), labels, ["doc_id"])
+
+
+@query(f"""WITH {PTS}, b AS (SELECT (a.v * 10 + c.v)::BIGINT AS box, a.v * 90.0 AS x0, c.v * 90.0 AS y0, a.v * 90.0 + 150 AS x1, c.v * 90.0 + 150 AS y1 FROM (SELECT unnest(range(10)) AS v) a, (SELECT unnest(range(10)) AS v) c)
+    SELECT pattern_id, idx, box FROM pts, b WHERE x >= x0 AND x < x1 AND y >= y0 AND y < y1""")
+def contained_patches(pts):
+    n = F.col("id")
+    boxes = pts.sparkSession.range(100).select(n.alias("box"), (F.floor(n / 10) * 90.0).alias("x0"), (n % 10 * 90.0).alias("y0"), (F.floor(n / 10) * 90.0 + 150).alias("x1"), (n % 10 * 90.0 + 150).alias("y1"))
+    return tables.contained(pts, pts.select("pattern_id").distinct().crossJoin(F.broadcast(boxes)), 100.0)  # 100 fixed boxes a pattern
+
+
+@query(f"""WITH {PTS}, c AS (SELECT pattern_id, floor(x / 50)::BIGINT AS bin, avg(value) AS v FROM pts GROUP BY 1, 2) SELECT pattern_id, bin, {q('v')} AS v, CASE WHEN count(v) OVER w = 3 THEN {q('avg(v) OVER w')} END AS rolled FROM c WINDOW w AS (PARTITION BY pattern_id ORDER BY bin ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING)""")
+def rolling_curve(pts):
+    return tables.rolling_mean(pts.groupBy("pattern_id", F.floor(F.col("x") / 50).alias("bin")).agg(F.avg("value").alias("v")), 3, "pattern_id", "bin", "v")
+
+
+@table_query(f"""WITH p AS (SELECT event_type, event_id % 1000 AS mz, sum(abs(value)) AS i FROM events GROUP BY 1, 2), r AS (SELECT event_type, mz, sqrt(i) AS r FROM p WHERE mz >= 100 AND mz < 900),
+    s AS (SELECT event_type, mz, greatest(0, coalesce((-3 * lag(r, 2) OVER w + 12 * lag(r) OVER w + 17 * r + 12 * lead(r) OVER w - 3 * lead(r, 2) OVER w) / 35, r)) AS s FROM r WINDOW w AS (PARTITION BY event_type ORDER BY mz))
+    SELECT event_type, mz, {q('s / nullif(sum(s) OVER (PARTITION BY event_type), 0)')} AS intensity FROM s""")
+def preprocessed_spectrum(t):
+    peaks = t("events").groupBy("event_type", (F.col("event_id") % 1000).alias("mz")).agg(F.sum(F.abs("value")).alias("i"))
+    return tables.preprocessed_spectrum(peaks, 100, 900, "mz", "i", "event_type")

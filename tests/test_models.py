@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tessella.operators import dynamics, inference
+from tessella.operators import dynamics, graphs, inference, tables
 
 
 @pytest.fixture(scope="module")
@@ -148,3 +148,73 @@ def test_shrunken_means_pool_single_rows(spark):
     got = {r.unit: r for r in inference.shrunken_means(df, "unit").collect()}
     assert set(got) == {"a", "b", "c"} and got["c"].weight < got["a"].weight < 1
     assert 2.0 < got["a"].shrunken < got["c"].shrunken < got["b"].shrunken < 11.0
+
+
+def test_cluster_labels_move_as_wholes(spark):
+    rows = [(1, c, c < 3, float(10 * (c < 3) + k)) for c in range(6) for k in range(4)] + [(2, 0, True, 1.0)]
+    got = {r.unit: r for r in inference.cluster_permutation(spark.createDataFrame(rows, "unit int, c int, is_first boolean, value double"), 2000, 1, "unit", "c").collect()}
+    assert got[1].clusters == 6 and got[1].difference == pytest.approx(10) and got[1].p == pytest.approx(2 / 20, abs=0.03)
+    assert got[2].difference is None and got[2].p is None
+
+
+def test_functional_permutation_and_uneven_axes(spark):
+    rows = [("e", u, float(a), u < 4, float(a * (u < 4))) for u in range(8) for a in range(3)]
+    df = spark.createDataFrame(rows, "endpoint string, unit int, axis double, is_first boolean, value double")
+    r = inference.functional_permutation(df, 2000, 2).first()
+    assert r.units == 8 and r.statistic == pytest.approx((0 + 1) / 2 + (1 + 4) / 2) and r.p == pytest.approx(2 / 70, abs=0.015)
+    with pytest.raises(Exception, match="different axes"):
+        inference.functional_permutation(df.where("unit > 0 or axis > 0"), 5, 2).collect()
+
+
+def test_mantel_of_equal_distances(spark, cloud):
+    rows, df = cloud
+    r = {x.pattern_id: x for x in inference.mantel(df.withColumn("u", F.col("x") * 2).withColumn("v", F.col("y") * 2), ["x", "y"], ["u", "v"], 99, 1).collect()}
+    assert r[1].r == pytest.approx(1) and r[1].p == pytest.approx(0.01) and r[2].r is None
+    with pytest.raises(Exception, match="beyond 10"):
+        inference.mantel(df, ["x"], ["y"], 9, 1, most=10).collect()
+
+
+def test_process_regression_equals_the_dense_density(spark, cloud):
+    rows, df = cloud
+    one = rows[:40]
+    p, y = np.array([r[2:4] for r in one]), np.array([r[5] for r in one])
+    y = y - y.mean()
+    d = math.sqrt(3) * np.linalg.norm(p[:, None] - p[None], axis=2) / 2
+    c = 1.5 * (1 + d) * np.exp(-d) + 0.2 * np.eye(40)
+    want = -(y @ np.linalg.inv(c) @ y + np.linalg.slogdet(c)[1] + 40 * math.log(2 * math.pi)) / 2
+    out = [c[k, k] and y[k] - np.delete(c[k], k) @ np.linalg.solve(np.delete(np.delete(c, k, 0), k, 1), np.delete(y, k)) for k in range(40)]
+    r = inference.process_regression(df, 2.0, 1.5, 0.2).where("pattern_id = 1").first()
+    assert r.log_likelihood == pytest.approx(want) and r.loo_error == pytest.approx(np.mean(np.square(out)))
+
+
+def test_signal_spectrum_of_a_ring(spark):
+    ring = [(1, k, math.cos(math.pi * k / 4), math.sin(math.pi * k / 4), float((-1) ** k)) for k in range(8)] + [(2, 0, 0.0, 0.0, 1.0)]
+    df = spark.createDataFrame(ring, "pattern_id long, idx long, x double, y double, value double")
+    got = {(r.pattern_id, r.band): (r.modes, r.share) for r in graphs.signal_spectrum(df, 0.8, 4).collect()}
+    assert got[1, 3][1] == pytest.approx(1) and sum(got[1, b][0] for b in range(4)) == 8 and got[2, 0] == (1, None)
+
+
+def test_hodge_parts_of_a_triangle_and_a_square(spark):
+    tri = [(1, 0, 0.0, 0.0, 1.0, 0.0), (1, 1, 1.0, 0.0, 2.0, 0.0), (1, 2, 0.5, 0.8, 5.0, 0.0)]
+    square = [(2, k, x, y, 0.0, 1.0) for k, (x, y) in enumerate([(0.0, 0.0), (1.0, 0.0), (1.0, 1.0), (0.0, 1.0)])]
+    df = spark.createDataFrame(tri + square, "pattern_id long, idx long, x double, y double, value double, z double")
+    got = {r.pattern_id: r for r in graphs.hodge_parts(df, 1.1).collect()}
+    assert (got[1].triangles, got[1].gradient) == (1, pytest.approx(1))
+    # flows 0-1, 1-2, 2-3, 0-3 of one: the cycle's part is (1 + 1 + 1 - 1) / 4 on each edge
+    assert got[2].triangles == 0 and got[2].curl == 0 and got[2].harmonic == pytest.approx(4 * 0.25 / 4)
+
+
+def test_codes_matches_boxes_and_smoothing(spark):
+    rows = spark.createDataFrame([("b", 2), ("a", 3), (None, 0), (" ", 1), ("b", 9), ("c", 3)], "s string, n int")
+    assert {r.level: (r.code, r.n) for r in tables.codebook(rows, "s", "n").collect()} == {"b": (0, 2), "a": (1, 1), "c": (2, 1)}
+    a, b = spark.createDataFrame([(1, "x"), (2, "y")], "k int, u string"), spark.createDataFrame([(2, 1.0), (1, 2.0)], "k int, v double")
+    assert sorted(map(tuple, tables.matched(a, b, ["k"]).collect())) == [(1, "x", 2.0), (2, "y", 1.0)]
+    for wrong in (b.union(b.limit(1)), b.where("k = 1")):
+        with pytest.raises(Exception, match="no single match"):
+            tables.matched(a, wrong, ["k"]).collect()
+    points = spark.createDataFrame([(1, 0, 0.0, 0.0), (1, 1, 2.0, 2.0), (1, 2, 1.5, 1.0)], "pattern_id long, idx long, x double, y double")
+    boxes = spark.createDataFrame([(1, 7, 0.0, 0.0, 2.0, 2.0), (1, 8, 1.0, 1.0, 3.0, 3.0)], "pattern_id long, box long, x0 double, y0 double, x1 double, y1 double")
+    assert sorted((r.idx, r.box) for r in tables.contained(points, boxes, 0.7).collect()) == [(0, 7), (1, 8), (2, 7), (2, 8)]
+    line = spark.createDataFrame([("s", k, float((k + 1) ** 2)) for k in range(6)], "s string, m int, i double")
+    got = [r.intensity for r in tables.preprocessed_spectrum(line, 0, 9, "m", "i", "s").orderBy("m").collect()]
+    assert got == pytest.approx([k / 21 for k in range(1, 7)])  # a line's roots stay what they are
