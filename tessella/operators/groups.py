@@ -127,3 +127,33 @@ def log_score_weights(scores: DataFrame, key: str, first: str, second: str, labe
     at = scores.select(key, first, second, label, each).groupBy(key, "weight").agg(F.avg(hit).alias("log_score"))
     best = at.groupBy(key).agg(F.max(F.struct(F.round("log_score", 9).alias("s"), F.negative("weight").alias("o"))).alias("b"))
     return at.join(best, key).select(key, "weight", "log_score", (F.col("weight") == -F.col("b.o")).alias("selected"))
+
+
+def beta_binomial_means(counts: DataFrame, key: str, successes: str = "k", trials: str = "n") -> DataFrame:
+    """Partially pooled shares: a beta prior by moments of the units' shares, then each unit's posterior mean.
+
+    The moments weigh units by their trials; without extra spread the prior is a point and every
+    unit has the pooled share. Units without trials are left out.
+    """
+    n, k = F.col(trials).cast("double"), F.col(successes).cast("double")
+    u = counts.where(F.col(trials) > 0).select(key, n.alias("n"), k.alias("k"))
+    a = u.agg(F.count(F.lit(1)).alias("m"), F.sum("n").alias("nn"), F.sum(F.col("n") * F.col("n")).alias("n2"), F.sum("k").alias("kk"), F.sum(F.col("k") * F.col("k") / F.col("n")).alias("kk2"))
+    share = F.col("kk") / F.col("nn")
+    spread = F.col("kk2") - F.col("nn") * share * share
+    unit = share * (1 - share)
+    # intraclass correlation by the analysis-of-variance moments
+    rho = (spread - unit * (F.col("m") - 1)) / F.nullif(unit * (F.col("nn") - F.col("n2") / F.col("nn") - (F.col("m") - 1)), F.lit(0.0))
+    a = a.select(share.alias("all"), F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.coalesce(rho, F.lit(0.0)))).alias("rho"))
+    w = F.col("n") * F.col("rho") / (1 + (F.col("n") - 1) * F.col("rho"))
+    return u.join(F.broadcast(a)).select(key, F.col("n").cast("long").alias("trials"), (F.col("k") / F.col("n")).alias("share"), w.alias("weight"), (F.col("all") + w * (F.col("k") / F.col("n") - F.col("all"))).alias("pooled"))
+
+
+def gatekept(tests: DataFrame, family: str, p: str = "p") -> DataFrame:
+    """Serial gatekeeping: a test's p is at least the largest p of every earlier family.
+
+    The window runs over families, one row each.
+    """
+    top = tests.groupBy(family).agg(F.max(p).alias("_top"))
+    gate = F.max("_top").over(Window.orderBy(family).rowsBetween(Window.unboundedPreceding, -1))
+    top = top.select(F.col(family).alias("_family"), F.coalesce(gate, F.lit(0.0)).alias("_gate"))
+    return tests.join(top, F.col(family) == F.col("_family")).withColumn("p_adjusted", F.greatest(F.col(p), F.col("_gate"))).drop("_family", "_gate")

@@ -119,3 +119,51 @@ def beta_posterior(points: DataFrame, a: float, b: float, *by: str) -> DataFrame
     s = points.groupBy(*by).agg(F.sum("mark").alias("m"), F.count(F.lit(1)).alias("n"))
     al, be = F.col("m") + a, F.col("n") - F.col("m") + b
     return s.select(*by, "n", (al / (al + be)).alias("mean"), (al * be / ((al + be) * (al + be) * (al + be + 1))).alias("variance"))
+
+
+def cluster_points(patterns: DataFrame, window: tuple[float, float, float, float], density: float, offspring: float, scale: float, seed: int, disc: bool = False) -> DataFrame:
+    """Cluster patterns: Poisson parents, each with Poisson offspring, normal or uniform in a disc.
+
+    patterns(pattern_id); parents come from the window widened by four scales (one for discs), and
+    offspring outside the window are not part of the pattern. Each pattern has its own stream.
+    """
+    x0, y0, x1, y1 = window
+    wide = scale if disc else 4 * scale
+
+    def run(it):
+        for pdf in it:
+            out = [pd.DataFrame({"pattern_id": [], "idx": [], "x": [], "y": []})]
+            for pid in pdf["pattern_id"]:
+                rng = np.random.default_rng([seed, int(pid) & 0xFFFFFFFF])
+                parents = rng.uniform((x0 - wide, y0 - wide), (x1 + wide, y1 + wide), (rng.poisson(density * (x1 - x0 + 2 * wide) * (y1 - y0 + 2 * wide)), 2))
+                at = np.repeat(parents, rng.poisson(offspring, len(parents)), axis=0)
+                turn, far = rng.uniform(0, 2 * np.pi, len(at)), scale * np.sqrt(rng.uniform(0, 1, len(at)))
+                at = at + (np.stack([far * np.cos(turn), far * np.sin(turn)], 1) if disc else rng.normal(0, scale, at.shape))
+                at = at[(at[:, 0] >= x0) & (at[:, 0] <= x1) & (at[:, 1] >= y0) & (at[:, 1] <= y1)]
+                out.append(pd.DataFrame({"pattern_id": pid, "idx": np.arange(len(at)), "x": at[:, 0], "y": at[:, 1]}))
+            yield pd.concat(out)
+
+    return patterns.select("pattern_id").mapInPandas(run, "pattern_id long, idx long, x double, y double")
+
+
+def unbalanced_sinkhorn(costs: DataFrame, epsilon: float, rho: float, rounds: int, tolerance: float = 1e-9) -> DataFrame:
+    """Entropic transport whose marginals may miss their masses at a price of rho times the divergence."""
+
+    def soft(x: np.ndarray, axis: int) -> np.ndarray:
+        top = x.max(axis=axis, keepdims=True)
+        return (np.log(np.exp(x - top).sum(axis=axis, keepdims=True)) + top).squeeze(axis)
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        c = pdf.pivot(index="source", columns="target", values="cost")
+        la, lb = (np.log(pdf.groupby(n)[m].first().to_numpy(float)) for n, m in (("source", "a"), ("target", "b")))
+        k, f, g, give = -c.to_numpy(float) / epsilon, np.zeros(len(la)), np.zeros(len(lb)), rho / (rho + epsilon)
+        for _ in range(rounds):
+            f = give * (la - soft(k + g[None], 1))
+            new = give * (lb - soft(k + f[:, None], 0))
+            done, g = np.abs(new - g).max() < tolerance, new
+            if done:
+                break
+        plan = np.exp(k + f[:, None] + g[None])
+        return pd.DataFrame({"problem": pdf["problem"].iloc[0], "source": np.repeat(c.index.to_numpy(), len(lb)), "target": np.tile(c.columns.to_numpy(), len(la)), "mass": plan.reshape(-1)})
+
+    return costs.groupBy("problem").applyInPandas(run, "problem long, source long, target long, mass double")

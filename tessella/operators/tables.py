@@ -187,3 +187,25 @@ def preprocessed_spectrum(peaks: DataFrame, low: float, high: float, axis: str,
     rows = rows.withColumn("smooth", F.greatest(F.lit(0.0), F.coalesce(smooth, F.col("root"))))
     total = rows.groupBy(by).agg(F.sum("smooth").alias("total"))
     return rows.join(total, by).select(by, axis, (F.col("smooth") / F.nullif("total", F.lit(0.0))).alias("intensity"))
+
+
+def unit_divergence(rows: DataFrame, unit: str, variables: Sequence[str], alpha: float) -> DataFrame:
+    """Divergence (bits) of each unit's joint distribution from the pooled one, cells smoothed by alpha.
+
+    Cells are those that any unit has. What the cells that a unit lacks add depends on the pooled
+    shares' sum of logarithms only, so units never meet cells that they don't have.
+    """
+    k = rows.groupBy(unit, *variables).agg(F.count(F.lit(1)).alias("k"))
+    pooled = k.groupBy(*variables).agg(F.sum("k").alias("pk"))
+    size = pooled.agg(F.sum("pk").alias("pn"), F.count(F.lit(1)).alias("cells"))
+    q = (F.col("pk") + float(alpha)) / (F.col("pn") + float(alpha) * F.col("cells"))
+    pooled = pooled.join(F.broadcast(size)).select(*variables, "cells", F.log2(q).alias("lq"))
+    logs = pooled.agg(F.sum("lq").alias("all_lq"))
+    n = k.groupBy(unit).agg(F.sum("k").alias("n"))
+    have = k.join(pooled, list(variables)).join(n, unit)
+    whole = F.col("n") + float(alpha) * F.col("cells")
+    p = (F.col("k") + float(alpha)) / whole
+    u = have.groupBy(unit).agg(F.max("n").alias("n"), F.max("cells").alias("cells"), F.count(F.lit(1)).alias("has"), F.sum(p * (F.log2(p) - F.col("lq"))).alias("own"), F.sum("lq").alias("own_lq"))
+    rest = F.lit(float(alpha)) / whole
+    missing = rest * ((F.col("cells") - F.col("has")) * F.log2(rest) - (F.col("all_lq") - F.col("own_lq"))) if alpha else F.lit(0.0)
+    return u.join(F.broadcast(logs)).select(unit, "n", (F.col("own") + missing).alias("divergence"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..operators import cohort, dynamics, graphs, groups, inference, morphology, point_process, spectra, tables
+from ..operators import cohort, dynamics, graphs, groups, inference, models, morphology, point_process, spectra, tables
 from .queries import _MODES, _N, _PAT, _SC, _SF, _WE, _null, AREA, BASE, BI, PR, PTS, RADII, WINDOW, B, _patients, _powers, _scores, q, query, table_query
 
 # Edge corrections and fits of point patterns -----------------------------------------------------
@@ -503,3 +503,37 @@ def rolling_curve(pts):
 def preprocessed_spectrum(t):
     peaks = t("events").groupBy("event_type", (F.col("event_id") % 1000).alias("mz")).agg(F.sum(F.abs("value")).alias("i"))
     return tables.preprocessed_spectrum(peaks, 100, 900, "mz", "i", "event_type")
+
+
+@query(f"""WITH {PTS}, k AS (SELECT pattern_id, label, stratum, count(*) AS k FROM pts GROUP BY 1, 2, 3), p AS (SELECT label, stratum, sum(k) AS pk FROM k GROUP BY 1, 2), t AS (SELECT sum(pk) AS pn, count(*) AS cells FROM p), n AS (SELECT pattern_id, sum(k) AS n FROM k GROUP BY 1),
+    d AS (SELECT pattern_id, n, (coalesce(k, 0) + 0.5) / (n + 0.5 * cells) AS p, (pk + 0.5) / (pn + 0.5 * cells) AS q FROM n CROSS JOIN t CROSS JOIN p LEFT JOIN k USING (pattern_id, label, stratum))
+    SELECT pattern_id, max(n)::BIGINT AS n, {q('sum(p * log2(p / q))')} AS divergence FROM d GROUP BY 1""")
+def unit_divergence(pts):
+    return tables.unit_divergence(pts, "pattern_id", ["label", "stratum"], 0.5)
+
+
+@query(f"""WITH {PTS}, u AS (SELECT pattern_id, count(*)::DOUBLE AS n, sum(mark)::DOUBLE AS k FROM pts GROUP BY 1), a AS (SELECT count(*) AS m, sum(n) AS nn, sum(n * n) AS n2, sum(k) / sum(n) AS s, sum(k * k / n) AS kk2 FROM u),
+    r AS (SELECT s, greatest(0, least(1, (kk2 - nn * s * s - s * (1 - s) * (m - 1)) / (s * (1 - s) * (nn - n2 / nn - (m - 1))))) AS rho FROM a), w AS (SELECT *, n * rho / (1 + (n - 1) * rho) AS w FROM u, r)
+    SELECT pattern_id, n::BIGINT AS trials, {q('k / n')} AS share, {q('w')} AS weight, {q('s + w * (k / n - s)')} AS pooled FROM w""")
+def beta_binomial_means(pts):
+    return groups.beta_binomial_means(pts.groupBy("pattern_id").agg(F.count(F.lit(1)).alias("n"), F.sum("mark").alias("k")), "pattern_id")
+
+
+@table_query(f"""WITH t AS (SELECT o_orderpriority AS family, o_orderstatus AS test, count(*) FILTER (o_totalprice > 150000) / count(*)::DOUBLE AS p FROM orders GROUP BY 1, 2), f AS (SELECT family, coalesce(max(top) OVER (ORDER BY family ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS gate FROM (SELECT family, max(p) AS top FROM t GROUP BY 1))
+    SELECT family, test, {q('p')} AS p, {q('greatest(p, gate)')} AS p_adjusted FROM t JOIN f USING (family)""")
+def serial_gatekeeping(t):
+    rows = t("orders").groupBy(F.col("o_orderpriority").alias("family"), F.col("o_orderstatus").alias("test")).agg((F.count(F.when(F.col("o_totalprice") > 150000, 1)) / F.count(F.lit(1))).alias("p"))
+    return groups.gatekept(rows, "family")
+
+
+@query()
+def thomas_simulation(pts):
+    return models.cluster_points(pts.select("pattern_id").distinct(), WINDOW, 1e-4, 5.0, 12.0, 33)
+
+
+@table_query()
+def unbalanced_transport(t):
+    s = t("supplier").join(F.broadcast(t("nation")), F.col("s_nationkey") == F.col("n_nationkey"))
+    mass = s.groupBy(F.col("n_regionkey").cast("long").alias("problem"), F.col("n_nationkey").cast("long").alias("nation")).agg(F.count(F.lit(1)).cast("double").alias("m"))
+    costs = mass.withColumnsRenamed({"nation": "source", "m": "a"}).join(mass.withColumnsRenamed({"nation": "target", "m": "b"}), "problem")
+    return models.unbalanced_sinkhorn(costs.withColumn("cost", F.abs(F.col("source") - F.col("target")).cast("double")), 1.0, 5.0, 500)

@@ -40,18 +40,32 @@ def window_edges(documents: DataFrame) -> DataFrame:
     return e.select("polygon", "ring", p[0].alias("x1"), p[1].alias("y1"), F.col("q")[0].alias("x2"), F.col("q")[1].alias("y2"))
 
 
-def in_window(points: DataFrame, edges: DataFrame, *by: str) -> DataFrame:
-    """points with `inside` (closed; holes are outside but for their edge) and `boundary_distance`.
+def in_window(points: DataFrame, edges: DataFrame, *by: str, most: int = 100_000) -> DataFrame:
+    """points (by, x, y) with `inside` (closed; holes are outside but for their edge), `boundary_distance`
+    and `signed_distance`, which is negative inside.
 
-    Edges of a window are few and are broadcast; each point meets them in one aggregate.
+    A window is one array of its edges, broadcast as a single row; each point folds over it without
+    a shuffle. A window of more than `most` edges raises.
     """
-    x, y, x1, y1, x2, y2 = (F.col(c) for c in ("x", "y", "x1", "y1", "x2", "y2"))
-    crosses = ((y1 > y) != (y2 > y)) & (x < (x2 - x1) * (y - y1) / (y2 - y1 + F.when(y1 == y2, 1.0).otherwise(0.0)) + x1)
-    n2 = (x2 - x1) * (x2 - x1) + (y2 - y1) * (y2 - y1)
-    t = F.least(F.lit(1.0), F.greatest(F.lit(0.0), ((x - x1) * (x2 - x1) + (y - y1) * (y2 - y1)) / F.when(n2 > 0, n2).otherwise(1.0)))
-    dx, dy = x - (x1 + t * (x2 - x1)), y - (y1 + t * (y2 - y1))
-    seen = points.crossJoin(F.broadcast(edges)).groupBy(*by, "x", "y").agg((F.sum(crosses.cast("int")) % 2 == 1).alias("odd"), F.sqrt(F.min(dx * dx + dy * dy)).alias("boundary_distance"))
-    return seen.withColumn("inside", F.col("odd") | (F.col("boundary_distance") == 0)).drop("odd")
+    size = F.count(F.lit(1))
+    shape = edges.agg(F.when(size > most, F.raise_error(F.lit("the window has too many edges")).cast("int")).alias("_over"), F.collect_list(F.struct("x1", "y1", "x2", "y2")).alias("_edges"))
+    x, y = F.col("x"), F.col("y")
+
+    def crosses(n, e):
+        flat = F.when(e.y1 == e.y2, 1.0).otherwise(0.0)
+        return n + (((e.y1 > y) != (e.y2 > y)) & (x < (e.x2 - e.x1) * (y - e.y1) / (e.y2 - e.y1 + flat) + e.x1)).cast("int")
+
+    def nearer(d, e):
+        ux, uy = e.x2 - e.x1, e.y2 - e.y1
+        n2 = ux * ux + uy * uy
+        t = F.least(F.lit(1.0), F.greatest(F.lit(0.0), ((x - e.x1) * ux + (y - e.y1) * uy) / F.when(n2 > 0, n2).otherwise(1.0)))
+        dx, dy = x - (e.x1 + t * ux), y - (e.y1 + t * uy)
+        return F.least(d, dx * dx + dy * dy)
+
+    met = points.select(*by, "x", "y").join(F.broadcast(shape)).where(F.col("_over").isNull())
+    out = met.select(*by, "x", "y", F.sqrt(F.aggregate("_edges", F.lit(float("inf")), nearer)).alias("boundary_distance"), F.aggregate("_edges", F.lit(0), crosses).alias("_odd"))
+    out = out.withColumn("inside", (F.col("_odd") % 2 == 1) | (F.col("boundary_distance") == 0)).drop("_odd")
+    return out.withColumn("signed_distance", F.when(F.col("inside"), -F.col("boundary_distance")).otherwise(F.col("boundary_distance")))
 
 
 def polygon_area(edges: DataFrame) -> DataFrame:

@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tessella.operators import dynamics, graphs, inference, tables
+from tessella.operators import dynamics, graphs, groups, inference, models, point_process, tables
 
 
 @pytest.fixture(scope="module")
@@ -218,3 +218,40 @@ def test_codes_matches_boxes_and_smoothing(spark):
     line = spark.createDataFrame([("s", k, float((k + 1) ** 2)) for k in range(6)], "s string, m int, i double")
     got = [r.intensity for r in tables.preprocessed_spectrum(line, 0, 9, "m", "i", "s").orderBy("m").collect()]
     assert got == pytest.approx([k / 21 for k in range(1, 7)])  # a line's roots stay what they are
+
+
+def test_divergence_counts_cells_that_a_unit_lacks(spark):
+    rows = [("u", "a")] * 3 + [("u", "b")] + [("v", "a")] * 2 + [("v", "c")] * 2
+    got = {r.u: r.divergence for r in tables.unit_divergence(spark.createDataFrame(rows, "u string, s string"), "u", ["s"], 0.5).collect()}
+    q = (np.array([5, 1, 2]) + 0.5) / 9.5
+    for unit, k in (("u", [3, 1, 0]), ("v", [2, 0, 2])):
+        p = (np.array(k) + 0.5) / 5.5
+        assert got[unit] == pytest.approx((p * np.log2(p / q)).sum())
+
+
+def test_gates_and_pooled_shares(spark):
+    tests = spark.createDataFrame([(1, "a", 0.01), (1, "b", 0.04), (2, "c", 0.02), (3, "d", 0.2)], "f int, t string, p double")
+    assert {r.t: r.p_adjusted for r in groups.gatekept(tests, "f").collect()} == {"a": 0.01, "b": 0.04, "c": 0.04, "d": 0.2}
+    units = spark.createDataFrame([("a", 7, 10), ("b", 3, 10), ("c", 1, 1), ("d", 0, 0)], "u string, k int, n int")
+    got = {r.u: r for r in groups.beta_binomial_means(units, "u").collect()}
+    assert set(got) == {"a", "b", "c"} and 0.3 < got["b"].pooled < 11 / 21 < got["c"].pooled < 1 and got["c"].weight < got["a"].weight
+
+
+def test_simulated_clusters_have_the_expected_number_and_k(spark):
+    pts = models.cluster_points(spark.range(40).withColumnRenamed("id", "pattern_id"), (0.0, 0.0, 100.0, 100.0), 0.004, 5.0, 3.0, 1)
+    n = pts.groupBy("pattern_id").count().agg(F.avg("count")).first()[0]
+    assert n == pytest.approx(0.004 * 5 * 1e4, rel=0.1)
+    again = models.cluster_points(spark.range(40).withColumnRenamed("id", "pattern_id").repartition(7), (0.0, 0.0, 100.0, 100.0), 0.004, 5.0, 3.0, 1)
+    assert again.exceptAll(pts).isEmpty()
+    k = point_process.border_k(pts, [4.0], (0.0, 0.0, 100.0, 100.0)).agg(F.avg("k")).first()[0]
+    assert k == pytest.approx(math.pi * 16 + (1 - math.exp(-16 / 36)) / 0.004, rel=0.2)
+
+
+def test_unbalanced_transport_nears_the_balanced_one(spark):
+    a, b = {1: 1.0, 2: 3.0}, {1: 2.0, 2: 2.0}
+    costs = spark.createDataFrame([(0, s, t, a[s], b[t], float(s != t)) for s in a for t in b], "problem long, source long, target long, a double, b double, cost double")
+    loose = {(r.source, r.target): r.mass for r in models.unbalanced_sinkhorn(costs, 0.5, 1e7, 3000).collect()}
+    tight = {(r.source, r.target): r.mass * 4 for r in models.sinkhorn(costs, 0.5, 3000).collect()}
+    assert loose == pytest.approx(tight, rel=1e-3)
+    cheap = models.unbalanced_sinkhorn(costs.withColumn("cost", F.lit(50.0)), 0.5, 0.1, 500).agg(F.sum("mass")).first()[0]
+    assert cheap < 1e-6  # far costs move nothing when missing mass is cheap
