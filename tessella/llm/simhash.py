@@ -10,7 +10,7 @@ and texts of one fingerprint are one row long before that.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import combinations
 
 import numpy as np
@@ -40,30 +40,35 @@ def _blocks(data: bytes) -> Iterator[list[bytes]]:
         at = end
 
 
-def fingerprint(text: str | None, shingle: int = SHINGLE, seed: int = SEED) -> int:
-    """64 bits, unsigned; bit k is set if over half the shingles' XXH64 have it. No word: zero.
-
-    A-Z are lower-cased; words are parted by space, tab, newline, vertical tab, form feed and
-    carriage return. Fewer words than a shingle holds: the whole sequence is the one shingle.
-    """
-    digest, carry, n = xxhash.xxh64_intdigest, [], 0
-    ones = np.zeros(64, np.int64)
+def shingle_hashes(text: str | None, shingle: int, seed: int) -> Iterator[np.ndarray]:
+    """The shingles' XXH64 in order, by parts; none for a text without words."""
+    digest, carry, none = xxhash.xxh64_intdigest, [], True
     for words in _blocks((text or "").encode().lower()):
         words = carry + words
         if len(words) >= shingle:
             joined = b" ".join(words)
             ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1)
             starts = [0, *ends[:-1].tolist()]
-            hashes = np.fromiter([digest(joined[a:b], seed) for a, b in zip(starts, (ends[shingle - 1 :] - 1).tolist())], np.uint64)
-            for at in range(0, len(hashes), 65536):
-                part = hashes[at : at + 65536]
-                ones += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-            n += len(hashes)
-            carry = words[len(words) - shingle + 1 :]
+            yield np.fromiter([digest(joined[a:b], seed) for a, b in zip(starts, (ends[shingle - 1 :] - 1).tolist())], np.uint64)
+            none, carry = False, words[len(words) - shingle + 1 :]
         else:
             carry = words
-    if not n:
-        return digest(b" ".join(carry), seed) if carry else 0
+    if none and carry:
+        yield np.array([digest(b" ".join(carry), seed)], np.uint64)
+
+
+def fingerprint(text: str | None, shingle: int = SHINGLE, seed: int = SEED) -> int:
+    """64 bits, unsigned; bit k is set if over half the shingles' XXH64 have it. No word: zero.
+
+    A-Z are lower-cased; words are parted by space, tab, newline, vertical tab, form feed and
+    carriage return. Fewer words than a shingle holds: the whole sequence is the one shingle.
+    """
+    ones, n = np.zeros(64, np.int64), 0
+    for hashes in shingle_hashes(text, shingle, seed):
+        for at in range(0, len(hashes), 65536):
+            part = hashes[at : at + 65536]
+            ones += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+        n += len(hashes)
     return int.from_bytes(np.packbits(ones * 2 > n, bitorder="little").tobytes(), "little")
 
 
@@ -99,8 +104,13 @@ def fingerprint_components(rows: DataFrame, cut: Cut, radius: int = RADIUS) -> D
     """rows(id, fp) -> (gfp, component_id), one row a fingerprint; the component's smallest id."""
     if radius % 2:
         raise ValueError("the radius must be even: each side takes half of it")
+    return node_components(rows, lambda fps: fingerprint_links(fps, radius), cut)
+
+
+def node_components(rows: DataFrame, links: Callable[[DataFrame], DataFrame], cut: Cut) -> DataFrame:
+    """The same over any links between the values of fp, given these."""
     firsts = cut(rows.groupBy("fp").agg(F.min("id").alias("first_id")))
-    roots = connected_components(fingerprint_links(firsts.select("fp"), radius), cut)
+    roots = connected_components(links(firsts.select("fp")), cut)
     rooted = cut(firsts.join(roots, F.col("fp") == F.col("node"), "left").select("fp", F.coalesce("root", "fp").alias("root"), "first_id"))
     lowest = cut(rooted.groupBy("root").agg(F.min("first_id").alias("component_id")).withColumnRenamed("root", "r"))
     return cut(rooted.join(lowest, F.col("root") == F.col("r")).select(F.col("fp").alias("gfp"), "component_id"))
@@ -127,16 +137,20 @@ def keep_one_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     id keeps one row.
     """
     cut = Cut(docs.sparkSession, "simhash")
-    f, i, g, k = fresh(docs, "fp_", "id_", "gfp_", "stay_")
     ids = F.col(id_col).cast("long")
     rows = cut(with_fingerprint(docs.select(ids.alias("id"), F.col(text_col).alias("text")), "text", "fp").select("id", "fp"))
-    groups = fingerprint_components(rows, cut, radius)
+    return keep_nodes(docs, rows, fingerprint_components(rows, cut, radius), lambda d, name: with_fingerprint(d, text_col, name), id_col, cut)
+
+
+def keep_nodes(docs: DataFrame, rows: DataFrame, groups: DataFrame, mark: Callable[[DataFrame, str], DataFrame], id_col: str, cut: Cut) -> DataFrame:
+    """docs with one row of each of groups(gfp, component_id), given rows(id, fp); mark adds fp to docs."""
+    f, i, g, k = fresh(docs, "fp_", "id_", "gfp_", "stay_")
     mine = rows.join(groups, F.col("fp") == F.col("gfp")).where(F.col("id").eqNullSafe(F.col("component_id")))
     best = mine.groupBy("component_id", "id").agg(F.min("fp").alias(g)).where("component_id is not null")
     named = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
     # a component without ids is named by its smallest fingerprint, which alone can't link two
     lone = mine.where("component_id is null").groupBy("fp").agg(F.first("id").alias("id")).select("id", F.col("fp").alias(g))
     best = cut(best.select(named("id").alias(k), g).union(lone.select(named("id").alias(k), g)))
-    marked = with_fingerprint(docs, text_col, f).withColumn(i, named(id_col))
+    marked = mark(docs, f).withColumn(i, named(id_col))
     stay = marked.join(best, (F.col(f) == F.col(g)) & (F.col(i) == F.col(k)), "left_semi")
     return stay.dropDuplicates([f, i]).drop(f, i)
