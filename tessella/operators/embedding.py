@@ -9,6 +9,9 @@ from pyspark.sql import functions as F
 
 from ..functions.core import on_all, levels, pairs
 
+#: Queries that are sent to the index together.
+_BLOCK = 100_000
+
 
 def squared_distance(a: str, b: str) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, v: s + v)
@@ -42,7 +45,7 @@ def vector_semivariogram(points: DataFrame, vector: str, edges: Sequence[float])
 def retrieve(queries: DataFrame, index: DataFrame, vector: str, k: int, id_: str, group: str) -> DataFrame:
     """The k nearest index rows of each query that aren't of the query's own group; ties by id.
 
-    Queries are a small stated set and are broadcast; each task keeps k rows a query before the
+    Queries are collected and sent in blocks; for each, a task keeps k rows a query before the
     shuffle, so that what is sent doesn't grow with the index.
     """
     import heapq
@@ -51,13 +54,13 @@ def retrieve(queries: DataFrame, index: DataFrame, vector: str, k: int, id_: str
     import pyarrow as pa
 
     few = queries.select(id_, group, vector).collect()
-    if len(few) > 100_000:
-        raise ValueError("too many queries to broadcast; send them in blocks")
-    q = np.array([r[vector] for r in few], np.float64).reshape(len(few), -1)
-    ids, groups = [r[id_] for r in few], np.array([r[group] for r in few], object)
-    shared = queries.sparkSession.sparkContext.broadcast((q, ids, groups))
+    blocks = []
+    for at in range(0, len(few), _BLOCK):
+        some = few[at : at + _BLOCK]
+        q = np.array([r[vector] for r in some], np.float64).reshape(len(some), -1)
+        blocks.append(queries.sparkSession.sparkContext.broadcast((q, [r[id_] for r in some], np.array([r[group] for r in some], object))))
 
-    def run(batches):
+    def run(batches, shared):
         q, ids, groups = shared.value
         best = [[] for _ in ids]
         for batch in batches:
@@ -67,13 +70,17 @@ def retrieve(queries: DataFrame, index: DataFrame, vector: str, k: int, id_: str
                 d = ((q[at : at + 256, None] - x[None]) ** 2).sum(-1) if len(own) else np.zeros((0, 0))
                 for i in range(d.shape[0]):
                     free = np.flatnonzero(kinds != groups[at + i])
-                    near = free[np.argsort(d[i, free], kind="stable")[: 2 * k]]
-                    best[at + i] = heapq.nsmallest(k, best[at + i] + [(float(d[i, j]), own[j]) for j in near])
+                    if len(free) > k:  # all that tie with the k-th: ids decide among them
+                        free = free[d[i, free] <= np.partition(d[i, free], k - 1)[k - 1]]
+                    best[at + i] = heapq.nsmallest(k, best[at + i] + [(float(d[i, j]), own[j]) for j in free])
         rows = [(ids[i], j, d) for i, b in enumerate(best) for d, j in b]
         cols = list(zip(*rows)) or [[], [], []]
         yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.float64())], names=["query", "found", "d2"])
 
     from pyspark.sql.window import Window
 
-    near = index.select(F.col(id_).cast("long"), group, vector).mapInArrow(run, "query long, found long, d2 double")
+    rows, kind = index.select(F.col(id_).cast("long"), group, vector), "query long, found long, d2 double"
+    near = index.sparkSession.createDataFrame([], kind)
+    for block in blocks:
+        near = near.union(rows.mapInArrow(lambda batches, b=block: run(batches, b), kind))
     return near.withColumn("rank", F.row_number().over(Window.partitionBy("query").orderBy("d2", "found"))).where(F.col("rank") <= k)
