@@ -180,10 +180,6 @@ def _inner_texts(data: bytes) -> Iterator[str]:
     yield held
 
 
-def _plain(text: str) -> bool:
-    return all(c.isprintable() or c in "\t\n\r\f\v" for c in text)
-
-
 def _from_base64(layer: Layer) -> Iterator[Layer]:
     runs = [(m.start(), m.end()) for m in _BASE64.finditer(layer.text)]
     if runs and "\n" in layer.text:
@@ -199,18 +195,18 @@ def _from_base64(layer: Layer) -> Iterator[Layer]:
             continue
         try:
             text = data.decode("utf-8")
-        except UnicodeDecodeError:
-            text = None
-        if text is not None and _plain(text):
-            kept = [i for i, c in enumerate(own) if c not in "\r\n="]
             widths = np.array([len(c.encode()) for c in text], np.int64)
-            first, last = np.cumsum(widths) - widths, np.cumsum(widths) - 1
-            at = np.array(kept, np.int64)
-            lo = at[first // 3 * 4] + a
-            group = last // 3 * 4 + 3
-            hi = np.where(group >= len(at) - 1, len(own) - 1, at[np.minimum(group, len(at) - 1)]) + a  # padding goes with the last group
-            yield Layer(text, lo if layer.starts is None else layer.starts[lo], hi + 1 if layer.ends is None else layer.ends[hi])
-            continue
+            last = np.cumsum(widths) - 1
+            first = last + 1 - widths
+        except UnicodeDecodeError:
+            text, *at = _chars(data, 1)
+            first, last = np.array(at[0], np.int64), np.array(at[1], np.int64) - 1
+        kept = [i for i, c in enumerate(own) if c not in "\r\n="]
+        at = np.array(kept, np.int64)
+        lo = at[first // 3 * 4] + a
+        group = last // 3 * 4 + 3
+        hi = np.where(group >= len(at) - 1, len(own) - 1, at[np.minimum(group, len(at) - 1)]) + a  # padding goes with the last group
+        yield Layer(text, lo if layer.starts is None else layer.starts[lo], hi + 1 if layer.ends is None else layer.ends[hi])
         start, end = layer.span(a, b)
         try:
             for piece in _inner_texts(data) if _inflate(io.BufferedReader(io.BytesIO(data))) is not None else ():
