@@ -37,10 +37,16 @@ _HEX = re.compile(r"[0-9a-f]{24,}")
 
 _PERCENT = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
 _ESCAPE = re.compile(r"(?:\\u[0-9A-Fa-f]{4})+|\\u\{[0-9A-Fa-f]{1,6}\}|\\U[0-9A-Fa-f]{8}|(?:\\x[0-9A-Fa-f]{2})+|&#[0-9]{1,7};|&#[xX][0-9A-Fa-f]{1,6};")
+#: Escaped first bytes of a compressed stream, and what follows them without white space.
+_BYTES = re.compile(r"(?i)(?:(?:%|\\x)1f(?:%|\\x)8b|(?:(?:%|\\x)78|x)(?:(?:%|\\x)(?:01|5e|9c|da)|\^(?=%|\\x))|(?:(?:%|\\x)42|B)(?:(?:%|\\x)5a|Z)(?:(?:%|\\x)68|h)|(?:%|\\x)fd(?:(?:%|\\x)37|7)|(?:(?:%|\\x)28|\()(?:%|\\x)b5)[\x21-\x7e]+")
+_BYTE = re.compile(r"%[0-9A-Fa-f]{2}|\\x[0-9A-Fa-f]{2}")
 _BASE64 = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
 _WRAPPED = re.compile(r"(?:[A-Za-z0-9+/_-]{16,}\r?\n)+[A-Za-z0-9+/_-]+={0,2}")
 #: Characters of an inflated layer that are looked at together, and how many of them again with the next.
 _PIECE, _OVERLAP = 4_000_000, 65_536
+#: What an encoded run that goes on in the next piece is made of.
+_OPEN = re.compile(r"[A-Za-z0-9+/_=\-%\\&#;{}\r\n]*")
+_UNSOUND = (OSError, ValueError, EOFError, zlib.error, lzma.LZMAError, zstandard.ZstdError)
 
 
 def scan(text: str) -> list[tuple[int, int, int]]:
@@ -119,24 +125,34 @@ def _inflate(stream: io.BufferedIOBase) -> Iterator[bytes] | None:
     """The stream's plain bytes by pieces if it starts as a compressed one."""
     head = stream.peek(6)[:6]
     if head[:2] == b"\x1f\x8b" or (head[:1] == b"\x78" and len(head) > 1 and int.from_bytes(head[:2], "big") % 31 == 0):
-        return _pump(stream, zlib.decompressobj(47), lambda d: d.unconsumed_tail)
+        return _pump(stream, lambda: zlib.decompressobj(47), lambda d: d.unconsumed_tail)
     if head[:3] == b"BZh":
-        return _pump(stream, bz2.BZ2Decompressor(), None)
+        return _pump(stream, bz2.BZ2Decompressor, None)
     if head[:6] == b"\xfd7zXZ\0":
-        return _pump(stream, lzma.LZMADecompressor(), None)
+        return _pump(stream, lzma.LZMADecompressor, None)
     if head[:4] == b"\x28\xb5\x2f\xfd":
-        return iter(lambda r=zstandard.ZstdDecompressor().stream_reader(stream): r.read(1 << 20), b"")
+        return iter(lambda r=zstandard.ZstdDecompressor().stream_reader(stream, read_across_frames=True): r.read(1 << 20), b"")
     return None
 
 
-def _pump(stream, inflater, tail) -> Iterator[bytes]:
-    while not inflater.eof:
-        data = tail(inflater) if tail else b""
-        if not data and (tail or inflater.needs_input):
+def _pump(stream, new, tail) -> Iterator[bytes]:
+    """All members of the stream, one after the other."""
+    inflater, data = new(), b""
+    while True:
+        if inflater.eof:
+            data = inflater.unused_data or stream.read(1 << 16)
+            if not data:
+                return
+            inflater = new()
+        elif tail:
+            data = inflater.unconsumed_tail or data or stream.read(1 << 16)
+            if not data:
+                return
+        elif not data and inflater.needs_input:
             data = stream.read(1 << 16)
             if not data:
                 return
-        made = inflater.decompress(data, 1 << 20)
+        made, data = inflater.decompress(data, 1 << 20), b""
         if made:
             yield made
 
@@ -171,13 +187,18 @@ def _inner_texts(data: bytes) -> Iterator[str]:
         if mark in seen:  # a stream that unpacks to itself
             return
         seen.add(mark)
-    decoder, held = codecs.getincrementaldecoder("utf-8")(), ""
-    while block := stream.read(1 << 20):
-        held += decoder.decode(block)
-        if len(held) >= _PIECE:
-            yield held
-            held = held[-_OVERLAP:]
-    yield held
+    decoder, held, least = codecs.getincrementaldecoder("utf-8")("replace"), "", _PIECE
+    try:
+        while block := stream.read1(1 << 20):
+            held += decoder.decode(block)
+            if len(held) >= least:
+                yield held
+                at = len(held) - _OVERLAP
+                held = held[at - len(_OPEN.match(held[at - 1 :: -1])[0]) :]
+                least = len(held) + _PIECE
+    except _UNSOUND:
+        pass  # what came before is scanned
+    yield held + decoder.decode(b"", True)
 
 
 def _from_base64(layer: Layer) -> Iterator[Layer]:
@@ -207,12 +228,22 @@ def _from_base64(layer: Layer) -> Iterator[Layer]:
         group = last // 3 * 4 + 3
         hi = np.where(group >= len(at) - 1, len(own) - 1, at[np.minimum(group, len(at) - 1)]) + a  # padding goes with the last group
         yield Layer(text, lo if layer.starts is None else layer.starts[lo], hi + 1 if layer.ends is None else layer.ends[hi])
-        start, end = layer.span(a, b)
-        try:
-            for piece in _inner_texts(data) if _inflate(io.BufferedReader(io.BytesIO(data))) is not None else ():
-                yield Layer(piece, np.full(len(piece), start), np.full(len(piece), end))
-        except (OSError, ValueError, EOFError, zlib.error, lzma.LZMAError, zstandard.ZstdError):
-            continue  # not a sound stream
+        yield from _inflated(data, *layer.span(a, b))
+
+
+def _inflated(data: bytes, start: int, end: int) -> Iterator[Layer]:
+    try:
+        for piece in _inner_texts(data) if _inflate(io.BufferedReader(io.BytesIO(data))) is not None else ():
+            yield Layer(piece, np.full(len(piece), start), np.full(len(piece), end))
+    except _UNSOUND:
+        return  # not a sound stream
+
+
+def _escaped_streams(layer: Layer) -> Iterator[Layer]:
+    """Compressed streams whose bytes are written as escapes, as text between them where that is plain."""
+    for m in _BYTES.finditer(layer.text):
+        data = _BYTE.sub(lambda x: chr(int(x[0][-2:], 16)), m[0]).encode("latin-1")
+        yield from _inflated(data, *layer.span(m.start(), m.end()))
 
 
 def unwrap(layer: Layer) -> Iterator[Layer]:
@@ -220,6 +251,8 @@ def unwrap(layer: Layer) -> Iterator[Layer]:
         yield x
     if ("\\" in layer.text or "&#" in layer.text) and (x := _rewritten(layer, _ESCAPE, _unescape)):
         yield x
+    if "%" in layer.text or "\\x" in layer.text:
+        yield from _escaped_streams(layer)
     yield from _from_base64(layer)
 
 

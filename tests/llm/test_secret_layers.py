@@ -1,8 +1,13 @@
 """Layers that hold more than plain text."""
 
 import base64
+import bz2
+import gzip
+import lzma
+import random
 
 import pytest
+import zstandard
 
 from tessella.llm import secrets
 
@@ -20,3 +25,23 @@ def test_base64_with_any_character(more):
 def test_base64_with_bytes_that_are_no_text():
     run = base64.b64encode(b"\xe9 " + SECRET.encode() + b" \xff").decode()
     assert any(k == 0 for *_, k in secrets.find(run)[1])
+
+
+def found(run):
+    return any(k == 0 for *_, k in secrets.find(run)[1])
+
+
+@pytest.mark.parametrize("pack", [gzip.compress, bz2.compress, lzma.compress, zstandard.compress])
+def test_every_part_of_a_compressed_layer(pack):
+    encode = lambda data: base64.b64encode(data).decode()
+    assert found(encode(pack(b"first ") + pack(SECRET.encode())))
+    assert found(encode(pack(b"\xff " + SECRET.encode())))
+    assert found("".join(f"%{c:02x}" for c in pack(SECRET.encode()))) and found("".join(f"\\x{c:02x}" for c in pack(SECRET.encode())))
+
+
+def test_text_before_an_error_and_runs_across_pieces(monkeypatch):
+    noise = random.Random(1).randbytes(3_000_000)
+    assert found(base64.b64encode(gzip.compress(SECRET.encode() + b" " + noise)[:-1_000_000]).decode())
+    monkeypatch.setattr(secrets, "_PIECE", 1_500_000)
+    inner = base64.b64encode(b"a" * 1_200_000 + b" " + SECRET.encode())
+    assert found(base64.b64encode(gzip.compress(b". " * 300_000 + inner + b" ." * 300_000)).decode())
