@@ -22,8 +22,8 @@ from pyspark.sql import functions as F
 
 from .common import Cut
 
-#: Trigram buckets; languages at most (the most frequent ones); trigrams that a text's evidence counts for at most.
-BUCKETS, LANGUAGES, EVIDENCE = 1 << 16, 64, 30.0
+#: Trigram buckets; languages at most (more raise an error); trigrams that a text's evidence counts for at most.
+BUCKETS, LANGUAGES, EVIDENCE = 1 << 16, 256, 30.0
 #: Pages that a parent's shares count for in its children's prior.
 PRIOR = 5.0
 _COUNTRY = {"de": "de", "at": "de", "fr": "fr", "es": "es", "mx": "es", "ar": "es", "uk": "en", "us": "en", "au": "en", "ie": "en", "it": "it", "pt": "pt", "br": "pt", "nl": "nl", "pl": "pl", "jp": "ja", "cn": "zh", "ru": "ru"}
@@ -73,7 +73,9 @@ def _trigrams(text: str) -> np.ndarray:
 def train(docs: DataFrame, lang_col: str = "lang", text_col: str = "text") -> tuple[list[str], np.ndarray]:
     """The languages, and log P(trigram | language) of each bucket. Null languages don't count."""
     known = docs.where(F.col(lang_col).isNotNull()).select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
-    langs = sorted(r["lang"] for r in known.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES).collect())
+    langs = sorted(r["lang"] for r in known.select("lang").distinct().limit(LANGUAGES + 1).collect())
+    if len(langs) > LANGUAGES:
+        raise ValueError(f"more than {LANGUAGES} languages; none is left out")
     number = {x: i for i, x in enumerate(langs)}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
