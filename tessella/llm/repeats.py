@@ -1,18 +1,19 @@
-"""Removal of long repeated strings by parsing texts at content-defined triggers.
+"""Removal of long repeated strings by prefix-free parsing and suffix arrays.
 
 A rolling hash over short grams chooses triggers: the trigger of a `length`-byte window is the
 smallest gram hash among its first SPAN grams, so equal windows have their trigger at the same
 place inside. Window starts that share a trigger form a phrase. The dictionary holds one row per
-distinct phrase, the parse is the phrases' places in the texts.
-
-The order of the corpus' suffixes is needed only as far as `length` bytes and only to bring equal
-ones together, so 128-bit fingerprints of phrases with their context stand for ranks in a suffix
-array: a global suffix sort would have to compare neighbours across all texts, while classes of
-equal fingerprints are plain aggregates. Three rounds narrow down where a repeat begins and ends:
-phrases, blocks of BLOCK window starts, single windows. In each round `core`, the bytes that all
-windows of an item share, says whether any of them can be repeated; `outer`, all bytes that they
-touch, whether all of them are. Only items with a repeated core and a unique outer go on, with one
-representative of each other class of that core to compare with.
+distinct phrase with all bytes that its windows touch, by their digest; the parse is the phrases'
+places in the texts. A phrase that the parse holds more than once is repeated whole.
+
+Other windows can only equal windows of another phrase with the same core, the bytes that all
+windows of a phrase share. One phrase of each digest is dealt by its core, so equal windows meet
+in one partition. There the phrases' texts are parsed once more, at prefix-free triggers; suffix
+arrays of that dictionary and that parse combine into corpus order (parsing.py), where equal windows
+are neighbours and are compared byte by byte. Cores are dealt only as long as they have at most
+GROUP phrases. Phrases of any other core are cut into blocks of BLOCK window starts, whose cores
+are longer, and what is still common after that into single windows, which are plain digests and
+need no dealing: they are counted by an aggregate.
 """
 
 from __future__ import annotations
@@ -27,13 +28,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import Cut
+from .parsing import repeated_places
 
 LENGTH, GRAM, BLOCK = 400, 16, 16
 #: Bytes of a text that are hashed at once; longer texts overlap their segments.
 SEGMENT = 1_000_000
-_BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
+#: Phrases of one core that a task orders; bytes that it orders together.
+GROUP, ORDERED = 8192, 4_000_000
+#: Keys that more than one in so many rows has are joined by broadcast: there are fewer than that.
+HOT = 4096
+_BASE = 0x9E3779B97F4A7C15
 _KEYS = ["r1", "r2"]
-_ITEM = "r1 long, r2 long, a int, b int, m int, k long, o1 long, o2 long"
+_ITEM = "r1 long, r2 long, a int, b int, m int, k long, o binary"
 
 
 @lru_cache(4)
@@ -47,15 +53,16 @@ def _powers(base: int, n: int) -> np.ndarray:
 
 
 class Hasher:
-    """Polynomial hashes, modulo 2^64, of any ranges of a buffer."""
+    """Polynomial hashes, modulo 2^64, of any ranges of a buffer: to choose triggers and to deal
+    phrases by; equality is never taken from them."""
 
-    def __init__(self, data: bytes, which: int):
+    def __init__(self, data: bytes):
         size = 1 << max(20, (len(data) + 1).bit_length())
-        table = np.random.default_rng(1000 + which).integers(0, 1 << 64, 256, dtype=np.uint64)
+        table = np.random.default_rng(1000).integers(0, 1 << 64, 256, dtype=np.uint64)
         raw = np.frombuffer(data, np.uint8)
         self.sums = np.zeros(len(raw) + 1, np.uint64)
-        np.cumsum(table[raw] * _powers(_BASES[which], size)[: len(raw)], out=self.sums[1:])
-        self.back = _powers(pow(_BASES[which], -1, 1 << 64), size)
+        np.cumsum(table[raw] * _powers(_BASE, size)[: len(raw)], out=self.sums[1:])
+        self.back = _powers(pow(_BASE, -1, 1 << 64), size)
 
     def __call__(self, a, b) -> np.ndarray:
         x = (self.sums[b] - self.sums[a]) * self.back[a]
@@ -79,27 +86,31 @@ def _span(length: int) -> int:
     return max(1, length * 3 // 4)
 
 
-def phrases(data: bytes, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """a, b (first and last window start), m (trigger), core, outer twice, of each phrase of a buffer."""
+def _digests(data: bytes, a: np.ndarray, e: np.ndarray) -> list[bytes]:
+    return [hashlib.blake2b(data[i:j], digest_size=16).digest() for i, j in zip(a.tolist(), e.tolist())]
+
+
+def phrases(data: bytes, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, list[bytes]]:
+    """a, b (first and last window start), m (trigger), core and digest of each phrase of a buffer."""
     span = _span(length)
     gram, n = max(1, min(GRAM, length - span)), len(data) - length + 1
-    one, two = Hasher(data, 0), Hasher(data, 1)
+    hasher = Hasher(data)
     at = np.arange(n + span - 1)
-    bits = max(1, int(len(at)).bit_length())
-    order = (one(at, at + gram) >> np.uint64(bits) << np.uint64(bits)) | at.astype(np.uint64)
-    m = (_sliding_min(order, span) & np.uint64((1 << bits) - 1)).astype(np.int64)
+    bits = np.uint64((SEGMENT + 2 * length).bit_length())  # the same for any buffer
+    order = (hasher(at, at + gram) >> bits << bits) | at.astype(np.uint64)
+    m = (_sliding_min(order, span) & ((np.uint64(1) << bits) - np.uint64(1))).astype(np.int64)
     a = np.flatnonzero(np.concatenate([[True], m[1:] != m[:-1]]))
     b = np.concatenate([a[1:], [n]]) - 1
     m = m[a]
-    core = one(m, m + length - span + 1)
-    return a, b, m, core, one(a, b + length), two(a, b + length)
+    return a, b, m, hasher(m, m + length - span + 1), _digests(data, a, b + length)
 
 
 def _emit(keys, found: list[tuple]) -> pa.RecordBatch:
-    """keys: r1, r2 columns; found: (row, a, b, m, core, outer, outer) arrays."""
+    """keys: r1, r2 columns; found: (row, a, b, m, core, digests) of each."""
     rows = pa.array(np.repeat([f[0] for f in found], [len(f[1]) for f in found]) if found else [], pa.int64())
-    cols = [np.concatenate([f[i] for f in found]) if found else np.zeros(0) for i in range(1, 7)]
-    arrays = [k.take(rows) for k in keys] + [pa.array(c.astype(np.int32)) for c in cols[:3]] + [pa.array(c.astype(np.uint64).view(np.int64)) for c in cols[3:]]
+    cols = [np.concatenate([f[i] for f in found]) if found else np.zeros(0) for i in range(1, 5)]
+    arrays = [k.take(rows) for k in keys] + [pa.array(c.astype(np.int32)) for c in cols[:3]]
+    arrays += [pa.array(cols[3].astype(np.uint64).view(np.int64)), pa.array([d for f in found for d in f[5]], pa.binary())]
     return pa.RecordBatch.from_arrays(arrays, names=[x.split()[0] for x in _ITEM.split(", ")])
 
 
@@ -141,10 +152,9 @@ def _narrower(texts: DataFrame, todo: DataFrame, length: int, block: int) -> Dat
                     if own.any():
                         base = max(0, s - 2 * length)
                         part = data[base : s + SEGMENT + 3 * length]
-                        one, two = Hasher(part, 0), Hasher(part, 1)
                         p, q, c = lo[own] - base, hi[own] - base, high[own] - base
-                        core = one(c, c - block + 1 + length)
-                        found.append((i, lo[own], hi[own], m[own], core, one(p, q + length), two(p, q + length)))
+                        core = Hasher(part)(c, c - block + 1 + length)
+                        found.append((i, lo[own], hi[own], m[own], core, _digests(part, p, q + length)))
                         held += len(p)
                 if held > 200_000:
                     yield _emit(batch.columns[:2], found)
@@ -160,15 +170,77 @@ def _with_text(texts: DataFrame, wanted: DataFrame) -> DataFrame:
     return texts.join(w, (F.col("r1") == F.col("w1")) & (F.col("r2") == F.col("w2")))
 
 
-def _settle(items: DataFrame, cut: Cut) -> tuple[DataFrame, DataFrame]:
-    """Items whose windows are all repeated (r1, r2, a, b), and those to look at more closely."""
-    classes = cut(items.groupBy("k", "o1", "o2").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("r1", "r2", "a", "b", "m")).alias("one")))
-    several = classes.where("n > 1").select(F.col("k").alias("ck"), F.col("o1").alias("c1"), F.col("o2").alias("c2"))
-    same = (F.col("k") == F.col("ck")) & (F.col("o1") == F.col("c1")) & (F.col("o2") == F.col("c2"))
-    whole = cut(items.join(several, same, "left_semi").select(*_KEYS, "a", "b"))
-    open_ = classes.groupBy("k").agg(F.count(F.lit(1)).alias("kinds"), F.min("n").alias("least")).where("kinds > 1 and least = 1").select(F.col("k").alias("ck"))
-    todo = classes.join(open_, F.col("k") == F.col("ck"), "left_semi").select("one.*")
-    return whole, todo
+def _semi(rows: DataFrame, keys: DataFrame, on: list[str], total: int) -> DataFrame:
+    """The rows whose `on` is among keys(on..., n), n being how many of about `total` rows have it.
+    Frequent keys come by broadcast, so none of them fills a task; their number is below HOT."""
+    often = max(1000, total // HOT)
+    named = keys.select("n", *[F.col(c).alias(f"_{c}") for c in on])
+    same = [F.col(c) == F.col(f"_{c}") for c in on]
+    hot, rest = F.broadcast(named.where(F.col("n") > often)), named.where(F.col("n") <= often)
+    return rows.join(hot, same, "left_semi").union(rows.join(hot, same, "left_anti").join(rest, same, "left_semi"))
+
+
+def _settle(items: DataFrame, cut: Cut) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Items whose windows are all repeated (r1, r2, a, b); one item of each digest of a core that
+    has several of them, one of them met once only: those of at most GROUP digests, and the others."""
+    total = items.count()
+    classes = cut(items.groupBy("k", "o").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("r1", "r2", "a", "b", "m")).alias("one")))
+    whole = cut(_semi(items, classes.where("n > 1"), ["k", "o"], total).select(*_KEYS, "a", "b"))
+    cores = cut(classes.groupBy("k").agg(F.count(F.lit(1)).alias("n"), F.min("n").alias("least")).where("n > 1 and least = 1").drop("least"))
+    few = classes.join(cores.where(F.col("n") <= GROUP).select("k"), "k", "left_semi").select("one.*", "k")
+    many = _semi(classes.select("one", "k"), cores.where(F.col("n") > GROUP), ["k"], total).select("one.*", "k")
+    return whole, few, many
+
+
+def _ordered(texts: DataFrame, todo: DataFrame, length: int) -> DataFrame:
+    """r1, r2, a, b: runs of window starts of todo's items that are repeated among those of their core."""
+
+    def strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def out() -> pa.RecordBatch:
+            kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.binary())
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(list(zip(*held)) or [()] * 6, kinds)], names=["r1", "r2", "a", "n", "k", "own"])
+
+        held, size = [], 0
+        for batch in batches:
+            for r1, r2, data, items in zip(*[batch.column(c) for c in range(4)]):
+                r1, r2, data = r1.as_py(), r2.as_py(), data.as_buffer()
+                for a, b, k in zip(*[items.values.field(c).to_pylist() for c in (0, 1, 3)]):
+                    held.append((r1, r2, a, b - a + 1, k, data[a : b + length].to_pybytes()))
+                    size += b - a + length
+                if size > ORDERED:
+                    yield out()
+                    held, size = [], 0
+        yield out()
+
+    def runs(r1, r2, a, n, texts: list[bytes]) -> pa.RecordBatch:
+        sizes, n = np.array([len(x) for x in texts], np.int64), np.asarray(n, np.int64)
+        offsets = np.concatenate([[0], np.cumsum(sizes)])
+        places = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(offsets[:-1], n)
+        hit = repeated_places(np.frombuffer(b"".join(texts), np.uint8), offsets, places, length)
+        of = np.searchsorted(offsets, hit, "right") - 1
+        first = np.flatnonzero(np.concatenate([[True], (np.diff(hit) > 1) | (np.diff(of) > 0)])) if len(hit) else np.zeros(0, np.int64)
+        last = np.append(first[1:], len(hit))[: len(first)] - 1
+        of, lo, hi = of[first], hit[first], hit[last]
+        a = np.asarray(a, np.int64)[of] - offsets[of]
+        take = pa.array(of)
+        return pa.RecordBatch.from_arrays([pa.array(r1, pa.int64()).take(take), pa.array(r2, pa.int64()).take(take), pa.array((a + lo).astype(np.int32)), pa.array((a + hi).astype(np.int32))], names=["r1", "r2", "a", "b"])
+
+    def order(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size, last = [[] for _ in range(5)], 0, None
+        for batch in batches:
+            for *row, k, own in zip(*[batch.column(c).to_pylist() for c in range(6)]):
+                if size > ORDERED and k != last:
+                    yield runs(*held)
+                    held, size = [[] for _ in range(5)], 0
+                for column, x in zip(held, (*row, own)):
+                    column.append(x)
+                size, last = size + len(own), k
+        if size:
+            yield runs(*held)
+
+    wanted = todo.groupBy(*_KEYS).agg(F.collect_list(F.struct("a", "b", "m", "k")).alias("items"))
+    dealt = _with_text(texts, wanted).select(*_KEYS, "bytes", "items").mapInArrow(strings, "r1 long, r2 long, a int, n int, k long, own binary")
+    return dealt.repartition("k").sortWithinPartitions("k").mapInArrow(order, "r1 long, r2 long, a int, b int")
 
 
 def _removed(length: int):
@@ -207,19 +279,21 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id"
     own = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("bytes"))
     own = own.select(F.xxhash64(F.col("id"), F.col("bytes")).alias("r1"), F.xxhash64(F.lit(7), F.col("bytes"), F.col("id")).alias("r2"), "id", "bytes")
     items = cut(_all_phrases(own, length))
-    again = items.groupBy("k").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("k").alias("ck"))
-    shared = cut(items.join(again, F.col("k") == F.col("ck"), "left_semi"))
+    again = cut(items.groupBy("k").agg(F.count(F.lit(1)).alias("n")).where("n > 1"))
+    shared = cut(_semi(items, again, ["k"], items.count()))
     cut.drop(items)
     touched = shared.select(*_KEYS).distinct()
     texts = cut(_with_text(own, touched).select(*_KEYS, "id", "bytes"))
-    whole, todo = _settle(shared, cut)
-    found = [whole]
+    spans, few, many = _settle(shared, cut)
+    spans = spans.union(cut(_ordered(texts, few, length)))
     for block in (max(1, min(BLOCK, length // 4)), 1):
-        parts = cut(_narrower(texts, todo, length, block))
-        whole, todo = _settle(parts, cut)
-        found.append(whole)
-    spans = found[0].union(found[1]).union(found[2]).distinct()
-    spans = cut(spans.groupBy(*_KEYS).agg(F.collect_list(F.struct("a", "b")).alias("items")))
+        if many.isEmpty():
+            break
+        whole, few, many = _settle(cut(_narrower(texts, many, length, block)), cut)
+        spans = spans.union(whole)
+        if block > 1:  # a single window is its own core: no other digest has it
+            spans = spans.union(cut(_ordered(texts, few, length)))
+    spans = cut(spans.distinct().groupBy(*_KEYS).agg(F.collect_list(F.struct("a", "b")).alias("items")))
     hit = _with_text(texts, spans).select("id", "bytes", "items")
     kind = docs.schema[id_col].dataType.simpleString()
     hit = hit.mapInArrow(_removed(length), f"id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
