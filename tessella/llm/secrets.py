@@ -12,7 +12,6 @@ base64, and to the whole run through compression.
 from __future__ import annotations
 
 import base64
-import binascii
 import bz2
 import codecs
 import hashlib
@@ -46,6 +45,10 @@ _WRAPPED = re.compile(r"(?:[A-Za-z0-9+/_-]{16,}\r?\n)+[A-Za-z0-9+/_-]+={0,2}")
 _PIECE, _OVERLAP = 4_000_000, 65_536
 #: What an encoded run that goes on in the next piece is made of.
 _OPEN = re.compile(r"[A-Za-z0-9+/_=\-%\\&#;{}\r\n]*")
+#: Base64 digits of either alphabet as those of the first, and what stands between them as nothing.
+_DIGITS = str.maketrans("-_", "+/", "\r\n=")
+#: How a compressed stream begins: gzip, zlib, bzip2, xz, zstd.
+_MAGIC = re.compile(rb"\x1f\x8b\x08|\x78[\x01\x5e\x9c\xda]|BZh[1-9]1AY|\xfd7zXZ\0|\x28\xb5\x2f\xfd")
 _UNSOUND = (OSError, ValueError, EOFError, zlib.error, lzma.LZMAError, zstandard.ZstdError)
 
 
@@ -160,7 +163,7 @@ def _pump(stream, new, tail) -> Iterator[bytes]:
 class _Pieces(io.RawIOBase):
     """Pieces of bytes as a stream."""
 
-    def __init__(self, pieces: Iterator[bytes]):
+    def __init__(self, pieces: Iterator[bytes | memoryview]):
         self.pieces, self.rest = pieces, b""
 
     def readable(self) -> bool:
@@ -177,7 +180,7 @@ class _Pieces(io.RawIOBase):
         return n
 
 
-def _inner_texts(data: bytes) -> Iterator[str]:
+def _inner_texts(data: bytes | memoryview) -> Iterator[str]:
     """The text in a compressed stream, however often it was compressed, by overlapping pieces."""
     stream, seen = io.BufferedReader(_Pieces(iter([data]))), set()
     while (pieces := _inflate(stream)) is not None:
@@ -202,38 +205,40 @@ def _inner_texts(data: bytes) -> Iterator[str]:
 
 
 def _from_base64(layer: Layer) -> Iterator[Layer]:
+    """Each run's bytes as text, read from its first four characters on: what stands before the
+    encoded part without a sign of its own (a path, a prefix, a key) shifts it by some of them.
+    Compressed streams are looked for anywhere in those bytes."""
     runs = [(m.start(), m.end()) for m in _BASE64.finditer(layer.text)]
     if runs and "\n" in layer.text:
         runs += [(m.start(), m.end()) for m in _WRAPPED.finditer(layer.text)]
     for a, b in runs:
         own = layer.text[a:b]
-        digits = own.replace("\r", "").replace("\n", "").rstrip("=").replace("-", "+").replace("_", "/")
-        if len(digits) % 4 == 1:
-            continue
-        try:
-            data = base64.b64decode(digits + "=" * (-len(digits) % 4), validate=True)
-        except (binascii.Error, ValueError):
-            continue
-        try:
-            text = data.decode("utf-8")
-            widths = np.array([len(c.encode()) for c in text], np.int64)
-            last = np.cumsum(widths) - 1
-            first = last + 1 - widths
-        except UnicodeDecodeError:
-            text, *at = _chars(data, 1)
-            first, last = np.array(at[0], np.int64), np.array(at[1], np.int64) - 1
-        kept = [i for i, c in enumerate(own) if c not in "\r\n="]
-        at = np.array(kept, np.int64)
-        lo = at[first // 3 * 4] + a
-        group = last // 3 * 4 + 3
-        hi = np.where(group >= len(at) - 1, len(own) - 1, at[np.minimum(group, len(at) - 1)]) + a  # padding goes with the last group
-        yield Layer(text, lo if layer.starts is None else layer.starts[lo], hi + 1 if layer.ends is None else layer.ends[hi])
-        yield from _inflated(data, *layer.span(a, b))
-
-
-def _inflated(data: bytes, start: int, end: int) -> Iterator[Layer]:
+        at = np.array([i for i, c in enumerate(own) if c not in "\r\n="], np.int64)
+        digits = own.translate(_DIGITS)
+        for shift in range(4):
+            some = digits[shift:]
+            some = some[: len(some) - (len(some) % 4 == 1)]
+            data = base64.b64decode(some + "=" * (-len(some) % 4))
+            places = at[shift : shift + len(some)]
+            begins = lambda byte, places=places: places[byte // 3 * 4] + a
+            if data.isascii():
+                text, first = data.decode("ascii"), np.arange(len(data))
+                last = first
+            else:
+                text, *found = _chars(data, 1)
+                first, last = np.array(found[0], np.int64), np.array(found[1], np.int64) - 1
+            lo, group = begins(first), last // 3 * 4 + 3
+            hi = np.where(group >= len(places) - 1, b - 1 if len(some) + shift == len(at) else places[-1] + a, places[np.minimum(group, len(places) - 1)] + a)  # padding goes with the last group
+            yield Layer(text, lo if layer.starts is None else layer.starts[lo], hi + 1 if layer.ends is None else layer.ends[hi])
+            for m in _MAGIC.finditer(data):
+                yield from _inflated(memoryview(data)[m.start() :], *layer.span(int(begins(m.start())), b))
+
+
+def _inflated(data: bytes | memoryview, start: int, end: int) -> Iterator[Layer]:
     try:
-        for piece in _inner_texts(data) if _inflate(io.BufferedReader(io.BytesIO(data))) is not None else ():
+        if data[:1] == b"\x78":  # two bytes say little: a bit of it must unpack
+            zlib.decompressobj().decompress(data[:1024], 64)
+        for piece in _inner_texts(data) if _inflate(io.BufferedReader(io.BytesIO(data[:16]))) is not None else ():
             yield Layer(piece, np.full(len(piece), start), np.full(len(piece), end))
     except _UNSOUND:
         return  # not a sound stream
@@ -313,7 +318,8 @@ def mask(text: str | None, spans: list[tuple[int, int, int]], sign: str = "*") -
 
 
 def without_secrets(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """docs with the secrets in text_col masked, in all layers; no row or column goes."""
+    """docs with the secrets in text_col masked, in all layers; no row or column goes. A null stays
+    null, an empty text empty, a text without secrets as it is; an empty table gives an empty one."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
