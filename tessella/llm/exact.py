@@ -130,16 +130,15 @@ def _probe(_, new: pd.DataFrame, index: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"digest": [x[0] for x in made], "keep_id": pd.array([x[1] for x in made], "Int64"), "group_size": [x[2] for x in made]})
 
 
-def _grouped(rows: DataFrame, shards: int) -> DataFrame:
-    shard = F.pmod(F.conv(F.hex(F.substring("digest", 1, 4)), 16, 10).cast("long"), F.lit(shards)).cast("int")
-    return rows.groupBy("digest").agg(F.max("id").alias("max_id"), F.count(F.lit(1)).alias("n")).withColumn("shard", shard)
-
-
 def digest_groups(rows: DataFrame, is_history, cut: Cut) -> DataFrame:
     """rows(id, digest) -> digest, keep_id (largest id), group_size. is_history: which rows are the history."""
-    shards = max(1, -(-rows.count() // (2 * SHARD)))
-    index = cut(build_index(_grouped(rows.where(is_history), shards)))
-    new = _grouped(rows.where(~is_history), shards).withColumn("max_id", F.col("max_id").cast("string"))
+    dealt = rows.withColumn("old", F.coalesce(is_history, F.lit(False)))
+    held = cut(dealt.groupBy("digest", "old").agg(F.max("id").alias("max_id"), F.count(F.lit(1)).alias("n")))
+    shards = max(1, -(-held.count() // (2 * SHARD)))
+    shard = F.pmod(F.conv(F.hex(F.substring("digest", 1, 4)), 16, 10).cast("long"), F.lit(shards)).cast("int")
+    held = held.withColumn("shard", shard)
+    index = cut(build_index(held.where("old").drop("old")))
+    new = held.where(~F.col("old")).drop("old").withColumn("max_id", F.col("max_id").cast("string"))
     return new.groupBy("shard").cogroup(index.groupBy("shard")).applyInPandas(_probe, "digest binary, keep_id long, group_size long")
 
 
@@ -154,7 +153,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """
     cut = Cut(docs.sparkSession, "exact")
     digest = F.unhex(F.sha2(text_of(text_col).cast("binary"), 256))
-    rows = cut(docs.select(F.col(id_col).cast("long").alias("id"), digest.alias("digest")))
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), digest.alias("digest"))
     history = F.pmod(F.xxhash64("id"), F.lit(2)) == 0 if is_history is None else is_history
     groups = cut(digest_groups(rows, history, cut))
     out = rows.join(groups, "digest")
@@ -164,15 +163,18 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 def keep_distinct(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs without all rows but one of each group of equal texts; their columns are kept.
 
-    The row with the largest id stays; of rows that repeat id and text, any one.
+    The row with the largest id stays; of rows that repeat id and text, any one. Null texts count as
+    empty; an empty table gives an empty one.
     """
     cut = Cut(docs.sparkSession, "exact")
     d, i, g, k = fresh(docs, "digest_", "id_", "gdigest_", "keep_id_")
     marked = docs.withColumn(d, F.unhex(F.sha2(text_of(text_col).cast("binary"), 256))).withColumn(i, F.col(id_col).cast("long"))
-    rows = cut(marked.select(F.col(i).alias("id"), F.col(d).alias("digest")))
+    rows = marked.select(F.col(i).alias("id"), F.col(d).alias("digest"))
     groups = digest_groups(rows, F.pmod(F.xxhash64("id"), F.lit(2)) == 0, cut)
     named = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
     groups = cut(groups.select(F.col("digest").alias(g), named("keep_id").alias(k)))
     # keyed by digest and id together, the hot text's many rows spread over the join's tasks
-    stay = marked.withColumn(i, named(i)).join(groups, (F.col(d) == F.col(g)) & (F.col(i) == F.col(k)), "left_semi")
-    return stay.dropDuplicates([d, i]).drop(d, i)
+    stay = marked.withColumn(i, named(i)).join(groups.hint("shuffle_hash"), (F.col(d) == F.col(g)) & (F.col(i) == F.col(k)), "left_semi")
+    if not rows.groupBy("id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").isEmpty():  # ids alone, no texts
+        stay = stay.dropDuplicates([d, i])
+    return stay.drop(d, i)
