@@ -11,7 +11,6 @@ which ranks of a length go where; pieces are ranked within their length over man
 
 from __future__ import annotations
 
-import json
 import zlib
 from bisect import bisect_left, insort
 from collections.abc import Iterator
@@ -24,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .common import Cut
-from .tokens import WORD_VOCAB, Encoder, Tokenizer
+from .tokens import WORD_VOCAB, Tokenizer, lower_case_encoder
 
 LIMIT, END_ID = 4096, 1
 #: Sizes that large lengths are rounded up to; lengths over limit / LARGE are large.
@@ -175,18 +174,19 @@ def placements(packed: list[tuple[int, tuple]]) -> dict[str, np.ndarray]:
 def pieces(docs: DataFrame, vocab_path: str | None = None, limit: int = LIMIT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, piece, start, length, ids_crc32 of each document's ids and the end id, cut at the limit."""
     spec = Tokenizer.from_file(vocab_path or public_tokenizers.path(WORD_VOCAB)).to_str()
-    pattern = json.loads(spec)["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]
     end = np.array([END_ID], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokenizer = Tokenizer.from_str(spec)
         tokenizer.no_truncation()
         tokenizer.no_padding()
-        encoder = Encoder(tokenizer, pattern, True, lambda ids: np.array(ids, "<u4").tobytes())
+        packed = lambda ids: np.array(ids, "<u4").tobytes()
+        encoder = lower_case_encoder(tokenizer, packed)  # None: a tokenizer of another make
+        encode = encoder.values if encoder else lambda x: [packed(tokenizer.encode(x, add_special_tokens=False).ids)]
         for batch in batches:
             own, out = [], []
             for i, x in enumerate(batch.column(1)):
-                ids = b"".join([*encoder.values(x.as_py() or ""), end])
+                ids = b"".join([*encode(x.as_py() or ""), end])
                 for at in range(0, len(ids), 4 * limit):
                     part = ids[at : at + 4 * limit]
                     own.append(i)

@@ -17,6 +17,7 @@ from functools import lru_cache
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
+import numpy as np  # noqa: E402
 import public_tokenizers  # noqa: E402
 import pyarrow as pa  # noqa: E402
 from pyspark.sql import DataFrame  # noqa: E402
@@ -81,8 +82,9 @@ class Encoder:
     `value` turns a list of ids into what is kept of it.
     """
 
-    def __init__(self, tokenizer: Tokenizer, pattern: str, lower: bool, value: Callable[[list[int]], object], most: int = 400_000):
-        self.tokenizer, self.lower, self.value, self.most, self.kept = tokenizer, lower, value, most, {}
+    def __init__(self, tokenizer: Tokenizer, pattern: str, lower: bool, value: Callable[[list[int]], object], most: int = 400_000, longest: int = 64):
+        self.tokenizer, self.lower, self.value, self.kept = tokenizer, lower, value, {}
+        self.most, self.longest = most, longest  # pieces that are remembered, and their characters at most
         letters, numbers = _latin("L"), _latin("N")
         plain = re.sub(r"\[(\^?)((?:\\s|\\p\{[LN]\})+)\]", lambda m: f"[{m[1]}{m[2].replace(chr(92) + 'p{L}', letters).replace(chr(92) + 'p{N}', numbers)}]", pattern)
         self.pieces = re.compile(plain.replace(r"\p{L}", f"[{letters}]").replace(r"\p{N}", f"[{numbers}]")).findall
@@ -99,12 +101,12 @@ class Encoder:
         plain = text.lower() if self.lower else text
         if _FOREIGN.search(plain) or (self.lower and "<|" in text):
             return [self.value(self.tokenizer.encode(text, add_special_tokens=False).ids)]
-        kept, pieces = self.kept, self.pieces(plain)
+        kept, pieces, long = self.kept, self.pieces(plain), {}
         if len(kept) > self.most:
             kept.clear()
         for piece in set(pieces).difference(kept):
-            kept[piece] = self._new(piece)
-        return [kept[piece] for piece in pieces]
+            (kept if len(piece) <= self.longest else long)[piece] = self._new(piece)
+        return [long[piece] if piece in long else kept[piece] for piece in pieces] if long else [kept[piece] for piece in pieces]
 
 
 def lower_case_encoder(tokenizer: Tokenizer, value: Callable[[list[int]], object]) -> Encoder | None:
@@ -118,45 +120,101 @@ def lower_case_encoder(tokenizer: Tokenizer, value: Callable[[list[int]], object
     return Encoder(tokenizer, cuts[0]["pattern"]["Regex"], True, value)
 
 
-def encode_with_offsets(tokenizer: Tokenizer, text: str) -> tuple[list[int], list[tuple[int, int]]]:
-    """Ids and their code point ranges; a character split over tokens is in the range of each."""
-    made = tokenizer.encode(text, add_special_tokens=False)
-    return made.ids, made.offsets
+def token_bytes(tokenizer: Tokenizer) -> list[bytes]:
+    """The bytes of each id, by the reversed byte table."""
+    back, vocab = {c: b for b, c in enumerate(byte_chars())}, tokenizer.get_vocab()
+    out = [b""] * (max(vocab.values(), default=-1) + 1)
+    for token, i in vocab.items():
+        out[i] = bytes(back[c] for c in token)
+    return out
+
+
+def offsets(data: bytes, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First and last code point (exclusive) of tokens of so many bytes each, of a text in UTF-8. A
+    character that is split over tokens belongs to each of them."""
+    end = np.cumsum(sizes)
+    if data.isascii():
+        return end - sizes, end
+    of = np.cumsum((np.frombuffer(data, np.uint8) & 0xC0) != 0x80) - 1  # the code point of each byte
+    return of[end - sizes], of[end - 1] + 1
+
+
+def _broadcast(df: DataFrame, value):
+    return df.sparkSession.sparkContext.broadcast(value)
+
 
+def encode(docs: DataFrame, ranks_path: str | None = None, pattern: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per input row: <id_col>, ids, starts, ends (arrays of int: ids and code point offsets).
 
-def decode_bytes(tokenizer: Tokenizer, ids: list[int], back: dict[str, int] | None = None) -> bytes:
-    """The ids' bytes by the reversed byte table; characters split over tokens come together again."""
-    back = back or {c: b for b, c in enumerate(byte_chars())}
-    return bytes(back[c] for i in ids for c in tokenizer.id_to_token(i))
+    Whole texts are encoded without special tokens; null counts as empty, with no token. Repeated
+    rows repeat; extra columns are ignored; an empty table gives an empty result.
+    """
+    ranks, pattern = read_ranks(ranks_path or public_tokenizers.path(BYTE_RANKS)), pattern or public_tokenizers.PATTERN
+    spec, names = byte_tokenizer(ranks, pattern).to_str(), [id_col, "ids", "starts", "ends"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tokenizer = Tokenizer.from_str(spec)
+        sizes = np.array([len(x) for x in token_bytes(tokenizer)], np.int32)
+        encoder = Encoder(tokenizer, pattern, False, lambda ids: np.array(ids, np.int32).tobytes())
+        for batch in batches:
+            texts = [x or "" for x in batch.column(1).to_pylist()]
+            for a, b in runs(texts):
+                out = []
+                for text in texts[a:b]:
+                    ids = np.frombuffer(b"".join(encoder.values(text)), np.int32)
+                    out.append((ids, *offsets(text.encode(), sizes[ids])))
+                lengths = pa.array(np.cumsum([0, *(len(x[0]) for x in out)]).astype(np.int32))
+                cols = [pa.ListArray.from_arrays(lengths, pa.array(np.concatenate(c).astype(np.int32))) for c in zip(*out)]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), *cols], names=names)
+
+    kind = docs.schema[id_col].dataType.simpleString()
+    return docs.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, ids array<int>, starts array<int>, ends array<int>")
+
+
+def decode(encoded: DataFrame, ranks_path: str | None = None, id_col: str = "doc_id") -> DataFrame:
+    """encoded(<id_col>, ids) -> <id_col>, bytes: what the ids stand for. A null or empty list gives
+    no bytes; extra columns are ignored; an empty table gives an empty result."""
+    table = {i: token for token, i in read_ranks(ranks_path or public_tokenizers.path(BYTE_RANKS)).items()}
+    shared = _broadcast(encoded, table)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = shared.value
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([b"".join([table[i] for i in x.as_py() or ()]) for x in batch.column(1)], pa.binary())], names=[id_col, "bytes"])
+
+    kind = encoded.schema[id_col].dataType.simpleString()
+    return encoded.select(id_col, "ids").mapInArrow(run, f"`{id_col}` {kind}, bytes binary")
 
 
 def byte_round_trip(docs: DataFrame, ranks_path: str | None = None, pattern: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per input row: <id_col>, n_tokens, ids_sha256 (decimal ids, space-joined), decoded_sha256.
+    """One row per input row: <id_col>, n_tokens, ids_sha256 (decimal ids, space-joined),
+    decoded_sha256, offsets_sha256 (start:end of each token, space-joined), n_split (characters
+    that are split over tokens).
 
-    Whole texts are encoded without special tokens and decoded again; null counts as empty, with no
-    token. Repeated rows repeat; extra columns are ignored; an empty table gives an empty result.
+    What `encode` gives, and its ids decoded again, as digests. Null counts as empty, with no token.
+    Repeated rows repeat; extra columns are ignored; an empty table gives an empty result.
     """
     ranks = read_ranks(ranks_path or public_tokenizers.path(BYTE_RANKS))
-    pattern = pattern or public_tokenizers.PATTERN
-    spec = byte_tokenizer(ranks, pattern).to_str()
-    names = [id_col, "n_tokens", "ids_sha256", "decoded_sha256"]
+    back = _broadcast(docs, {i: token for token, i in ranks.items()})
+    names = [id_col, "n_tokens", "ids_sha256", "decoded_sha256", "offsets_sha256", "n_split"]
+    sha = lambda x: hashlib.sha256(x).hexdigest()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokenizer = Tokenizer.from_str(spec)
-        back = {c: b for b, c in enumerate(byte_chars())}
-        table = {i: bytes(back[c] for c in token) for token, i in tokenizer.get_vocab().items()}
-        encoder = Encoder(tokenizer, pattern, False, lambda ids: (len(ids), " ".join(map(str, ids)).encode(), b"".join([table[i] for i in ids])))
+        table = back.value
+        shown: dict[int, str] = {i: str(i) for i in table}
         for batch in batches:
             out = []
-            for x in batch.column(1):
-                made = encoder.values(x.as_py() or "")
-                ids, plain = b" ".join([v[1] for v in made]), b"".join([v[2] for v in made])
-                out.append((sum([v[0] for v in made]), hashlib.sha256(ids).hexdigest(), hashlib.sha256(plain).hexdigest()))
-            cols = list(zip(*out)) or [()] * 3
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.string()), pa.array(cols[2], pa.string())], names=names)
+            for ids, starts, ends in zip(*[batch.column(k) for k in (1, 2, 3)]):
+                ids, starts, ends = ids.values.to_pylist(), starts.values.to_numpy(), ends.values.to_numpy()
+                split = np.unique(ends[:-1][ends[:-1] > starts[1:]]).size
+                places = " ".join([f"{a}:{b}" for a, b in zip(starts.tolist(), ends.tolist())])
+                out.append((len(ids), sha(" ".join([shown[i] for i in ids]).encode()), sha(b"".join([table[i] for i in ids])), sha(places.encode()), split))
+            cols = list(zip(*out)) or [()] * 5
+            kinds = (pa.int64(), pa.string(), pa.string(), pa.string(), pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0), *map(pa.array, cols, kinds)], names=names)
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return encode(docs, ranks_path, pattern, id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string, offsets_sha256 string, n_split long")
 
 
 # Counts ------------------------------------------------------------------------------------------
@@ -177,16 +235,27 @@ def _starts(text: str, base: int, encoding) -> dict[int, int]:
     return out
 
 
+@lru_cache(1)
+def _joining() -> frozenset[str]:
+    """Characters that normalisation may join to what stands before them, without being marks."""
+    parts = (unicodedata.decomposition(chr(c)).split() for c in range(0xA0, 0x2FA20))
+    second = {chr(int(p[1], 16)) for p in parts if len(p) == 2 and p[0][0] != "<"}
+    return frozenset(second | {chr(c) for c in (*range(0x1161, 0x1176), *range(0x11A8, 0x11C3))})
+
+
 def _stable(text: str, at: int) -> bool:
-    """No normalisation reaches across: an ASCII letter or sign on both sides."""
-    return 0 < at < len(text) and text[at - 1] < "\x80" and text[at] < "\x80"
+    """No normalisation reaches across: what follows neither is a mark nor joins what stands before."""
+    if not 0 < at < len(text):
+        return False
+    c = text[at]
+    return c < "\x80" or (unicodedata.combining(c) == 0 and c not in _joining() and unicodedata.is_normalized("NFC", c))
 
 
 def resynchronised_count(tokenizer: Tokenizer, text: str, chunk: int = CHUNK, overlap: int = OVERLAP) -> int:
     """The tokens of a text of any length, from overlapping chunks.
 
-    Two neighbours are spliced where both begin a piece at the same place between ASCII characters,
-    clear of the left chunk's end. Left of it, the left chunk has seen all that its tokens depend
+    Two neighbours are spliced where both begin a piece at the same place that normalisation doesn't
+    reach across, clear of the left chunk's end. Left of it, the left chunk has seen all that its tokens depend
     on; from a piece's beginning onward, encoding depends on what follows only, so the right chunk
     agrees with the whole text there. Without such a place the overlap is doubled, down to one
     encoding of everything from the left chunk's beginning.
