@@ -22,23 +22,22 @@ from pyspark.sql import functions as F
 
 from .common import Cut
 
-#: Trigram buckets; languages at most (more raise an error); trigrams that a text's evidence counts for at most.
+#: Trigram buckets; languages at most (more raise an error); independent trigrams that a text's evidence counts for at most.
 BUCKETS, LANGUAGES, EVIDENCE = 1 << 16, 256, 30.0
 #: Pages that a parent's shares count for in its children's prior.
 PRIOR = 5.0
 _COUNTRY = {"de": "de", "at": "de", "fr": "fr", "es": "es", "mx": "es", "ar": "es", "uk": "en", "us": "en", "au": "en", "ie": "en", "it": "it", "pt": "pt", "br": "pt", "nl": "nl", "pl": "pl", "jp": "ja", "cn": "zh", "ru": "ru"}
-_HIDDEN = re.compile(r"(?is)<(script|style|noscript|template|nav|footer|aside|head)\b.*?</\1\s*>|<!--.*?-->")
-_MAIN = re.compile(r"(?is)<(article|main)\b[^>]*>(.*?)</\1\s*>")
+_HIDDEN = re.compile(r"(?is)<(script|style|noscript|template)\b.*?</\1\s*>|<!--.*?-->")
+#: Second-level labels under which countries register domains.
+_SECOND = {"ac", "co", "com", "edu", "gob", "gov", "ne", "net", "or", "org"}
 _TAG = re.compile(r"(?s)<[^>]*>")
 _DECLARED = (re.compile(r"""(?is)<html\b[^>]*?\s(?:xml:)?lang\s*=\s*["']?\s*([A-Za-z]{2,3})\b"""), re.compile(r"""(?is)<meta\b[^>]*?(?:content-language|og:locale)["'][^>]*?content\s*=\s*["']\s*([A-Za-z]{2,3})\b"""))
 _SEGMENT = re.compile(r"/([A-Za-z]{2})(?:[-_][A-Za-z]{2})?(?:/|$)")
 
 
 def visible(page: str | None) -> str:
-    """The page's main text: its article or main element if it has one, without tags."""
-    body = _HIDDEN.sub(" ", page or "")
-    main = " ".join(m[2] for m in _MAIN.finditer(body))
-    return entities.unescape(_TAG.sub(" ", main if main.strip() else body))
+    """All text of a page that is shown, menus and footers too, without tags."""
+    return entities.unescape(_TAG.sub(" ", _HIDDEN.sub(" ", page or "")))
 
 
 def declared(page: str | None) -> str | None:
@@ -49,7 +48,8 @@ def declared(page: str | None) -> str | None:
 
 
 def address(url: str | None) -> tuple[str, str, str | None]:
-    """Host, registered domain (its last two labels) and the language the address hints at."""
+    """Host, registered domain (its last two labels; three under a country's second-level label) and
+    the language the address hints at."""
     try:
         parts = urlsplit(url or "")
         host, path = (parts.hostname or "").rstrip("."), parts.path
@@ -59,15 +59,26 @@ def address(url: str | None) -> tuple[str, str, str | None]:
     hint = m[1].lower() if (m := _SEGMENT.match(path)) else None
     if hint is None and len(labels) > 1:
         hint = _COUNTRY.get(labels[-1]) or (labels[0] if len(labels) > 2 and len(labels[0]) == 2 else None)
-    return host, ".".join(labels[-2:]), hint
+    deep = len(labels) > 2 and len(labels[-1]) == 2 and labels[-2] in _SECOND
+    return host, ".".join(labels[-3 if deep else -2 :]), hint
 
 
-def _trigrams(text: str) -> np.ndarray:
-    raw = np.frombuffer(" ".join(["", *text.lower().split(), ""]).encode("utf-8", "replace"), np.uint8).astype(np.uint32)
-    if len(raw) < 3:
-        return np.zeros(0, np.int64)
-    code = (raw[:-2] << 16) | (raw[1:-1] << 8) | raw[2:]
-    return ((code * np.uint32(2654435761)) >> np.uint32(16)).astype(np.int64) % BUCKETS
+def _trigrams(text: str, most: int = 1 << 20) -> Iterator[np.ndarray]:
+    """The buckets of all byte trigrams of the text, in runs of about `most`."""
+    whole = np.frombuffer(" ".join(["", *text.lower().split(), ""]).encode("utf-8", "replace"), np.uint8)
+    for at in range(0, max(0, len(whole) - 2), most):
+        raw = whole[at : at + most + 2].astype(np.uint32)
+        code = (raw[:-2] << 16) | (raw[1:-1] << 8) | raw[2:]
+        yield ((code * np.uint32(2654435761)) >> np.uint32(16)).astype(np.int64) % BUCKETS
+
+
+def _likelihoods(table: np.ndarray, text: str, evidence: float) -> tuple[np.ndarray, int]:
+    """log P(text | language) for each language, tempered to `evidence` trigrams, and how many there are."""
+    total, n = np.zeros(len(table)), 0
+    for grams in _trigrams(text):
+        total += table[:, grams].sum(1, dtype=np.float64)
+        n += len(grams)
+    return total * min(1.0, evidence / max(1, n)), n
 
 
 def train(docs: DataFrame, lang_col: str = "lang", text_col: str = "text") -> tuple[list[str], np.ndarray]:
@@ -83,8 +94,8 @@ def train(docs: DataFrame, lang_col: str = "lang", text_col: str = "text") -> tu
         for batch in batches:
             for lang, text in zip(batch.column(0).to_pylist(), batch.column(1)):
                 if lang in number:
-                    for at in range(0, len(data := text.as_py() or ""), 1_000_000):
-                        held[number[lang]] += np.bincount(_trigrams(data[at : at + 1_000_000]), minlength=BUCKETS)
+                    for grams in _trigrams(text.as_py() or ""):
+                        held[number[lang]] += np.bincount(grams, minlength=BUCKETS)
         cells = np.flatnonzero(held)
         yield pa.RecordBatch.from_arrays([pa.array(cells), pa.array(held.reshape(-1)[cells])], names=["cell", "n"])
 
@@ -95,7 +106,7 @@ def train(docs: DataFrame, lang_col: str = "lang", text_col: str = "text") -> tu
     return langs, np.log(counts / counts.sum(1, keepdims=True))
 
 
-def _features(pages: DataFrame, langs: list[str], logs: np.ndarray, id_col: str, url_col: str, html_col: str) -> DataFrame:
+def _features(pages: DataFrame, langs: list[str], logs: np.ndarray, evidence: float, id_col: str, url_col: str, html_col: str) -> DataFrame:
     shared = pages.sparkSession.sparkContext.broadcast(logs.astype(np.float32))
     known = {x: i for i, x in enumerate(langs)}
 
@@ -105,12 +116,11 @@ def _features(pages: DataFrame, langs: list[str], logs: np.ndarray, id_col: str,
             rows = []
             for url, page in zip(batch.column(1).to_pylist(), batch.column(2)):
                 page = page.as_py()
-                grams = _trigrams(visible(page))
-                likely = table[:, grams].sum(1, dtype=np.float64) * min(1.0, EVIDENCE / max(1, len(grams)))
+                likely, grams = _likelihoods(table, visible(page), evidence)
                 host, domain, hint = address(url)
                 said = declared(page)
                 code = lambda x: len(langs) + 1 if x is None else known.get(x, len(langs))
-                rows.append((host, domain, code(said), code(hint), likely.tolist(), int(likely.argmax()) if len(grams) else None))
+                rows.append((host, domain, code(said), code(hint), likely.tolist(), int(likely.argmax()) if grams else None))
             cols = list(zip(*rows)) or [()] * 6
             kinds = (pa.string(), pa.string(), pa.int32(), pa.int32(), pa.list_(pa.float64()), pa.int32())
             yield pa.RecordBatch.from_arrays([batch.column(0), *map(pa.array, cols, kinds)], names=["id", "host", "domain", "said", "hint", "likely", "best"])
@@ -119,9 +129,14 @@ def _features(pages: DataFrame, langs: list[str], logs: np.ndarray, id_col: str,
     return pages.select(id_col, url_col, html_col).mapInArrow(run, f"id {kind}, host string, domain string, said int, hint int, likely array<double>, best int")
 
 
-def identify(pages: DataFrame, docs: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
+def identify(pages: DataFrame, docs: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", evidence: float = EVIDENCE) -> DataFrame:
     """One row per page: <id_col>, host, text_lang, declared_lang, hint_lang, lang, confidence.
 
+    All shown text of a page is read. Its trigrams overlap and come in bursts, so naive Bayes is far
+    too sure of long texts; their log likelihood is tempered: the mean over all trigrams, times
+    their number or `evidence`, whichever is less. Which language a text is likeliest in doesn't
+    change by that, only how much other evidence it takes to overturn it.
+
     Null pages and addresses bring no evidence of their kind; a page without any takes the corpus'
     prior. Declarations and hints of no trained language count as one other. Ties go to the
     alphabetically first language. Repeated pages repeat; extra columns are ignored; empty pages
@@ -134,7 +149,7 @@ def identify(pages: DataFrame, docs: DataFrame, id_col: str = "page_id", url_col
         host = F.parse_url(F.col(url_col), F.lit("HOST"))
         return pages.select(id_col, host.alias("host"), *[F.lit(None).cast("string").alias(n) for n in names], F.lit(None).cast("double").alias("confidence"))
     cut, n = Cut(pages.sparkSession, "language"), len(langs)
-    rows = cut(_features(pages, langs, logs, id_col, url_col, html_col))
+    rows = cut(_features(pages, langs, logs, evidence, id_col, url_col, html_col))
     each = [F.count(F.when(F.col("best") == i, 1)).alias(f"n{i}") for i in range(n)]
     hosts = cut(rows.groupBy("domain", "host").agg(*each))
     domains = hosts.groupBy("domain").agg(*[F.sum(f"n{i}").alias(f"d{i}") for i in range(n)])
