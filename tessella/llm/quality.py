@@ -81,7 +81,7 @@ def statistics(text: str | None) -> tuple[int, ...]:
 
 
 def with_statistics(docs: DataFrame, text_col: str, name: str) -> DataFrame:
-    """docs and a struct column of COUNTS."""
+    """docs and a struct column of COUNTS, all of them from one pass over each text."""
     kind = T.StructType([T.StructField(c, T.LongType()) for c in COUNTS])
     arrow = pa.struct([(c, pa.int64()) for c in COUNTS])
 
@@ -194,15 +194,17 @@ def failed(stats: str) -> Column:
 
 def learn_rules(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> list[Rule]:
     """Rules from the `sample` labelled documents whose ids hash lowest; label 0 is bad. Null ids and
-    labels don't count; of several labels of a document the lowest does."""
+    labels don't count; of several labels of a document the lowest does, and of several texts of one
+    id the one with the least statistics."""
     known = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).cast("long").alias("i")).agg(F.min(label_col).alias("y"))
     few = known.orderBy(F.xxhash64("i"), "i").limit(sample).collect()
     if not few:
         return []
     marked = docs.sparkSession.createDataFrame(few, known.schema)
     own = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).join(F.broadcast(marked), F.col("id") == F.col("i")).select("id", "y", "text")
-    rows = with_statistics(own, "text", "s").select("y", F.xxhash64("id", F.lit(1)).alias("dealt"), *[feature("s", f).alias(f) for f in RATIOS])
-    got = rows.orderBy("dealt").limit(2 * sample).toPandas()
+    rows = with_statistics(own, "text", "s").select("id", "y", F.xxhash64("id", F.lit(1)).alias("dealt"), *[feature("s", f).alias(f) for f in RATIOS])
+    one = rows.groupBy("id").agg(F.min(F.struct("dealt", "y", *RATIOS)).alias("one"))  # a row an id: `sample` at most
+    got = one.select("one.*").orderBy("dealt").toPandas()
     x = {f: got[f].to_numpy(float) for f in RATIOS}
     return learn(x, got["y"].to_numpy(float) < 0.5, got["dealt"].to_numpy(np.int64).view(np.uint64) >> np.uint64(3))
 
@@ -220,6 +222,7 @@ def apply_rules(docs: DataFrame, rules: list[Rule], id_col: str = "doc_id", text
 
 
 def keep_good(docs: DataFrame, rules: list[Rule], text_col: str = "text") -> DataFrame:
-    """docs without the rows that apply_rules rejects; their columns are kept."""
+    """docs without the rows that apply_rules rejects; their columns are kept. Null and empty texts
+    have too few words and go; an empty table gives an empty one."""
     (s,) = fresh(docs, "stats_")
     return with_statistics(docs, text_col, s).where(~failed(s) & verdict(rules, s)).drop(s)
