@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import more_queries  # noqa: F401  registers its queries
+from . import more_queries, space_queries  # noqa: F401  register their queries
 from .queries import ORACLES, QUERIES
 
 FLAGSHIP = "border_k"
