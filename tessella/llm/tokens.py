@@ -188,33 +188,38 @@ def decode(encoded: DataFrame, ranks_path: str | None = None, id_col: str = "doc
 
 def byte_round_trip(docs: DataFrame, ranks_path: str | None = None, pattern: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: <id_col>, n_tokens, ids_sha256 (decimal ids, space-joined),
-    decoded_sha256, offsets_sha256 (start:end of each token, space-joined), n_split (characters
-    that are split over tokens).
+    decoded_sha256, offsets_sha256 (all starts, then all ends, as little-endian 32-bit numbers),
+    n_split (how often a character goes on in the next token).
 
-    What `encode` gives, and its ids decoded again, as digests. Null counts as empty, with no token.
-    Repeated rows repeat; extra columns are ignored; an empty table gives an empty result.
+    What `encode` and `decode` give, as digests made in one pass: of each piece the encoder keeps
+    its ids as text, the bytes they stand for, and these bytes' number by token. Null counts as
+    empty, with no token. Repeated rows repeat; extra columns are ignored; an empty table gives an
+    empty result.
     """
-    ranks = read_ranks(ranks_path or public_tokenizers.path(BYTE_RANKS))
-    back = _broadcast(docs, {i: token for token, i in ranks.items()})
+    ranks, pattern = read_ranks(ranks_path or public_tokenizers.path(BYTE_RANKS)), pattern or public_tokenizers.PATTERN
+    spec = byte_tokenizer(ranks, pattern).to_str()
     names = [id_col, "n_tokens", "ids_sha256", "decoded_sha256", "offsets_sha256", "n_split"]
     sha = lambda x: hashlib.sha256(x).hexdigest()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = back.value
-        shown: dict[int, str] = {i: str(i) for i in table}
+        tokenizer = Tokenizer.from_str(spec)
+        table = token_bytes(tokenizer)
+        encoder = Encoder(tokenizer, pattern, False, lambda ids: (" ".join(map(str, ids)).encode(), b"".join([table[i] for i in ids]), np.array([len(table[i]) for i in ids], np.int32).tobytes()))
         for batch in batches:
             out = []
-            for ids, starts, ends in zip(*[batch.column(k) for k in (1, 2, 3)]):
-                ids, starts, ends = ids.values.to_pylist(), starts.values.to_numpy(), ends.values.to_numpy()
-                split = np.unique(ends[:-1][ends[:-1] > starts[1:]]).size
-                places = " ".join([f"{a}:{b}" for a, b in zip(starts.tolist(), ends.tolist())])
-                out.append((len(ids), sha(" ".join([shown[i] for i in ids]).encode()), sha(b"".join([table[i] for i in ids])), sha(places.encode()), split))
+            for x in batch.column(1):
+                text = x.as_py() or ""
+                made = list(zip(*encoder.values(text))) or [()] * 3
+                sizes = np.frombuffer(b"".join(made[2]), np.int32)
+                starts, ends = offsets(text.encode(), sizes)
+                both = np.concatenate([starts, ends]).astype("<i4")
+                out.append((len(sizes), sha(b" ".join(made[0])), sha(b"".join(made[1])), sha(both), int((ends[:-1] > starts[1:]).sum())))
             cols = list(zip(*out)) or [()] * 5
             kinds = (pa.int64(), pa.string(), pa.string(), pa.string(), pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column(0), *map(pa.array, cols, kinds)], names=names)
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return encode(docs, ranks_path, pattern, id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string, offsets_sha256 string, n_split long")
+    return docs.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string, offsets_sha256 string, n_split long")
 
 
 # Counts ------------------------------------------------------------------------------------------
