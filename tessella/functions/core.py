@@ -93,6 +93,20 @@ def envelope(curves: DataFrame, family: Sequence[str], alpha: float, replicate:
     return depth.select(*family, replicate, "depth", "p_global", "critical", (F.col("depth") >= F.col("critical")).alias("kept"))
 
 
+def envelope_bands(curves: DataFrame, family: Sequence[str], alpha: float, bin_: str = "bin", value: str = "value") -> DataFrame:
+    """The observed curve (replicate 0) with the band of all curves that the global envelope keeps.
+
+    -> family, bin, observed, lower, upper, outside, p_global.
+    """
+    family = list(family)
+    kept = envelope(curves, family, alpha, bin_=bin_, value=value).select(*family, "replicate", "p_global", "kept")
+    both = curves.join(kept, [*family, "replicate"])
+    seen = F.max(F.when(F.col("replicate") == 0, F.col(value)))
+    own = F.when(F.col("kept"), F.col(value))
+    out = both.groupBy(*family, bin_).agg(seen.alias("observed"), F.min(own).alias("lower"), F.max(own).alias("upper"), F.max("p_global").alias("p_global"))
+    return out.select(*family, bin_, "observed", "lower", "upper", ((F.col("observed") < F.col("lower")) | (F.col("observed") > F.col("upper"))).alias("outside"), "p_global")
+
+
 def benjamini_hochberg(df: DataFrame, p: str, order: str, *partition: str, name: str = "q") -> DataFrame:
     """Step-up adjusted p-values; ties in p go by `order`."""
     up = Window.partitionBy(*partition).orderBy(p, order)

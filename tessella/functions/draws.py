@@ -6,8 +6,10 @@ partitions and retries don't matter, and shuffles stay plain window functions of
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Sequence
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -66,3 +68,19 @@ def complementary_error_sql(x: str) -> str:
     for c in reversed(ERFC):
         poly = f"({poly} * {t} + ({c}))"
     return f"({t} * exp(-({x}) * ({x}) + {poly}))"
+
+
+def orders(ids: Sequence, seed: int, n: int) -> np.ndarray:
+    """The shuffles of `shuffled` for one group's ids in order: [replicate, place] -> the row that is drawn."""
+    digest, out = hashlib.md5, np.empty((n, len(ids)), np.int64)
+    tails = [f":{i}".encode() for i in ids]
+    for r in range(n):
+        head = f"{seed}:{r + 1}".encode()
+        keys = [digest(head + t).hexdigest() for t in tails]
+        out[r] = sorted(range(len(ids)), key=keys.__getitem__)
+    return out
+
+
+def uniforms(ids: Sequence, seed: int, n: int) -> np.ndarray:
+    """[replicate, id]: `uniform` of replicate and id."""
+    return np.array([[(int(hashlib.md5(f"{seed}:{r + 1}:{i}".encode()).hexdigest()[:8], 16) + 0.5) / 4294967296.0 for i in ids] for r in range(n)]).reshape(n, len(ids))

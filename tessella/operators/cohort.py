@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.core import average_rank
-from ..functions.seeds import replicate_seeds, shuffles
+from ..functions.draws import orders, shuffled
 
 
 def welch(endpoints: DataFrame, first: str, second: str, *by: str, group: str = "grp", value: str = "value") -> DataFrame:
@@ -100,24 +100,18 @@ def nested_mean(fields: DataFrame, levels_: Sequence[str], value: str = "value")
     return out
 
 
-def permutation_contrasts(endpoints: DataFrame, replicates: int, seed: int, *by: str, group: str = "is_first", value: str = "value") -> DataFrame:
-    """Observed and permuted mean differences of each unit: by, replicate (0: observed), statistic.
-
-    A unit's rows are ordered by value and then group, so that the result doesn't depend on how they
-    were partitioned.
-    """
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values([value, group])
-        x, g = pdf[value].to_numpy(float), pdf[group].to_numpy(bool)
-        order = shuffles(len(x), replicate_seeds(seed, 7, replicates))
-        marks = np.vstack([g, g[order]])
-        n = max(1, int(g.sum())), max(1, int((~g).sum()))
-        stat = marks @ x / n[0] - (~marks) @ x / n[1]
-        return pd.DataFrame({**{c: pdf[c].iloc[0] for c in by}, "replicate": np.arange(replicates + 1), "statistic": stat})
-
-    kinds = {f.name: f.dataType.simpleString() for f in endpoints.schema.fields}
-    return endpoints.groupBy(*by).applyInPandas(run, ", ".join([*(f"{c} {kinds[c]}" for c in by), "replicate long", "statistic double"]))
+def permutation_contrasts(endpoints: DataFrame, replicates: int, seed: int, *by: str, id_col: str, group: str = "is_first", value: str = "value") -> DataFrame:
+    """Observed and permuted studentised mean differences of each unit: by, replicate (0: observed),
+    statistic. Group labels are shuffled within the unit; each replicate's difference is divided by
+    its own standard error. Without spread or two rows a group the statistic is null."""
+    own = endpoints.select(*by, id_col, F.col(group).cast("boolean").alias("g"), F.col(value).cast("double").alias("v"))
+    labels = shuffled(own, list(by), [id_col], ["g"], replicates, seed)
+    every = own.withColumn("replicate", F.lit(0)).unionByName(labels.join(own.select(*by, id_col, "v"), [*by, id_col]))
+    side = lambda g: F.when(F.col("g") == g, F.col("v"))
+    s = every.groupBy(*by, "replicate").agg(*[f(side(g)).alias(f"{n}{k}") for k, g in enumerate((True, False)) for n, f in (("n", F.count), ("m", F.avg), ("s", F.var_samp))])
+    se = F.sqrt(F.col("s0") / F.col("n0") + F.col("s1") / F.col("n1"))
+    good = (F.col("n0") > 1) & (F.col("n1") > 1) & (se > 0)
+    return s.select(*by, F.col("replicate").cast("long").alias("replicate"), F.when(good, (F.col("m0") - F.col("m1")) / se).alias("statistic"))
 
 
 def max_t(null: DataFrame, endpoint: str, alpha: float = 0.05) -> DataFrame:
@@ -143,7 +137,7 @@ def manski_bounds(units: DataFrame, low: float, high: float, *by: str, treated:
     return s.select(*by, "n", bottom.alias("lower"), top.alias("upper"))
 
 
-def freedman_lane(records: DataFrame, replicates: int, seed: int, *by: str, outcome: str = "value", group: str = "is_first", covariates: Sequence[str] = ()) -> DataFrame:
+def freedman_lane(records: DataFrame, replicates: int, seed: int, *by: str, outcome: str = "value", group: str = "is_first", covariates: Sequence[str] = (), id_col: str | None = None) -> DataFrame:
     """Group coefficient given covariates, with a two-sided p-value over permuted residuals of the
     reduced model. A unit without residual freedom or with a collinear group has nulls."""
 
@@ -157,14 +151,14 @@ def freedman_lane(records: DataFrame, replicates: int, seed: int, *by: str, outc
         return b[-1], b[-1] / np.sqrt(s2 * np.linalg.inv(x.T @ x)[-1, -1])
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values([outcome, group, *covariates])
+        pdf = pdf.sort_values([id_col] if id_col else [outcome, group, *covariates])
         y, g = pdf[outcome].to_numpy(float), pdf[group].to_numpy(float)
         reduced = np.column_stack([np.ones(len(y)), *(pdf[c].to_numpy(float) for c in covariates)])
         full, row = np.column_stack([reduced, g]), {**{c: pdf[c].iloc[0] for c in by}, "coefficient": None, "t": None, "p": None}
         if len(y) > full.shape[1] and np.linalg.matrix_rank(full) == full.shape[1]:
             b, t = t_values(full, y[:, None])
             fitted = reduced @ fit(reduced, y)
-            order = shuffles(len(y), replicate_seeds(seed, 11, replicates))
+            order = orders(pdf[id_col].tolist() if id_col else range(len(y)), seed, replicates)
             _, null = t_values(full, fitted[:, None] + (y - fitted)[order].T)
             row |= {"coefficient": b[0], "t": t[0], "p": (1 + int((np.abs(null) >= abs(t[0]) - 1e-12).sum())) / (1 + replicates)}
         return pd.DataFrame([row]).astype({c: "float64" for c in ("coefficient", "t", "p")})

@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.draws import uniform
 from ..functions.seeds import splitmix64
 
 
@@ -98,20 +99,10 @@ def sinkhorn(costs: DataFrame, epsilon: float, rounds: int, tolerance: float = 1
 
 
 def uniform_points(patterns: DataFrame, window: tuple[float, float, float, float], seed: int) -> DataFrame:
-    """n points uniform in a rectangle for each pattern(pattern_id, n), by SplitMix64 of seed, pattern and index."""
+    """n points uniform in a rectangle for each pattern(pattern_id, n), drawn by pattern and index."""
     x0, y0, x1, y1 = window
-
-    def run(it):
-        for pdf in it:
-            out = []
-            for pid, n in zip(pdf["pattern_id"], pdf["n"]):
-                base = np.uint64(splitmix64((seed ^ int(pid)) & ((1 << 64) - 1)))
-                u = splitmix64(np.arange(2 * int(n), dtype=np.uint64) ^ base) >> np.uint64(11)
-                u = u.astype(float) / (1 << 53)
-                out.append(pd.DataFrame({"pattern_id": pid, "idx": np.arange(int(n)), "x": x0 + (x1 - x0) * u[::2], "y": y0 + (y1 - y0) * u[1::2]}))
-            yield pd.concat(out) if out else pd.DataFrame({"pattern_id": [], "idx": [], "x": [], "y": []})
-
-    return patterns.select("pattern_id", "n").mapInPandas(run, "pattern_id long, idx long, x double, y double")
+    rows = patterns.where("n > 0").select("pattern_id", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n").cast("long") - 1)).alias("idx"))
+    return rows.select("pattern_id", "idx", (x0 + (x1 - x0) * uniform(seed, "pattern_id", "idx")).alias("x"), (y0 + (y1 - y0) * uniform(seed + 1, "pattern_id", "idx")).alias("y"))
 
 
 def beta_posterior(points: DataFrame, a: float, b: float, *by: str) -> DataFrame:

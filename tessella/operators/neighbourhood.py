@@ -245,7 +245,7 @@ def moran_permutation(points: DataFrame, radius: float, replicates: int, seed: i
     import numpy as np
     import pandas as pd
 
-    from ..functions.seeds import replicate_seeds, shuffles
+    from ..functions.draws import orders
 
     def run(key, own: pd.DataFrame, edges: pd.DataFrame) -> pd.DataFrame:
         own = own.sort_values("idx")
@@ -258,8 +258,9 @@ def moran_permutation(points: DataFrame, radius: float, replicates: int, seed: i
             scale = len(z) / len(a) / (z * z).sum()
             seen = scale * (z[a] * z[b]).sum()
             hits = 0
-            for some in np.array_split(replicate_seeds(seed, int(key[0]), replicates), max(1, replicates // 64)):
-                zs = z[shuffles(len(z), some)]
+            drawn = orders(ids.tolist(), seed, replicates)
+            for some in np.array_split(np.arange(replicates), max(1, replicates // 64)):
+                zs = z[drawn[some]]
                 hits += int((scale * (zs[:, a] * zs[:, b]).sum(1) >= seen - 1e-12).sum())
             row |= {"moran_i": seen, "p_high": (1 + hits) / (1 + replicates)}
         return pd.DataFrame([row]).astype({"moran_i": "float64", "p_high": "float64"})

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..operators import cohort, dynamics, graphs, groups, inference, models, morphology, point_process, spectra, tables
-from .queries import _MODES, _N, _PAT, _SC, _SF, _WE, _null, AREA, BASE, BI, PR, PTS, RADII, WINDOW, B, _patients, _powers, _scores, q, query, table_query
+from .queries import _MODES, _N, _NULL, _PAT, _SC, _SF, _WE, _null, AREA, BASE, BI, PR, PTS, RADII, WINDOW, B, _patients, _powers, _scores, draw, q, query, shuffle, table_query, unit
 
 # Edge corrections and fits of point patterns -----------------------------------------------------
 
@@ -299,27 +299,41 @@ def log_score_weights(t):
 # Permutation nulls, local prediction, dynamics ---------------------------------------------------
 
 
-@table_query()
+@table_query(f"""WITH {_NULL}, m AS (SELECT n.replicate, o.site, o.s, max(abs(n.t)) OVER (PARTITION BY n.replicate ORDER BY o.s) AS m FROM nl n JOIN ob o USING (site) WHERE n.replicate > 0), r AS (SELECT site, s, (1 + count(*) FILTER (m >= s)) / (1.0 + count(*)) AS p FROM m GROUP BY 1, 2)
+    SELECT site, {q('s')} AS statistic, {q('max(p) OVER (ORDER BY s DESC)')} AS p_adjusted FROM r""")
 def step_down_max_t(t):
     return inference.step_down(_null(t), "site")
 
 
-@query()
+@query(f"""WITH {PTS}, d AS (SELECT pattern_id, idx, z - x AS d FROM pts), o AS (SELECT pattern_id, count(*) AS n, avg(d) AS m FROM d GROUP BY 1), f AS (SELECT pattern_id, replicate, avg(CASE WHEN {unit(31, 'replicate', 'idx')} < 0.5 THEN d ELSE -d END) AS m FROM d, (SELECT unnest(range(1, 200)) AS replicate) GROUP BY 1, 2)
+    SELECT pattern_id, n, {q('o.m')} AS mean, {q('(1 + count(*) FILTER (abs(f.m) >= abs(o.m) - 1e-12)) / 200.0')} AS p FROM o JOIN f USING (pattern_id) GROUP BY pattern_id, n, o.m""")
 def paired_sign_flips(pts):
-    return inference.sign_flips(pts.withColumn("difference", F.col("z") - F.col("x")), 199, 31, "pattern_id")
+    return inference.sign_flips(pts.withColumn("difference", F.col("z") - F.col("x")), 199, 31, "pattern_id", id_col="idx")
 
 
-@query()
+@query(f"""WITH {PTS}, c AS (SELECT l_suppkey::BIGINT AS pattern_id, l_linenumber AS component, avg(l_quantity::DOUBLE) AS m FROM lineitem GROUP BY 1, 2), p AS (SELECT pattern_id, row_number() OVER (PARTITION BY pattern_id ORDER BY component) - 1 AS pos, count(*) OVER (PARTITION BY pattern_id) AS n, m FROM c),
+    d AS (SELECT pattern_id, replicate, floor({unit(17, 'replicate', 'pos')} * n)::BIGINT AS pos FROM p, (SELECT unnest(range(1, 200)) AS replicate)), b AS (SELECT pattern_id, replicate, avg(m) AS b FROM d JOIN p USING (pattern_id, pos) GROUP BY 1, 2), o AS (SELECT pattern_id, count(*) AS clusters, avg(m) AS mean FROM p GROUP BY 1)
+    SELECT pattern_id, clusters, {q('mean')} AS mean, {q('quantile_cont(b, 0.05)')} AS low, {q('quantile_cont(b, 0.95)')} AS high FROM o JOIN b USING (pattern_id) GROUP BY pattern_id, clusters, mean""")
 def cluster_bootstrap(pts):
     return inference.bootstrap_mean(pts, 199, 17, 0.1, "pattern_id", "component")
 
 
-@query()
+@query(f"""WITH {PTS}, {PR}, ed AS (SELECT pattern_id, i, j FROM pr WHERE i < j AND d2 <= 900), {shuffle('sl', 'pts', 'pattern_id', 'idx', 'label', 99, 5)}, al AS (SELECT pattern_id, replicate, idx, label FROM sl UNION ALL SELECT pattern_id, 0, idx, label FROM pts),
+    k AS (SELECT e.pattern_id, a.replicate, least(a.label, b.label) AS a, greatest(a.label, b.label) AS b, count(*) AS k FROM ed e JOIN al a ON a.pattern_id = e.pattern_id AND a.idx = e.i JOIN al b ON b.pattern_id = e.pattern_id AND b.idx = e.j AND b.replicate = a.replicate GROUP BY 1, 2, 3, 4),
+    n AS (SELECT DISTINCT pattern_id, label FROM pts), g AS (SELECT x.pattern_id, x.label AS a, y.label AS b, replicate FROM n x JOIN n y ON x.pattern_id = y.pattern_id AND x.label <= y.label, (SELECT unnest(range(100)) AS replicate)),
+    f AS (SELECT pattern_id, a, b, replicate, coalesce(k, 0) AS k FROM g LEFT JOIN k USING (pattern_id, a, b, replicate)), o AS (SELECT pattern_id, a, b, k AS seen FROM f WHERE replicate = 0),
+    s AS (SELECT pattern_id, a, b, seen, avg(k) AS m, stddev_samp(k) AS sd, count(*) FILTER (k >= seen) AS hits FROM f JOIN o USING (pattern_id, a, b) WHERE replicate > 0 GROUP BY 1, 2, 3, 4)
+    SELECT pattern_id, a, b, seen AS edges, {q('m')} AS mean, CASE WHEN m > 0 THEN {q('seen / m')} END AS ratio, CASE WHEN sd > 0 THEN {q('(seen - m) / sd')} END AS z, {q('(1 + hits) / 100.0')} AS p_high FROM s""")
 def shuffled_enrichment(pts):
     return inference.shuffled_enrichment(pts, 30.0, 99, 5)
 
 
-@query()
+@query(f"""WITH {PTS}, {PR}, ed AS (SELECT pattern_id, i, j FROM pr WHERE i < j AND d2 <= 900), {shuffle('sl', 'pts', 'pattern_id, stratum', 'idx', 'label', 99, 5)}, al AS (SELECT pattern_id, replicate, idx, label FROM sl UNION ALL SELECT pattern_id, 0, idx, label FROM pts),
+    k AS (SELECT e.pattern_id, a.replicate, least(a.label, b.label) AS a, greatest(a.label, b.label) AS b, count(*) AS k FROM ed e JOIN al a ON a.pattern_id = e.pattern_id AND a.idx = e.i JOIN al b ON b.pattern_id = e.pattern_id AND b.idx = e.j AND b.replicate = a.replicate GROUP BY 1, 2, 3, 4),
+    n AS (SELECT DISTINCT pattern_id, label FROM pts), g AS (SELECT x.pattern_id, x.label AS a, y.label AS b, replicate FROM n x JOIN n y ON x.pattern_id = y.pattern_id AND x.label <= y.label, (SELECT unnest(range(100)) AS replicate)),
+    f AS (SELECT pattern_id, a, b, replicate, coalesce(k, 0) AS k FROM g LEFT JOIN k USING (pattern_id, a, b, replicate)), o AS (SELECT pattern_id, a, b, k AS seen FROM f WHERE replicate = 0),
+    s AS (SELECT pattern_id, a, b, seen, avg(k) AS m, stddev_samp(k) AS sd, count(*) FILTER (k >= seen) AS hits FROM f JOIN o USING (pattern_id, a, b) WHERE replicate > 0 GROUP BY 1, 2, 3, 4)
+    SELECT pattern_id, a, b, seen AS edges, {q('m')} AS mean, CASE WHEN m > 0 THEN {q('seen / m')} END AS ratio, CASE WHEN sd > 0 THEN {q('(seen - m) / sd')} END AS z, {q('(1 + hits) / 100.0')} AS p_high FROM s""")
 def stratified_enrichment(pts):
     return inference.shuffled_enrichment(pts, 30.0, 99, 5, stratum="stratum")
 
@@ -359,10 +373,10 @@ _C = [(1 if k == 0 else 2) * (-1) ** k * dynamics._bessel(k, 1.0) * 2.7182818284
 _STEP = "SELECT e.pattern_id, e.i AS idx, sum(e.w * s.v) AS m FROM e JOIN {0} s ON s.pattern_id = e.pattern_id AND s.idx = e.j GROUP BY 1, 2"
 
 
-@query(f"""WITH {PTS}, {PR}, e0 AS (SELECT pattern_id, i, j FROM pr WHERE d2 <= 900), g AS (SELECT pattern_id, i, count(*) AS deg FROM e0 GROUP BY 1, 2),
-    e AS (SELECT e0.pattern_id, e0.i, e0.j, -1 / sqrt(a.deg * b.deg) AS w FROM e0 JOIN g a ON a.pattern_id = e0.pattern_id AND a.i = e0.i JOIN g b ON b.pattern_id = e0.pattern_id AND b.i = e0.j),
-    t0 AS (SELECT pattern_id, idx, value AS v FROM pts), m1 AS ({_STEP.format('t0')}), t1 AS (SELECT pattern_id, idx, coalesce(m, 0) AS v FROM t0 LEFT JOIN m1 USING (pattern_id, idx)),
-    m2 AS ({_STEP.format('t1')}), t2 AS (SELECT pattern_id, idx, 2 * coalesce(m, 0) - t0.v AS v FROM t0 LEFT JOIN m2 USING (pattern_id, idx)),
+@query(f"""WITH {PTS}, {PR}, e0 AS MATERIALIZED (SELECT pattern_id, i, j FROM pr WHERE d2 <= 900), g AS (SELECT pattern_id, i, count(*) AS deg FROM e0 GROUP BY 1, 2),
+    e AS MATERIALIZED (SELECT e0.pattern_id, e0.i, e0.j, -1 / sqrt(a.deg * b.deg) AS w FROM e0 JOIN g a ON a.pattern_id = e0.pattern_id AND a.i = e0.i JOIN g b ON b.pattern_id = e0.pattern_id AND b.i = e0.j),
+    t0 AS MATERIALIZED (SELECT pattern_id, idx, value AS v FROM pts), m1 AS ({_STEP.format('t0')}), t1 AS MATERIALIZED (SELECT pattern_id, idx, coalesce(m, 0) AS v FROM t0 LEFT JOIN m1 USING (pattern_id, idx)),
+    m2 AS ({_STEP.format('t1')}), t2 AS MATERIALIZED (SELECT pattern_id, idx, 2 * coalesce(m, 0) - t0.v AS v FROM t0 LEFT JOIN m2 USING (pattern_id, idx)),
     m3 AS ({_STEP.format('t2')}), t3 AS (SELECT pattern_id, idx, 2 * coalesce(m, 0) - t1.v AS v FROM t1 LEFT JOIN m3 USING (pattern_id, idx))
     SELECT pattern_id, idx, {q(f'{_C[0]!r} * t0.v + {_C[1]!r} * t1.v + {_C[2]!r} * t2.v + {_C[3]!r} * t3.v')} AS heat FROM t0 JOIN t1 USING (pattern_id, idx) JOIN t2 USING (pattern_id, idx) JOIN t3 USING (pattern_id, idx)""")
 def chebyshev_heat(pts):
@@ -440,12 +454,17 @@ def paired_deltas(pts):
 # Clusters, curves, matrices, tables --------------------------------------------------------------
 
 
-@query()
+@query(f"""WITH c AS (SELECT l_suppkey::BIGINT AS pattern_id, l_linenumber AS component, l_linenumber <= 3 AS g, avg(l_quantity::DOUBLE) AS m FROM lineitem GROUP BY 1, 2), {shuffle('sg', 'c', 'pattern_id', 'component', 'g', 199, 21)},
+    e AS (SELECT pattern_id, 0 AS replicate, g, m FROM c UNION ALL SELECT pattern_id, replicate, sg.g, m FROM sg JOIN (SELECT pattern_id, component, m FROM c) USING (pattern_id, component)), s AS (SELECT pattern_id, replicate, count(*) AS n, avg(m) FILTER (g) - avg(m) FILTER (NOT g) AS d FROM e GROUP BY 1, 2), o AS (SELECT pattern_id, n AS clusters, d AS seen FROM s WHERE replicate = 0)
+    SELECT pattern_id, clusters, {q('seen')} AS difference, CASE WHEN seen IS NOT NULL THEN {q('(1 + count(*) FILTER (abs(d) >= abs(seen) - 1e-12)) / 200.0')} END AS p FROM o JOIN s USING (pattern_id) WHERE replicate > 0 GROUP BY pattern_id, clusters, seen""")
 def cluster_permutation(pts):
     return inference.cluster_permutation(pts.withColumn("is_first", F.col("component") <= 3), 199, 21, "pattern_id", "component")
 
 
-@table_query()
+@table_query(f"""WITH u AS (SELECT o_orderpriority AS endpoint, o_custkey % 20 AS unit, o_custkey % 20 < 10 AS g, {', '.join(f"count(*) FILTER (quarter(o_orderdate) = {k})::DOUBLE AS v{k}" for k in range(1, 5))} FROM orders GROUP BY 1, 2, 3), {shuffle('sg', 'u', 'endpoint', 'unit', 'g', 199, 23)},
+    e AS (SELECT endpoint, 0 AS replicate, g, v1, v2, v3, v4 FROM u UNION ALL SELECT endpoint, replicate, sg.g, v1, v2, v3, v4 FROM sg JOIN (SELECT endpoint, unit, v1, v2, v3, v4 FROM u) USING (endpoint, unit)),
+    d AS (SELECT endpoint, replicate, count(*) AS n, {', '.join(f"pow(avg(v{k}) FILTER (g) - avg(v{k}) FILTER (NOT g), 2) AS d{k}" for k in range(1, 5))} FROM e GROUP BY 1, 2), s AS (SELECT endpoint, replicate, n, d1 / 2 + d2 + d3 + d4 / 2 AS l FROM d), o AS (SELECT endpoint, n AS units, l AS seen FROM s WHERE replicate = 0)
+    SELECT endpoint, units, {q('seen')} AS statistic, {q('(1 + count(*) FILTER (l >= seen - 1e-12)) / 200.0')} AS p FROM o JOIN s USING (endpoint) WHERE replicate > 0 GROUP BY endpoint, units, seen""")
 def functional_permutation(t):
     quarter = lambda k: F.struct(F.lit(float(k)).alias("axis"), F.count(F.when(F.quarter("o_orderdate") == k, 1)).cast("double").alias("value"))
     curves = t("orders").groupBy(F.col("o_orderpriority").alias("endpoint"), (F.col("o_custkey") % 20).cast("long").alias("unit")).agg(F.array(*map(quarter, range(1, 5))).alias("curve"))

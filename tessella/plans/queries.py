@@ -31,6 +31,24 @@ RS = "rs AS (SELECT unnest([15.0, 30.0, 50.0])::DOUBLE AS r)"
 BASE = f"WITH {PTS}, {PR}, {RS}"
 
 
+def draw(seed: int, *columns: str) -> str:
+    """The SQL of functions.draws.key."""
+    return f"md5(concat_ws(':', '{seed}', {', '.join(f'({c})::VARCHAR' for c in columns)}))"
+
+
+def unit(seed: int, *columns: str) -> str:
+    """The SQL of functions.draws.uniform."""
+    return f"((('0x' || substr({draw(seed, *columns)}, 1, 8))::BIGINT + 0.5) / 4294967296.0)"
+
+
+def shuffle(name: str, source: str, within: str, ids: str, values: str, n: int, seed: int) -> str:
+    """The SQL of functions.draws.shuffled: a CTE with within, ids, replicate, values."""
+    key = draw(seed, "replicate", *ids.split(", "))
+    return f"""{name}_p AS (SELECT {within}, {ids}, row_number() OVER (PARTITION BY {within} ORDER BY {ids}) AS place FROM {source}),
+    {name}_d AS (SELECT {within}, replicate, {values}, row_number() OVER (PARTITION BY {within}, replicate ORDER BY {key}, {ids}) AS place FROM {source}, (SELECT unnest(range(1, {n + 1})) AS replicate)),
+    {name} AS (SELECT {within}, {ids}, replicate, {values} FROM {name}_d JOIN {name}_p USING ({within}, place))"""
+
+
 def q(expr: str, digits: int = 6) -> str:
     """Rounded just off the ties that ratios of small numbers land on; 0.0 has no sign."""
     return f"(round({expr} + 3.7e-9, {digits}) + 0.0)"
@@ -450,7 +468,10 @@ def ensemble_information(pts):
     return tables.joint_information(pts, ["label", "stratum", "mark"], "pattern_id")
 
 
-@query()
+@query(f"""WITH {PTS}, w AS (SELECT pattern_id, label AS t, stratum AS a, x < 500 AS b FROM pts), n AS (SELECT pattern_id, count(*) AS n FROM w GROUP BY 1), kt AS (SELECT pattern_id, t, count(*) AS kt FROM w GROUP BY 1, 2),
+    {', '.join(f"i{k} AS (SELECT pattern_id, t, sum(k / kt * log2(k / ks / (kt / n))) AS i{k} FROM (SELECT pattern_id, t, {c}, count(*) AS k, sum(count(*)) OVER (PARTITION BY pattern_id, {c}) AS ks FROM w GROUP BY pattern_id, t, {c}) JOIN kt USING (pattern_id, t) JOIN n USING (pattern_id) GROUP BY 1, 2)" for k, c in enumerate(("a", "b", "a, b"), 1))},
+    s AS (SELECT pattern_id, sum(kt / n * least(i1, i2)) AS shared, sum(kt / n * i1) AS m1, sum(kt / n * i2) AS m2, sum(kt / n * i3) AS m12 FROM kt JOIN n USING (pattern_id) JOIN i1 USING (pattern_id, t) JOIN i2 USING (pattern_id, t) JOIN i3 USING (pattern_id, t) GROUP BY 1)
+    SELECT pattern_id, {q('shared')} AS shared, {q('m1 - shared')} AS unique_first, {q('m2 - shared')} AS unique_second, {q('m12 - m1 - m2 + shared')} AS synergy FROM s""")
 def information_decomposition(pts):
     return tables.redundancy(pts.withColumn("west", F.col("x") < 500), "label", "stratum", "west", "pattern_id")
 
@@ -527,16 +548,23 @@ def nested_means(t):
     return cohort.nested_mean(_patients(t).select("site", "grp", "value"), ["site", "grp"])
 
 
+_NULL = f"""{_PAT}, o AS (SELECT site, patient, grp = 'BUILDING' AS g, value FROM p), {shuffle('sg', 'o', 'site', 'patient', 'g', 199, 20240)},
+    ev AS (SELECT site, 0 AS replicate, g, value FROM o UNION ALL SELECT site, replicate, sg.g, value FROM sg JOIN (SELECT site, patient, value FROM o) USING (site, patient)),
+    nl AS (SELECT site, replicate, (avg(value) FILTER (g) - avg(value) FILTER (NOT g)) / sqrt(var_samp(value) FILTER (g) / count(*) FILTER (g) + var_samp(value) FILTER (NOT g) / count(*) FILTER (NOT g)) AS t FROM ev GROUP BY 1, 2),
+    ob AS (SELECT site, abs(t) AS s FROM nl WHERE replicate = 0)"""
+
+
 def _null(t):
-    return cohort.permutation_contrasts(_patients(t).select("site", (F.col("grp") == "BUILDING").alias("is_first"), "value"), 199, 20240, "site")
+    return cohort.permutation_contrasts(_patients(t).select("site", "patient", (F.col("grp") == "BUILDING").alias("is_first"), "value"), 199, 20240, "site", id_col="patient")
 
 
-@table_query()
+@table_query(f"""WITH {_NULL}, mx AS (SELECT replicate, max(abs(t)) AS m FROM nl WHERE replicate > 0 GROUP BY 1) SELECT site, {q('s')} AS statistic, {q('(1 + count(*) FILTER (m >= s)) / (1.0 + count(*))')} AS p_adjusted FROM ob, mx GROUP BY site, s""")
 def max_t_adjusted(t):
     return cohort.max_t(_null(t), "site")
 
 
-@table_query()
+@table_query(f"""WITH {_NULL}, pv AS (SELECT site, (1 + count(*) FILTER (abs(t) >= s)) / (1.0 + count(*)) AS p FROM nl JOIN ob USING (site) WHERE replicate > 0 GROUP BY 1), rw AS (SELECT site, p, p * count(*) OVER () / row_number() OVER (ORDER BY p, site) AS raw FROM pv)
+    SELECT site, {q('p')} AS p, {q('least(1.0, min(raw) OVER (ORDER BY p DESC, site DESC ROWS UNBOUNDED PRECEDING))')} AS q FROM rw""")
 def permutation_p_values(t):
     null = _null(t)
     seen = null.where("replicate = 0").select("site", F.col("statistic").alias("s"))
@@ -618,7 +646,7 @@ def sinkhorn_plan(t):
     return models.sinkhorn(costs, 1.0, 500)
 
 
-@query()
+@query(f"""WITH {PTS}, n AS (SELECT pattern_id, count(*) AS n FROM pts GROUP BY 1), g AS (SELECT pattern_id, unnest(range(n)) AS idx FROM n) SELECT pattern_id, idx, {q(f"1000 * {unit(7, 'pattern_id', 'idx')}")} AS x, {q(f"1000 * {unit(8, 'pattern_id', 'idx')}")} AS y FROM g""")
 def conditional_csr(pts):
     return models.uniform_points(pts.groupBy("pattern_id").agg(F.count(F.lit(1)).alias("n")), WINDOW, 7)
 
@@ -653,11 +681,20 @@ def manski_bounds(pts):
     return cohort.manski_bounds(pts, 0.0, 50.0, "pattern_id", treated="mark", outcome="value")
 
 
-@query()
+@query(f"""WITH {PTS}, {PR}, zz AS (SELECT pattern_id, idx, value - avg(value) OVER (PARTITION BY pattern_id) AS z FROM pts), ss AS (SELECT pattern_id, count(*) AS n, sum(z * z) AS s FROM zz GROUP BY 1),
+    {shuffle('sz', 'zz', 'pattern_id', 'idx', 'z', 99, 123456789)}, al AS (SELECT pattern_id, replicate, idx, z FROM sz UNION ALL SELECT pattern_id, 0, idx, z FROM zz), ed AS (SELECT pattern_id, i, j FROM pr WHERE i < j), en AS (SELECT pattern_id, count(*) AS w FROM ed GROUP BY 1),
+    mi AS (SELECT e.pattern_id, a.replicate, sum(a.z * b.z) AS c FROM ed e JOIN al a ON a.pattern_id = e.pattern_id AND a.idx = e.i JOIN al b ON b.pattern_id = e.pattern_id AND b.idx = e.j AND b.replicate = a.replicate GROUP BY 1, 2),
+    st AS (SELECT pattern_id, replicate, n / w / s * c AS v FROM mi JOIN en USING (pattern_id) JOIN ss USING (pattern_id) WHERE s > 0), ob AS (SELECT pattern_id, v AS seen FROM st WHERE replicate = 0)
+    SELECT u.pattern_id, {q('any_value(seen)')} AS moran_i, CASE WHEN count(v) > 0 THEN {q('(1 + count(*) FILTER (v >= seen - 1e-12)) / 100.0')} END AS p_high, 99 AS replicates FROM (SELECT DISTINCT pattern_id FROM pts) u LEFT JOIN ob USING (pattern_id) LEFT JOIN (SELECT * FROM st WHERE replicate > 0) USING (pattern_id) GROUP BY 1""")
 def moran_permutation(pts):
     return neighbourhood.moran_permutation(pts, R, 99, 123456789)
 
 
-@query()
+@query(f"""WITH {PTS}, a AS (SELECT pattern_id, count(*) AS n, avg(value) AS y, avg(mark) AS g, avg(pa) AS c, var_pop(pa) * count(*) AS cc, covar_pop(pa, value) * count(*) AS cy, covar_pop(pa, mark) * count(*) AS cg FROM pts GROUP BY 1),
+    r AS (SELECT pattern_id, idx, n, cc, pa - a.c AS c, value - a.y - cy / cc * (pa - a.c) AS e, mark - a.g - cg / cc * (pa - a.c) AS h FROM pts JOIN a USING (pattern_id) WHERE cc > 0), {shuffle('se', 'r', 'pattern_id', 'idx', 'e', 99, 123456789)},
+    al AS (SELECT pattern_id, 0 AS replicate, idx, e FROM r UNION ALL SELECT pattern_id, replicate, idx, e FROM se),
+    s AS (SELECT pattern_id, replicate, max(n) AS n, sum(h * h) AS hh, sum(h * al.e) AS he, sum(al.e * al.e) AS ee, sum(al.e) AS e1, sum(c * al.e) AS ce, max(cc) AS cc FROM al JOIN (SELECT pattern_id, idx, n, c, h, cc FROM r) USING (pattern_id, idx) GROUP BY 1, 2),
+    t AS (SELECT pattern_id, replicate, he / hh AS b, he / hh / sqrt((ee - e1 * e1 / n - ce * ce / cc - he * he / hh) / (n - 3) / hh) AS t FROM s WHERE hh > 1e-9 AND n > 3), o AS (SELECT pattern_id, b, t AS seen FROM t WHERE replicate = 0)
+    SELECT u.pattern_id, {q('any_value(b)')} AS coefficient, {q('any_value(seen)')} AS t, CASE WHEN count(t) > 0 THEN {q('(1 + count(*) FILTER (abs(t) >= abs(seen) - 1e-12)) / 100.0')} END AS p FROM (SELECT DISTINCT pattern_id FROM pts) u LEFT JOIN o USING (pattern_id) LEFT JOIN (SELECT pattern_id, t FROM t WHERE replicate > 0) USING (pattern_id) GROUP BY 1""")
 def covariate_permutation(pts):
-    return cohort.freedman_lane(pts.select("pattern_id", "value", (F.col("mark") == 1).alias("is_first"), "pa"), 99, 123456789, "pattern_id", covariates=["pa"])
+    return cohort.freedman_lane(pts.select("pattern_id", "idx", "value", (F.col("mark") == 1).alias("is_first"), "pa"), 99, 123456789, "pattern_id", covariates=["pa"], id_col="idx")
