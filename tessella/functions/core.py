@@ -14,6 +14,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .lineage import cut
+
 
 def pairs(a: DataFrame, b: DataFrame | None, radius: float, columns: Sequence[str] = (), key: str = "pattern_id", unordered: bool = False, with_self: bool = False) -> DataFrame:
     """Pairs of points of one pattern within an inclusive radius: key, i, j, d2 and i_/j_ columns.
@@ -43,6 +45,29 @@ def nearest(a: DataFrame, b: DataFrame | None, radius: float, k: int = 1, key: s
     return pairs(a, b, radius, columns, key).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
+def nearest_any(a: DataFrame, b: DataFrame | None, reach: float, k: int = 1, key: str = "pattern_id") -> DataFrame:
+    """The k nearest points by (distance, index) however far they are: key, i, j, d2, rank, i_x ... j_y.
+
+    Points that find fewer than k within the reach, and fewer than their pattern has, look again
+    twice as far, until all have them. Without b a point is no neighbour of its own.
+    """
+    other = a if b is None else b
+    size = other.groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
+    own = 1 if b is None else 0
+    rest = cut(a.select(key, "idx", "x", "y").join(size, key).withColumn("_want", F.least(F.col("_n") - own, F.lit(k))).drop("_n").where("_want > 0"))
+    order, all_, found = Window.partitionBy(key, "i").orderBy("d2", "j"), Window.partitionBy(key, "i"), None
+    while not rest.isEmpty():
+        met = pairs(rest.drop("_want"), other.select(key, "idx", "x", "y"), reach, key=key)
+        met = met.where("i <> j") if own else met
+        near = met.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).withColumn("_have", F.count(F.lit(1)).over(all_))
+        want = rest.select(key, F.col("idx").alias("i"), "_want")
+        done = cut(near.join(want, [key, "i"]).where("_have >= _want").drop("_have", "_want"))
+        found = done if found is None else found.unionByName(done)
+        rest = cut(rest.join(done.select(key, F.col("i").alias("idx")).distinct(), [key, "idx"], "left_anti"))
+        reach *= 2
+    return found if found is not None else nearest(a, b, reach, k, key)
+
+
 def on_all(rows: DataFrame, keys: DataFrame, levels: DataFrame, on: Sequence[str]) -> DataFrame:
     """rows completed to every (key, level): a bin without rows stays, with nulls."""
     return keys.crossJoin(F.broadcast(levels)).join(rows, [*keys.columns, *on], "left")

@@ -13,6 +13,8 @@ def cut(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="lineage-")
         spark.conf.set("spark.checkpoint.dir", root)
     path = f"{root.rstrip('/')}/cut-{uuid.uuid4().hex}"

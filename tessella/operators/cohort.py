@@ -11,7 +11,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.core import average_rank
 from ..functions.draws import orders, shuffled
 
 
@@ -71,11 +70,13 @@ def multisite(sites: DataFrame, effect: str = "effect", se: str = "standard_erro
 
 
 def auroc(scores: DataFrame, *by: str, label: str = "label", score: str = "score") -> DataFrame:
-    """Area under the ROC curve, ties one half, and the Brier score."""
-    r = scores.withColumn("rank_", average_rank(score, *by))
-    pos = F.sum(F.col(label))
-    neg = F.count(F.lit(1)) - pos
-    return r.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), pos.cast("long").alias("positives"), ((F.sum(F.col(label) * F.col("rank_")) - pos * (pos + 1) / 2) / F.nullif((pos * neg).cast("double"), F.lit(0.0))).alias("auroc"), F.avg((F.col(score) - F.col(label)) * (F.col(score) - F.col(label))).alias("brier"))
+    """Area under the ROC curve, ties one half, and the Brier score. Only distinct scores are ordered."""
+    y, gap = F.col(label), F.col(score) - F.col(label)
+    at = scores.groupBy(*by, score).agg(F.sum(y).alias("p"), F.sum(1 - y).alias("m"), F.count(F.lit(1)).alias("k"), F.sum(gap * gap).alias("b"))
+    below = F.coalesce(F.sum("m").over(Window.partitionBy(*by).orderBy(score).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    won = at.withColumn("won", F.col("p") * (below + F.col("m") / 2))
+    area = F.sum("won") / F.nullif((F.sum("p") * F.sum("m")).cast("double"), F.lit(0.0))
+    return won.groupBy(*by).agg(F.sum("k").alias("n"), F.sum("p").cast("long").alias("positives"), area.alias("auroc"), (F.sum("b") / F.sum("k")).alias("brier"))
 
 
 def average_precision(scores: DataFrame, *by: str, label: str = "label", score: str = "score") -> DataFrame:

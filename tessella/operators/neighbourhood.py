@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.core import nearest, pairs
+from ..functions.core import nearest_any, pairs
 from ..functions.lineage import cut
 
 
@@ -18,8 +18,8 @@ def radius_edges(points: DataFrame, radius: float, columns: Sequence[str] = ())
 
 
 def knn_edges(points: DataFrame, k: int, reach: float) -> DataFrame:
-    """Undirected union of each point's k nearest neighbours within reach."""
-    near = nearest(points, None, reach, k)
+    """Undirected union of each point's k nearest neighbours; reach is where the search starts."""
+    near = nearest_any(points, None, reach, k)
     return near.select("pattern_id", F.least("i", "j").alias("i"), F.greatest("i", "j").alias("j"), "d2").distinct()
 
 
@@ -143,28 +143,38 @@ def graph_smoothing(points: DataFrame, radius: float, signal: str = "value") ->
     return near.groupBy("pattern_id", F.col("i").alias("idx")).agg(F.avg(f"j_{signal}").alias("smoothed"))
 
 
+def _triples(edges: DataFrame) -> DataFrame:
+    """pattern_id, i, j, k of each triangle of edges(pattern_id, i, j). Edges leave the node with fewer
+    of them, so a node's leaving edges are few however many meet at it, and only those are paired."""
+    degree = edges.select("pattern_id", F.explode(F.array("i", "j")).alias("n")).groupBy("pattern_id", "n").agg(F.count(F.lit(1)).alias("d"))
+    of = lambda c: degree.select("pattern_id", F.col("n").alias(c), F.struct("d", "n").alias(f"o{c}"))
+    both = edges.join(of("i"), ["pattern_id", "i"]).join(of("j"), ["pattern_id", "j"])
+    first = F.col("oi") < F.col("oj")
+    out = cut(both.select("pattern_id", F.when(first, F.col("i")).otherwise(F.col("j")).alias("a"), F.when(first, F.col("j")).otherwise(F.col("i")).alias("b")))
+    wedge = out.join(out.withColumnRenamed("b", "c"), ["pattern_id", "a"]).where("b < c")
+    return wedge.join(edges.select("pattern_id", F.col("i").alias("b"), F.col("j").alias("c")), ["pattern_id", "b", "c"]).select("pattern_id", F.col("a").alias("i"), F.col("b").alias("j"), F.col("c").alias("k"))
+
+
 def triangles(points: DataFrame, radius: float, label: str = "label") -> DataFrame:
     """Triangles of the radius graph by their sorted labels."""
-    e = pairs(points, None, radius, [label], unordered=True).select("pattern_id", "i", "j", F.col(f"i_{label}").alias("li"), F.col(f"j_{label}").alias("lj"))
-    first, second = e, e.select("pattern_id", F.col("i").alias("j"), F.col("j").alias("k"), F.col("lj").alias("lk"))
-    closing = e.select("pattern_id", "i", F.col("j").alias("k"))
-    met = first.join(second, ["pattern_id", "j"]).join(closing, ["pattern_id", "i", "k"])
+    met = _triples(cut(pairs(points, None, radius, unordered=True).select("pattern_id", "i", "j")))
+    for c in "ijk":
+        met = met.join(points.select("pattern_id", F.col("idx").alias(c), F.col(label).alias(f"l{c}")), ["pattern_id", c])
     kind = F.array_sort(F.array("li", "lj", "lk"))
     return met.groupBy("pattern_id", F.array_join(kind, "-").alias("motif")).agg(F.count(F.lit(1)).alias("triangles"))
 
 
 def clustering(points: DataFrame, radius: float) -> DataFrame:
     """Local clustering coefficient of each node of degree two or more."""
-    e = pairs(points, None, radius, unordered=True).select("pattern_id", "i", "j")
-    second, closing = e.select("pattern_id", F.col("i").alias("j"), F.col("j").alias("k")), e.select("pattern_id", "i", F.col("j").alias("k"))
-    t = e.join(second, ["pattern_id", "j"]).join(closing, ["pattern_id", "i", "k"]).select("pattern_id", F.explode(F.array("i", "j", "k")).alias("idx")).groupBy("pattern_id", "idx").agg(F.count(F.lit(1)).alias("t"))
+    e = cut(pairs(points, None, radius, unordered=True).select("pattern_id", "i", "j"))
+    t = _triples(e).select("pattern_id", F.explode(F.array("i", "j", "k")).alias("idx")).groupBy("pattern_id", "idx").agg(F.count(F.lit(1)).alias("t"))
     d = e.select("pattern_id", F.explode(F.array("i", "j")).alias("idx")).groupBy("pattern_id", "idx").agg(F.count(F.lit(1)).alias("degree")).where("degree > 1")
     return d.join(t, ["pattern_id", "idx"], "left").select("pattern_id", "idx", "degree", (2 * F.coalesce("t", F.lit(0)) / (F.col("degree") * (F.col("degree") - 1))).alias("clustering"))
 
 
 def bond_order(points: DataFrame, k: int, reach: float, symmetry: int = 6) -> DataFrame:
-    """|mean exp(i * symmetry * angle)| over each point's k nearest neighbours within reach."""
-    near = nearest(points, None, reach, k)
+    """|mean exp(i * symmetry * angle)| over each point's k nearest neighbours; reach is where the search starts."""
+    near = nearest_any(points, None, reach, k)
     angle = symmetry * F.atan2(F.col("j_y") - F.col("i_y"), F.col("j_x") - F.col("i_x"))
     psi = near.groupBy("pattern_id", F.col("i").alias("idx")).agg(F.avg(F.cos(angle)).alias("re"), F.avg(F.sin(angle)).alias("im"), F.count(F.lit(1)).alias("neighbours"))
     return psi.select("pattern_id", "idx", "neighbours", F.sqrt(F.col("re") * F.col("re") + F.col("im") * F.col("im")).alias("order"))

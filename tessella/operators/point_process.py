@@ -11,7 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.core import area, boundary_distance, levels, nearest, on_all, pairs
+from ..functions.core import area, boundary_distance, levels, nearest_any, on_all, pairs
 
 Rect = tuple[float, float, float, float]
 
@@ -250,8 +250,8 @@ def landy_szalay(points: DataFrame, random: DataFrame, edges: Sequence[float]) -
 
 
 def mean_nearest(points: DataFrame, reach: float) -> DataFrame:
-    """Mean distance to the nearest neighbour, over points that have one within reach."""
-    near = nearest(points.select("pattern_id", "idx", "x", "y"), None, reach)
+    """Mean distance to the nearest neighbour; reach is where the search starts."""
+    near = nearest_any(points.select("pattern_id", "idx", "x", "y"), None, reach)
     return near.groupBy("pattern_id").agg(F.avg(F.sqrt("d2")).alias("mean_distance"), F.count(F.lit(1)).alias("points"))
 
 

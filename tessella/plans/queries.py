@@ -251,7 +251,10 @@ def landy_szalay(pts):
     return point_process.landy_szalay(own, other, [0.0, 15.0, 30.0, 50.0])
 
 
-@query(f"""WITH {PTS}, {PR} SELECT pattern_id, {q('avg(sqrt(d2))')} AS mean_distance, count(*) AS points FROM (SELECT pattern_id, i, min(d2) AS d2 FROM pr GROUP BY 1, 2) GROUP BY 1""")
+_ALL = """al AS (SELECT a.pattern_id, a.idx AS i, b.idx AS j, a.x AS ix, a.y AS iy, b.x AS jx, b.y AS jy, (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) AS d2 FROM pts a JOIN pts b ON a.pattern_id = b.pattern_id AND a.idx <> b.idx)"""
+
+
+@query(f"""WITH {PTS}, {_ALL} SELECT pattern_id, {q('avg(sqrt(d2))')} AS mean_distance, count(*) AS points FROM (SELECT pattern_id, i, min(d2) AS d2 FROM al GROUP BY 1, 2) GROUP BY 1""")
 def mean_nearest_distance(pts):
     return point_process.mean_nearest(pts, R)
 
@@ -264,7 +267,7 @@ def radius_graph(pts):
     return neighbourhood.radius_edges(pts, 30.0).select("pattern_id", "i", "j", "distance", "angle")
 
 
-@query(f"""WITH {PTS}, {PR} SELECT DISTINCT pattern_id, least(i, j) AS i, greatest(i, j) AS j, d2 FROM pr QUALIFY row_number() OVER (PARTITION BY pattern_id, pr.i ORDER BY d2, pr.j) <= 3""")
+@query(f"""WITH {PTS}, {_ALL} SELECT DISTINCT pattern_id, least(i, j) AS i, greatest(i, j) AS j, d2 FROM al QUALIFY row_number() OVER (PARTITION BY pattern_id, al.i ORDER BY d2, al.j) <= 3""")
 def knn_graph(pts):
     return neighbourhood.knn_edges(pts, 3, R)
 
@@ -372,7 +375,7 @@ def clustering_coefficient(pts):
     return neighbourhood.clustering(pts, R)
 
 
-@query(f"""WITH {PTS}, {PR}, k AS (SELECT pattern_id, i, 6 * atan2(jy - iy, jx - ix) AS a FROM pr QUALIFY row_number() OVER (PARTITION BY pattern_id, i ORDER BY d2, j) <= 6)
+@query(f"""WITH {PTS}, {_ALL}, k AS (SELECT pattern_id, i, 6 * atan2(jy - iy, jx - ix) AS a FROM al QUALIFY row_number() OVER (PARTITION BY pattern_id, i ORDER BY d2, j) <= 6)
     SELECT pattern_id, i AS idx, count(*) AS neighbours, {q('sqrt(avg(cos(a)) * avg(cos(a)) + avg(sin(a)) * avg(sin(a)))')} AS "order" FROM k GROUP BY 1, 2""")
 def bond_orientational_order(pts):
     return neighbourhood.bond_order(pts, 6, R)

@@ -22,14 +22,15 @@ def read_cells(spark: SparkSession, path: str, extra: str = "") -> DataFrame:
 
 
 def read_window(spark: SparkSession, path: str) -> DataFrame:
-    """GeoJSON Polygon, MultiPolygon, Feature or FeatureCollection -> one row per edge: polygon, ring, x1, y1, x2, y2."""
+    """GeoJSON Polygon, MultiPolygon, Feature or FeatureCollection of one feature (more are an error) -> one row per edge: polygon, ring, x1, y1, x2, y2."""
     return window_edges(spark.read.text(path, wholetext=True).withColumnRenamed("value", "json"))
 
 
 def window_edges(documents: DataFrame) -> DataFrame:
     ring = "array<array<double>>"
     at = lambda p: F.get_json_object("json", p)
-    feature = F.coalesce(at("$.features[0].geometry"), at("$.geometry"), F.col("json"))
+    several = F.raise_error(F.lit("a window is one feature, not several")).cast("string")
+    feature = F.when(at("$.features[1]").isNotNull(), several).otherwise(F.coalesce(at("$.features[0].geometry"), at("$.geometry"), F.col("json")))
     shape = documents.select(feature.alias("g"))
     polygon = F.from_json(F.get_json_object("g", "$.coordinates"), f"array<{ring}>", {"mode": "PERMISSIVE"})
     multi = F.from_json(F.get_json_object("g", "$.coordinates"), f"array<array<{ring}>>", {"mode": "PERMISSIVE"})
