@@ -95,7 +95,7 @@ def periodogram(points: DataFrame, side: float, grid: int, annuli: int, mark: st
     freq = 2 * np.pi * np.fft.fftfreq(grid, side / grid)
     size = np.hypot(freq[:, None], freq[None]).ravel()
     top = np.pi * grid / side
-    ring = np.where((size > 0) & (size <= top), np.minimum((size / (top / annuli)).astype(int), annuli - 1), annuli)
+    ring = np.where((size > 0) & (size <= top), np.minimum((size / (top / annuli) + 1e-9).astype(int), annuli - 1), annuli)
     taper = np.hanning(grid)[:, None] * np.hanning(grid)[None]
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:

@@ -345,12 +345,17 @@ def ordinary_kriging(pts):
     return inference.kriging(pts, targets, 150.0, 8, 200.0, 80.0, 10.0)
 
 
-@query()
+@query(f"""WITH {PTS}, n AS (SELECT pattern_id, count(*) AS n FROM pts GROUP BY 1), h AS (SELECT m, sum(CASE WHEN m > 0 THEN 1.0 / m ELSE 0 END) OVER (ORDER BY m) AS h FROM (SELECT unnest(range((SELECT max(n) FROM n))) AS m)),
+    e AS (SELECT a.pattern_id, a.idx, a.value AS v, a.z, list_extract(min(greatest(abs(a.value - b.value), abs(a.z - b.z)), 3), 3) AS e FROM pts a JOIN pts b ON a.pattern_id = b.pattern_id AND a.idx <> b.idx GROUP BY ALL),
+    c AS (SELECT e.pattern_id, e.idx, count(*) FILTER (abs(e.v - b.value) < e) AS nx, count(*) FILTER (abs(e.z - b.z) < e) AS ny FROM e JOIN pts b ON e.pattern_id = b.pattern_id AND e.idx <> b.idx GROUP BY 1, 2),
+    s AS (SELECT pattern_id, avg(a.h + b.h) AS s FROM c JOIN h a ON a.m = nx JOIN h b ON b.m = ny GROUP BY 1) SELECT pattern_id, n, CASE WHEN n > 3 THEN {q('1.5 + h - s')} END AS information FROM n LEFT JOIN s USING (pattern_id) JOIN h ON m = n - 1""")
 def neighbour_information(pts):
     return inference.neighbour_information(pts, "value", "z", 3)
 
 
-@query()
+@query(f"""WITH RECURSIVE {PTS}, {PR}, rr AS (SELECT unnest([10.0, 20.0, 30.0, 40.0, 50.0])::DOUBLE AS r), li AS MATERIALIZED (SELECT pattern_id, r, i, j FROM pr, rr WHERE d2 <= r * r), nd AS MATERIALIZED (SELECT pattern_id, r, idx AS i FROM pts, rr),
+    la(pattern_id, r, i, c) USING KEY (pattern_id, r, i) AS (SELECT pattern_id, r, i, i FROM nd UNION SELECT l.pattern_id, l.r, l.i, min(w.c) FROM li l JOIN la w ON w.pattern_id = l.pattern_id AND w.r = l.r AND w.i = l.j JOIN recurring.la o ON o.pattern_id = l.pattern_id AND o.r = l.r AND o.i = l.i WHERE w.c < o.c GROUP BY 1, 2, 3),
+    k AS (SELECT pattern_id, r, c, count(*) AS k FROM la GROUP BY 1, 2, 3) SELECT pattern_id, r, count(*) AS components, {q('max(k) / sum(k)')} AS largest_share FROM k GROUP BY 1, 2""")
 def connectivity_transition(pts):
     return inference.merge_curve(pts, [10.0, 20.0, 30.0, 40.0, 50.0])
 
@@ -389,7 +394,10 @@ def growth_front(t):
     return dynamics.growth_front(s, 80, 1.0, 0.1, 200)
 
 
-@table_query()
+@table_query(f"""WITH RECURSIVE s AS (SELECT s_suppkey::BIGINT AS key, 0.5 + s_suppkey % 7 / 5.0 AS a, 0.5 + s_suppkey % 4 / 3.0 AS b, (0.1 + s_suppkey % 3 / 10.0)::DOUBLE AS x, (0.1 + s_suppkey % 5 / 10.0)::DOUBLE AS y, 0 AS n FROM supplier
+    UNION ALL SELECT key, a, b, x + 0.05 / 6 * (k1 + 2 * k2 + 2 * k3 + p * (1 - p - a * r)), y + 0.05 / 6 * (l1 + 2 * l2 + 2 * l3 + r * (1 - r - b * p)), n + 1 FROM (SELECT *, x + 0.05 * k3 AS p, y + 0.05 * l3 AS r FROM (SELECT *, p2 * (1 - p2 - a * r2) AS k3, r2 * (1 - r2 - b * p2) AS l3 FROM (SELECT *, x + 0.025 * k2 AS p2, y + 0.025 * l2 AS r2
+      FROM (SELECT *, p1 * (1 - p1 - a * r1) AS k2, r1 * (1 - r1 - b * p1) AS l2 FROM (SELECT *, x + 0.025 * k1 AS p1, y + 0.025 * l1 AS r1 FROM (SELECT *, x * (1 - x - a * y) AS k1, y * (1 - y - b * x) AS l1 FROM s WHERE n < 400)))))))
+    SELECT key, {q('x')} AS x, {q('y')} AS y FROM s WHERE n = 400""")
 def competition(t):
     k = F.col("s_suppkey")
     return dynamics.competition(t("supplier").select(k.alias("key"), (0.5 + k % 7 / 5).alias("a"), (0.5 + k % 4 / 3).alias("b"), (0.1 + k % 3 / 10).alias("x"), (0.1 + k % 5 / 10).alias("y")), 0.05, 400)
@@ -427,7 +435,15 @@ def stratified_spectrum_readouts(pts):
     return spectra.spectrum_readouts(pts, 1000.0, 0.006, 0.045, 6, 2, 99, 4, stratum="stratum")
 
 
-@query()
+_TAPER = "(0.5 - 0.5 * cos(2 * pi() * {0} / 31))"
+
+
+@query(f"""WITH {PTS}, m AS (SELECT pattern_id, avg(mark) AS m FROM pts GROUP BY 1), ra AS (SELECT pattern_id, least(floor(x / 31.25), 31)::INT AS gx, least(floor(y / 31.25), 31)::INT AS gy, sum(mark - m) * {_TAPER.format('least(floor(any_value(x) / 31.25), 31)')} * {_TAPER.format('least(floor(any_value(y) / 31.25), 31)')} AS v FROM pts JOIN m USING (pattern_id) GROUP BY 1, 2, 3),
+    fq AS (SELECT unnest(range(32))::INT AS f), fa AS (SELECT pattern_id, f AS u, gy, sum(v * cos(2 * pi() * f * gx / 32)) AS c, -sum(v * sin(2 * pi() * f * gx / 32)) AS s FROM ra, fq GROUP BY 1, 2, 3),
+    fb AS (SELECT pattern_id, u, f AS w, sum(c * cos(2 * pi() * f * gy / 32) + s * sin(2 * pi() * f * gy / 32)) AS c, sum(s * cos(2 * pi() * f * gy / 32) - c * sin(2 * pi() * f * gy / 32)) AS s FROM fa, fq GROUP BY 1, 2, 3),
+    tp AS (SELECT sum(pow({_TAPER.format('a')}, 2)) AS t FROM (SELECT unnest(range(32)) AS a)), po AS (SELECT pattern_id, 2 * pi() / 1000 * sqrt(pow(CASE WHEN u >= 16 THEN u - 32 ELSE u END, 2) + pow(CASE WHEN w >= 16 THEN w - 32 ELSE w END, 2)) AS k, (c * c + s * s) / (t * t) AS p FROM fb, tp),
+    an AS (SELECT *, least(floor(k / (pi() * 32 / 1000 / 8) + 1e-9), 7)::BIGINT AS annulus FROM po WHERE k > 0 AND k <= pi() * 32 / 1000 + 1e-12)
+    SELECT pattern_id, annulus, count(*) AS modes, {q('avg(k)')} AS k, {q('avg(p)')} AS power FROM an GROUP BY 1, 2""")
 def raster_periodogram(pts):
     return spectra.periodogram(pts, 1000.0, 32, 8)
 

@@ -381,7 +381,10 @@ def bond_orientational_order(pts):
     return neighbourhood.bond_order(pts, 6, R)
 
 
-@query()
+@query(f"""WITH RECURSIVE {PTS}, {PR}, nr AS MATERIALIZED (SELECT pattern_id, i, j FROM pr WHERE d2 <= 900), co AS MATERIALIZED (SELECT pattern_id, i FROM nr GROUP BY 1, 2 HAVING count(*) >= 4),
+    li AS MATERIALIZED (SELECT n.* FROM nr n JOIN co a ON a.pattern_id = n.pattern_id AND a.i = n.i JOIN co b ON b.pattern_id = n.pattern_id AND b.i = n.j),
+    la(pattern_id, i, c) USING KEY (pattern_id, i) AS (SELECT pattern_id, i, i FROM co UNION SELECT l.pattern_id, l.i, min(w.c) FROM li l JOIN la w ON w.pattern_id = l.pattern_id AND w.i = l.j JOIN recurring.la o ON o.pattern_id = l.pattern_id AND o.i = l.i WHERE w.c < o.c GROUP BY 1, 2)
+    SELECT pattern_id, i AS idx, c AS cluster, true AS core FROM la UNION ALL SELECT n.pattern_id, n.i, min(l.c), false FROM nr n JOIN la l ON l.pattern_id = n.pattern_id AND l.i = n.j ANTI JOIN co ON co.pattern_id = n.pattern_id AND co.i = n.i GROUP BY 1, 2""")
 def density_clusters(pts):
     return neighbourhood.density_clusters(pts, 30.0, 5)
 
@@ -541,7 +544,12 @@ def multisite_pooling(t):
     return out.withColumn("tau2", F.round("tau2", 3))
 
 
-@table_query()
+_TAIL = "(SELECT sum(w * pow(greatest(cos({0} + (pi() / 2 - {0}) * k / 4000.0), 0), n - 2)) * (pi() / 2 - {0}) FROM sk) / (SELECT sum(w * pow(greatest(cos(pi() * (k / 4000.0 - 0.5)), 0), n - 2)) * pi() FROM sk)"
+
+
+@table_query(f"""WITH {_PAT}, sk AS (SELECT k, CASE WHEN k IN (0, 4000) THEN 1.0 WHEN k % 2 = 1 THEN 4.0 ELSE 2.0 END AS w FROM (SELECT unnest(range(4001)) AS k)), s AS (SELECT grp, count(*) AS n, avg((value - 4500) / 1000) AS mean, stddev_samp((value - 4500) / 1000) / sqrt(count(*)) AS se FROM p GROUP BY 1),
+    t AS (SELECT *, (mean + 0.5) / se AS t_low, (0.5 - mean) / se AS t_high FROM s), a AS (SELECT *, atan(t_low / sqrt(n - 1)) AS al, atan(t_high / sqrt(n - 1)) AS ah FROM t), b AS (SELECT *, {_TAIL.format('al')} AS p_low, {_TAIL.format('ah')} AS p_high FROM a)
+    SELECT grp, n, {q('mean')} AS mean, {q('se')} AS se, {q('t_low')} AS t_low, {q('t_high')} AS t_high, {q('p_low')} AS p_low, {q('p_high')} AS p_high, greatest(p_low, p_high) < 0.05 AS equivalent FROM b""")
 def equivalence_test(t):
     return cohort.equivalence(_patients(t).withColumn("effect", (F.col("value") - 4500) / 1000), 0.5, 0.05, "grp")
 
@@ -634,7 +642,11 @@ def spectrum_bins(t):
     return tables.binned_spectrum(peaks, 50.0, "mz", "intensity", "event_type")
 
 
-@table_query()
+@table_query(f"""WITH RECURSIVE e AS (SELECT user_id::BIGINT AS series, event_id::BIGINT AS t, value::DOUBLE AS y, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS k, count(*) OVER (PARTITION BY user_id) AS n FROM events),
+    f AS (SELECT series, t, k, n, 0.0::DOUBLE AS pm, 10.0::DOUBLE AS pv, 10.0 / 14.0 * y AS m, (1 - 10.0 / 14.0) * 10.0 AS v, -0.5 * (ln(2 * pi() * 14.0) + y * y / 14.0) AS ll FROM e WHERE k = 1
+      UNION ALL SELECT series, t, k, n, pm, pv, pm + pv / (pv + 4) * (y - pm), (1 - pv / (pv + 4)) * pv, ll - 0.5 * (ln(2 * pi() * (pv + 4)) + (y - pm) * (y - pm) / (pv + 4)) FROM (SELECT e.series, e.t, e.k, e.n, e.y, 0.9 * f.m AS pm, 0.81 * f.v + 1 AS pv, f.ll FROM f JOIN e ON e.series = f.series AND e.k = f.k + 1)),
+    g AS (SELECT series, k, m AS sm, v AS sv FROM f WHERE k = n UNION ALL SELECT a.series, a.k, a.m + a.v * 0.9 / b.pv * (g.sm - b.pm), a.v + pow(a.v * 0.9 / b.pv, 2) * (g.sv - b.pv) FROM g JOIN f b ON b.series = g.series AND b.k = g.k JOIN f a ON a.series = g.series AND a.k = g.k - 1)
+    SELECT f.series, f.t, {q('f.m')} AS filtered, {q('g.sm')} AS smoothed, {q('g.sv')} AS smoothed_variance, {q('max(f.ll) FILTER (f.k = f.n) OVER (PARTITION BY f.series)')} AS log_likelihood FROM f JOIN g USING (series, k)""")
 def kalman_smoother(t):
     e = t("events").select(F.col("user_id").cast("long").alias("series"), F.col("event_id").cast("long").alias("t"), F.col("value").cast("double"))
     return models.kalman(e, 0.9, 1.0, 4.0, 0.0, 10.0)
