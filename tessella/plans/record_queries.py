@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from .. import workflow
 from ..operators import models, records
 from .queries import _MODES, _SC, PR, PTS, WINDOW, _scores, draw, q, query, shuffle, table_query, unit
 
@@ -191,3 +192,21 @@ def draw_diagnostics(t):
     SELECT pattern_id, sum(d)::BIGINT AS links, {q('sum(d * f * f - 0.9 * f * s)', 4)} AS form, {q('corr(f, s / d)')} AS lag_correlation FROM g GROUP BY 1""")
 def autoregressive_form(pts):
     return records.autoregressive_form(pts, 30.0, 0.9).withColumn("form", F.round(F.col("form") + 3.7e-9, 4))
+
+
+_FLAGS = ("provenance_complete", "converged", "severe_failure", "approximate", "error_validated", "clinical_claim", "externally_validated", "causal_claim", "identified", "bayesian", "calibrated", "predictive_checked")
+_RULES = (
+    ("NOT provenance_complete", 5, "provenance_incomplete"), ("NOT converged", 5, "nonconverged"), ("severe_failure", 5, "severe_diagnostic_failure"), ("approximate AND NOT error_validated", 4, "approximate_mode_without_validated_error_or_calibration"),
+    ("clinical_claim AND NOT externally_validated", 3, "predictive_clinical_claim_without_external_validation"), ("causal_claim AND NOT identified", 5, "causal_identification_unsupported"), ("bayesian AND NOT (calibrated AND predictive_checked)", 3, "bayesian_requirements_incomplete"),
+)
+_RANKS = ", ".join(f"'{m}'" for m in workflow.MATURITY)
+
+
+@table_query(f"""WITH s AS (SELECT o_orderkey::BIGINT AS id, [{_RANKS}][o_orderkey % 5 + 1] AS method, {', '.join(f'(o_custkey >> {k}) & 1 = {int(k < 2)} AS {f}' for k, f in enumerate(_FLAGS))} FROM orders),
+    r AS (SELECT id, method, greatest(list_position([{_RANKS}], method), {', '.join(f'CASE WHEN {t} THEN {n} ELSE 0 END' for t, n, _ in _RULES)}) AS k, concat_ws(',', {', '.join(f"CASE WHEN {t} THEN '{w}' END" for t, _, w in _RULES)}) AS reasons FROM s)
+    SELECT id, method, [{_RANKS}][k] AS maturity, [{_RANKS}][k] <> method AS downgraded, reasons FROM r""")
+def result_maturity(t):
+    o, bit = t("orders"), lambda k: F.shiftright("o_custkey", k).bitwiseAND(F.lit(1)) == int(k < 2)
+    method = F.element_at(F.array(*map(F.lit, workflow.MATURITY)), (F.col("o_orderkey") % 5 + 1).cast("int"))
+    spec = o.select(F.col("o_orderkey").cast("long").alias("id"), method.alias("method"), *[bit(k).alias(f) for k, f in enumerate(_FLAGS)])
+    return workflow.result_maturity(spec).select("id", "method", "maturity", "downgraded", "reasons")
