@@ -21,14 +21,32 @@ def wave_numbers(spark, side: float, low: float, high: float) -> DataFrame:
 
 
 def structure_factor(points: DataFrame, modes: DataFrame, mark: str = "mark") -> DataFrame:
-    """|sum (m - mean) exp(-ik.x)|^2 / n for each mode; the modes are a parameter table."""
-    share = points.groupBy("pattern_id").agg(F.avg(mark).alias("p"), F.count(F.lit(1)).alias("n"))
-    phase = F.col("kx") * F.col("x") + F.col("ky") * F.col("y")
-    # the mean is taken off afterwards: one pass over the points
-    sums = points.crossJoin(F.broadcast(modes)).groupBy("pattern_id", "mx", "my", "k").agg(F.sum(F.col(mark) * F.cos(phase)).alias("mc"), F.sum(F.col(mark) * F.sin(phase)).alias("ms"), F.sum(F.cos(phase)).alias("c"), F.sum(F.sin(phase)).alias("s"))
-    out = sums.join(share, "pattern_id")
-    re, im = F.col("mc") - F.col("p") * F.col("c"), F.col("ms") - F.col("p") * F.col("s")
-    return out.select("pattern_id", "mx", "my", "k", ((re * re + im * im) / F.col("n")).alias("power"))
+    """|sum (m - mean) exp(-ik.x)|^2 / n for each mode; the modes are a parameter table.
+
+    Wave vectors lie on a lattice, so a point's phases are products of powers of two numbers, and a
+    pattern's sums are one product of matrices a block of points.
+    """
+    held = modes.toPandas()  # by parameters
+    mx, my, k = held["mx"].to_numpy(int), held["my"].to_numpy(int), held["k"].to_numpy(float)
+    steps = [held[c].to_numpy(float)[at != 0][0] / at[at != 0][0] if (at != 0).any() else 0.0 for c, at in (("kx", mx), ("ky", my))]
+    top = [int(np.abs(a).max(initial=0)) for a in (mx, my)]
+
+    def powers(x: np.ndarray, step: float, most: int) -> np.ndarray:
+        """exp(-i step x m) for m = -most .. most."""
+        m = np.arange(most + 1)
+        half = np.exp(-1j * step * x)[:, None] ** m
+        return np.concatenate([half[:, :0:-1].conj(), half], axis=1)
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        m, total = pdf[mark].to_numpy(float), np.zeros((2 * top[0] + 1, 2 * top[1] + 1), complex)
+        m = m - m.mean()
+        for s in range(0, len(pdf), 65536):
+            ex, ey = (powers(pdf[c].to_numpy(float)[s : s + 65536], d, t) for c, d, t in (("x", steps[0], top[0]), ("y", steps[1], top[1])))
+            total += ex.T @ (m[s : s + 65536, None] * ey)
+        power = np.abs(total[mx + top[0], my + top[1]]) ** 2 / len(pdf)
+        return pd.DataFrame({"pattern_id": pdf["pattern_id"].iloc[0], "mx": mx, "my": my, "k": k, "power": power})
+
+    return points.select("pattern_id", "x", "y", mark).groupBy("pattern_id").applyInPandas(run, "pattern_id long, mx int, my int, k double, power double")
 
 
 def shell_means(powers: DataFrame, low: float, high: float, shells: int) -> DataFrame:
