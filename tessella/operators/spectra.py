@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.core import pairs
-from ..functions.seeds import replicate_seeds, shuffles
+from ..functions.draws import orders
 
 
 def _lattice(side: float, low: float, high: float) -> np.ndarray:
@@ -32,7 +32,7 @@ def _shell_curves(pdf: pd.DataFrame, side: float, low: float, high: float, shell
     marks, blocks = np.tile(m, (replicates + 1, 1)), pd.factorize(pdf[stratum])[0] if stratum else np.zeros(n, int)
     for b in np.unique(blocks):
         at = np.flatnonzero(blocks == b)
-        marks[1:, at] = m[at][shuffles(len(at), replicate_seeds(seed ^ int(b), int(pdf["pattern_id"].iloc[0]), replicates))]
+        marks[1:, at] = m[at][orders(pdf["idx"].to_numpy()[at].tolist(), seed, replicates)]
     marks -= m.mean()
     sums, used = np.zeros((replicates + 1, shells)), np.bincount(shell, minlength=shells)
     for s in range(0, len(k), 128):
