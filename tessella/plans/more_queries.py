@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..operators import cohort, dynamics, graphs, groups, inference, models, morphology, point_process, spectra, tables
-from .queries import _MODES, _N, _NULL, _PAT, _SC, _SF, _WE, _null, AREA, BASE, BI, PR, PTS, RADII, WINDOW, B, _patients, _powers, _scores, draw, q, query, shuffle, table_query, unit
+from .queries import _MODES, _N, _NULL, _PAT, _SC, _SF, _WE, _null, AREA, BASE, BI, PR, PTS, RADII, WINDOW, B, _patients, _powers, _scores, draw, q, query, shuffle, table_query, transport_sql, unit
 
 # Edge corrections and fits of point patterns -----------------------------------------------------
 
@@ -388,7 +388,9 @@ def chebyshev_heat(pts):
     return dynamics.chebyshev_heat(pts, 30.0, 1.0, 3)
 
 
-@table_query()
+@table_query(f"""WITH RECURSIVE s AS (SELECT s_suppkey::BIGINT AS key, 0.5 + s_suppkey % 5 / 10.0 AS r, 0.5 + s_suppkey % 3 / 4.0 AS d FROM supplier),
+    st AS (SELECT key, r::DOUBLE AS r, d::DOUBLE AS d, 0 AS n, list_transform(range(80), lambda i: CASE WHEN i = 0 THEN 1.0 ELSE 0.0 END::DOUBLE) AS u FROM s UNION ALL SELECT key, r, d, n + 1, list_transform(u, lambda v, i: v + 0.1 * (d * (coalesce(u[i + 1], v) - 2 * v + CASE WHEN i = 1 THEN v ELSE u[i - 1] END) + r * v * (1 - v))) FROM st WHERE n < 200)
+    SELECT key, coalesce(list_max(list_filter(list_transform(u, lambda v, i: CASE WHEN v >= 0.5 THEN i - 1 END), lambda v: v IS NOT NULL)), 0)::DOUBLE AS front, {q('list_sum(u)')} AS total FROM st WHERE n = 200""")
 def growth_front(t):
     s = t("supplier").select(F.col("s_suppkey").alias("key"), (0.5 + F.col("s_suppkey") % 5 / 10).alias("rate"), (0.5 + F.col("s_suppkey") % 3 / 4).alias("diffusion"))
     return dynamics.growth_front(s, 80, 1.0, 0.1, 200)
@@ -566,7 +568,7 @@ def thomas_simulation(pts):
     return models.cluster_points(pts.select("pattern_id").distinct(), WINDOW, 1e-4, 5.0, 12.0, 33)
 
 
-@table_query()
+@table_query(transport_sql("(5.0 / 6.0)", "ln(m)", "ln(m)"))
 def unbalanced_transport(t):
     s = t("supplier").join(F.broadcast(t("nation")), F.col("s_nationkey") == F.col("n_nationkey"))
     mass = s.groupBy(F.col("n_regionkey").cast("long").alias("problem"), F.col("n_nationkey").cast("long").alias("nation")).agg(F.count(F.lit(1)).cast("double").alias("m"))

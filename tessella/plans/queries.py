@@ -652,7 +652,19 @@ def kalman_smoother(t):
     return models.kalman(e, 0.9, 1.0, 4.0, 0.0, 10.0)
 
 
-@table_query()
+def transport_sql(give: str, la: str, lb: str) -> str:
+    """Entropic plans between nations of a region by supplier counts, 500 rounds; marginals are scaled by `give`."""
+    soft = lambda x, other, k: f"ln(list_sum(list_transform({other}, lambda v, w: exp({k} + v))))"
+    f = f"list_transform(la, lambda a, i: {give} * (a - {soft('a', 'g', 'kk[i][w]')}))"
+    g = f"list_transform(lb, lambda b, j: {give} * (b - {soft('b', 'f', 'kk[w][j]')}))"
+    return f"""WITH RECURSIVE m AS (SELECT n_regionkey::BIGINT AS problem, n_nationkey::BIGINT AS nation, count(*)::DOUBLE AS m FROM supplier JOIN nation ON s_nationkey = n_nationkey GROUP BY 1, 2), t AS (SELECT problem, sum(m) AS t FROM m GROUP BY 1),
+    pa AS (SELECT problem, list(nation ORDER BY nation) AS ids, list({la} ORDER BY nation) AS la, list({lb} ORDER BY nation) AS lb FROM m JOIN t USING (problem) GROUP BY 1), pk AS (SELECT *, list_transform(ids, lambda s: list_transform(ids, lambda t: -abs(s - t)::DOUBLE)) AS kk FROM pa),
+    st AS (SELECT problem, 0 AS n, list_transform(ids, lambda s: 0.0::DOUBLE) AS f, list_transform(ids, lambda s: 0.0::DOUBLE) AS g FROM pk UNION ALL SELECT problem, n + 1, f, {g} AS g FROM (SELECT st.problem, n, la, lb, kk, {f} AS f FROM st JOIN pk USING (problem) WHERE n < 500)),
+    fi AS (SELECT problem, ids, kk, f, g FROM st JOIN pk USING (problem) WHERE n = 500), ix AS (SELECT problem, ids, kk, f, g, unnest(range(1, len(ids) + 1)) AS i FROM fi), ij AS (SELECT *, unnest(range(1, len(ids) + 1)) AS j FROM ix)
+    SELECT problem, ids[i] AS source, ids[j] AS target, {q('exp(kk[i][j] + f[i] + g[j])')} AS mass FROM ij"""
+
+
+@table_query(transport_sql("1.0", "ln(m / t)", "ln(m / t)"))
 def sinkhorn_plan(t):
     s = t("supplier").join(F.broadcast(t("nation")), F.col("s_nationkey") == F.col("n_nationkey"))
     mass = s.groupBy(F.col("n_regionkey").cast("long").alias("problem"), F.col("n_nationkey").cast("long").alias("nation")).agg(F.count(F.lit(1)).cast("double").alias("m"))
