@@ -79,10 +79,11 @@ def scan_permutation(pts):
 
 
 @query(f"""WITH {PTS}, {PR}, ed AS MATERIALIZED (SELECT pattern_id, i, j FROM pr WHERE i < j AND d2 <= 900), we AS MATERIALIZED (SELECT a.pattern_id, a.i, a.j, b.j AS k FROM ed a JOIN ed b ON a.pattern_id = b.pattern_id AND a.j = b.i), tr AS MATERIALIZED (SELECT w.* FROM we w SEMI JOIN ed c ON c.pattern_id = w.pattern_id AND c.i = w.i AND c.j = w.k),
-    {shuffle('sl', 'pts', 'pattern_id', 'idx', 'label', 39, 99)}, al AS (SELECT pattern_id, 0 AS replicate, idx, label AS l FROM pts UNION ALL SELECT pattern_id, replicate, idx, label FROM sl),
-    ls AS MATERIALIZED (SELECT pattern_id, idx, list(l ORDER BY replicate) AS ls FROM al GROUP BY 1, 2),
-    tl AS MATERIALIZED (SELECT t.pattern_id, a.ls AS la, b.ls AS lb, c.ls AS lc FROM tr t JOIN ls a ON a.pattern_id = t.pattern_id AND a.idx = t.i JOIN ls b ON b.pattern_id = t.pattern_id AND b.idx = t.j JOIN ls c ON c.pattern_id = t.pattern_id AND c.idx = t.k),
-    ct AS (SELECT pattern_id, replicate, array_to_string(list_sort([a, b, c]), '-') AS motif, count(*) AS k FROM (SELECT pattern_id, unnest(range(40)) AS replicate, unnest(la) AS a, unnest(lb) AS b, unnest(lc) AS c FROM tl) GROUP BY ALL),
+    cd AS (SELECT label, row_number() OVER (ORDER BY label)::TINYINT AS c FROM (SELECT DISTINCT label FROM pts)), {shuffle('sl', 'pts', 'pattern_id', 'idx', 'label', 39, 99)}, al AS (SELECT pattern_id, 0 AS replicate, idx, label FROM pts UNION ALL SELECT pattern_id, replicate, idx, label FROM sl),
+    ls AS MATERIALIZED (SELECT pattern_id, idx, list(c ORDER BY replicate) AS ls FROM al JOIN cd USING (label) GROUP BY 1, 2),
+    un AS MATERIALIZED (SELECT t.pattern_id, unnest(range(40)) AS replicate, unnest(a.ls)::INT AS a, unnest(b.ls)::INT AS b, unnest(c.ls)::INT AS c FROM tr t JOIN ls a ON a.pattern_id = t.pattern_id AND a.idx = t.i JOIN ls b ON b.pattern_id = t.pattern_id AND b.idx = t.j JOIN ls c ON c.pattern_id = t.pattern_id AND c.idx = t.k),
+    cn AS MATERIALIZED (SELECT pattern_id, replicate, least(a, b, c) AS lo, a + b + c - least(a, b, c) - greatest(a, b, c) AS mi, greatest(a, b, c) AS hi, count(*) AS k FROM un GROUP BY ALL),
+    ct AS MATERIALIZED (SELECT pattern_id, replicate, concat_ws('-', x.label, y.label, z.label) AS motif, k FROM cn JOIN cd x ON x.c = lo JOIN cd y ON y.c = mi JOIN cd z ON z.c = hi),
     fl AS (SELECT pattern_id, motif, replicate, coalesce(k, 0) AS k FROM (SELECT DISTINCT pattern_id, motif FROM ct) CROSS JOIN (SELECT unnest(range(40)) AS replicate) LEFT JOIN ct USING (pattern_id, motif, replicate)),
     s AS (SELECT f.pattern_id, f.motif, o.k AS triangles, avg(f.k) AS m, stddev_samp(f.k) AS sd, (1 + count(*) FILTER (f.k >= o.k)) / 40.0 AS p FROM fl f JOIN fl o ON o.pattern_id = f.pattern_id AND o.motif = f.motif AND o.replicate = 0 WHERE f.replicate > 0 GROUP BY 1, 2, 3)
     SELECT pattern_id, motif, triangles, {q('m')} AS mean, CASE WHEN sd > 0 THEN {q('(triangles - m) / sd')} END AS z, {q('p')} AS p_high FROM s""")
