@@ -11,7 +11,7 @@ from pyspark.sql.window import Window
 
 from ..functions.core import nearest_any, pairs
 from ..functions.draws import shuffled
-from . import point_process, records, tables, waves
+from . import cohort, inference, point_process, records, tables, waves
 
 KEY = "pattern_id"
 Rect = tuple[float, float, float, float]
@@ -252,3 +252,28 @@ def report_lines(analysis: DataFrame, title: str) -> DataFrame:
     cell = lambda c: F.regexp_replace(F.coalesce(F.col(c).cast("string"), F.lit("–")), r"\|", r"\\|")
     order = F.row_number().over(Window.orderBy(names[0])).cast("long")  # an analysis has a row a pattern
     return first.unionByName(analysis.select(order.alias("place"), F.concat(F.lit("| "), F.concat_ws(" | ", *map(cell, names)), F.lit(" |")).alias("value")))
+
+
+def slide_features(points: DataFrame, radius: float, classes: Sequence[str], label: str = "label", value: str = "value") -> DataFrame:
+    """Endpoints of each slide: class shares, mean value, Moran's I of the value, and how often a cell's
+    neighbour is of its class -> pattern_id, endpoint, value."""
+    base = points.groupBy(KEY).agg(*[F.avg((F.col(label) == c).cast("double")).alias(f"share_{c}") for c in classes], F.avg(value).alias("mean"))
+    moran = point_process.moran(points, radius, value).select(KEY, F.col("moran_i").alias("moran"))
+    same = pairs(points, None, radius, [label]).groupBy(KEY).agg(F.avg((F.col(f"i_{label}") == F.col(f"j_{label}")).cast("double")).alias("alike"))
+    wide = base.join(moran, KEY, "left").join(same, KEY, "left")
+    names = [c for c in wide.columns if c != KEY]
+    each = F.explode(F.array(*[F.struct(F.lit(c).alias("endpoint"), F.col(c).alias("value")) for c in names])).alias("e")
+    return wide.select(KEY, each).select(KEY, "e.*").where("value is not null")
+
+
+def multiplex_study(features: DataFrame, patients: DataFrame, n: int, seed: int) -> DataFrame:
+    """Slides' endpoints reduced to patients and their groups compared, all endpoints together.
+
+    features(pattern_id, endpoint, value), patients(pattern_id, patient, is_first). A patient's value is
+    the mean of its slides'. Labels are shuffled over patients, alike for all endpoints; statistics are
+    studentised differences. -> endpoint, patients, statistic, p_adjusted (by the largest), p_step_down.
+    """
+    own = features.join(F.broadcast(patients), KEY).groupBy("endpoint", "patient").agg(F.max(F.col("is_first").cast("int")).cast("boolean").alias("is_first"), F.avg("value").alias("value"))
+    null = cohort.permutation_contrasts(own, n, seed, "endpoint", id_col="patient").where("statistic is not null")
+    one, down = cohort.max_t(null, "endpoint"), inference.step_down(null, "endpoint").select("endpoint", F.col("p_adjusted").alias("p_step_down"))
+    return own.groupBy("endpoint").agg(F.count(F.lit(1)).alias("patients")).join(one, "endpoint").join(down, "endpoint")

@@ -194,3 +194,20 @@ def voxel_k3d(pts):
     spark = pts.sparkSession
     voxels = spark.createDataFrame([(a, b, c) for a in range(10) for b in range(10) for c in range(10) if (a + b * 3 + c) % 7], "vx int, vy int, vz int")
     return studies.voxel_k3d(pts, voxels, 100.0, [30.0, 60.0]).withColumn("k", F.round(F.col("k") + 3.7e-9, 3))
+
+
+_STUDY = f"""fe AS (SELECT pattern_id, {', '.join(f"avg((label = '{c}')::INT) AS share_{c}" for c in 'ANR')}, avg(value) AS mean FROM pts GROUP BY 1), mv AS (SELECT pattern_id, avg(value) AS m, var_pop(value) * count(*) AS ss, count(*) AS n FROM pts GROUP BY 1),
+    mo AS (SELECT p.pattern_id, any_value(n) / count(*) * sum((iv - m) * (jv - m)) / any_value(ss) AS moran, avg((il = jl)::INT) AS alike FROM pr p JOIN mv USING (pattern_id) WHERE d2 <= 900 GROUP BY 1),
+    lo AS ({' UNION ALL '.join(f"SELECT pattern_id, '{c}' AS endpoint, {c} AS value FROM {t}" for c, t in (('share_A', 'fe'), ('share_N', 'fe'), ('share_R', 'fe'), ('mean', 'fe'), ('moran', 'mo'), ('alike', 'mo')))}),
+    pa AS (SELECT endpoint, pattern_id % 20 AS patient, pattern_id % 20 % 2 = 0 AS g, avg(value) AS v FROM lo WHERE value IS NOT NULL GROUP BY 1, 2, 3), {shuffle('sg', 'pa', 'endpoint', 'patient', 'g', 199, 141)},
+    ev AS (SELECT endpoint, 0 AS replicate, g, v FROM pa UNION ALL SELECT endpoint, replicate, sg.g, v FROM sg JOIN (SELECT endpoint, patient, v FROM pa) USING (endpoint, patient)),
+    nl AS (SELECT endpoint, replicate, (avg(v) FILTER (g) - avg(v) FILTER (NOT g)) / sqrt(var_samp(v) FILTER (g) / count(*) FILTER (g) + var_samp(v) FILTER (NOT g) / count(*) FILTER (NOT g)) AS t FROM ev GROUP BY 1, 2), ob AS (SELECT endpoint, abs(t) AS s FROM nl WHERE replicate = 0),
+    mx AS (SELECT replicate, max(abs(t)) AS m FROM nl WHERE replicate > 0 GROUP BY 1), on_ AS (SELECT endpoint, (1 + count(*) FILTER (m >= s)) / (1.0 + count(*)) AS p FROM ob, mx GROUP BY 1),
+    sm AS (SELECT o.endpoint, o.s, max(abs(n.t)) OVER (PARTITION BY n.replicate ORDER BY o.s) AS m FROM nl n JOIN ob o USING (endpoint) WHERE n.replicate > 0), sr AS (SELECT endpoint, s, (1 + count(*) FILTER (m >= s)) / (1.0 + count(*)) AS p FROM sm GROUP BY 1, 2), sd AS (SELECT endpoint, max(p) OVER (ORDER BY s DESC) AS d FROM sr)"""
+
+
+@query(f"WITH {PTS}, {PR}, {_STUDY} SELECT endpoint, (SELECT count(*) FROM pa p WHERE p.endpoint = ob.endpoint) AS patients, {q('s')} AS statistic, {q('p')} AS p_adjusted, {q('d')} AS p_step_down FROM ob JOIN on_ USING (endpoint) JOIN sd USING (endpoint)")
+def multiplex_study(pts):
+    patient = F.col("pattern_id") % 20
+    patients = pts.select("pattern_id").distinct().select("pattern_id", patient.alias("patient"), (patient % 2 == 0).alias("is_first"))
+    return studies.multiplex_study(studies.slide_features(pts, 30.0, ["A", "N", "R"]), patients, 199, 141)
