@@ -7,6 +7,7 @@ partitions and retries don't matter, and shuffles stay plain window functions of
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Sequence
 
 import numpy as np
@@ -24,6 +25,27 @@ def uniform(seed: int, *columns: str) -> Column:
     return (F.conv(F.substring(key(seed, *columns), 1, 8), 16, 10).cast("double") + 0.5) / 4294967296.0
 
 
+def normal(seed: int, *columns: str) -> Column:
+    """A standard normal number, from two uniform ones (seeds `seed` and `seed + 1`)."""
+    return F.sqrt(-2 * F.log(uniform(seed, *columns))) * F.cos(2 * F.pi() * uniform(seed + 1, *columns))
+
+
+def poisson_steps(mean: float) -> list[float]:
+    """Where a uniform number must be beyond for a Poisson one of 1, 2, ... to be reached."""
+    p, total, out = math.exp(-mean), 0.0, []
+    for k in range(int(mean + 12 * math.sqrt(mean) + 20)):
+        total += p
+        out.append(min(total, 1.0))
+        p *= mean / (k + 1)
+    return out
+
+
+def poisson(mean: float, seed: int, *columns: str) -> Column:
+    """A Poisson number by the inverse of its distribution."""
+    u = uniform(seed, *columns)
+    return F.size(F.filter(F.array(*map(F.lit, poisson_steps(mean))), lambda c: c < u))
+
+
 def replicates(df: DataFrame, n: int, name: str = "replicate") -> DataFrame:
     """Each row n times, numbered from 1."""
     return df.withColumn(name, F.explode(F.sequence(F.lit(1), F.lit(n))))

@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.draws import uniform
+from ..functions.draws import normal, poisson, uniform
 from ..functions.seeds import splitmix64
 
 
@@ -134,25 +134,24 @@ def cluster_points(patterns: DataFrame, window: tuple[float, float, float, float
     """Cluster patterns: Poisson parents, each with Poisson offspring, normal or uniform in a disc.
 
     patterns(pattern_id); parents come from the window widened by four scales (one for discs), and
-    offspring outside the window are not part of the pattern. Each pattern has its own stream.
+    offspring outside the window are not part of the pattern. Every number depends on the pattern,
+    its parent and child alone.
     """
     x0, y0, x1, y1 = window
     wide = scale if disc else 4 * scale
-
-    def run(it):
-        for pdf in it:
-            out = [pd.DataFrame({"pattern_id": [], "idx": [], "x": [], "y": []})]
-            for pid in pdf["pattern_id"]:
-                rng = np.random.default_rng([seed, int(pid) & 0xFFFFFFFF])
-                parents = rng.uniform((x0 - wide, y0 - wide), (x1 + wide, y1 + wide), (rng.poisson(density * (x1 - x0 + 2 * wide) * (y1 - y0 + 2 * wide)), 2))
-                at = np.repeat(parents, rng.poisson(offspring, len(parents)), axis=0)
-                turn, far = rng.uniform(0, 2 * np.pi, len(at)), scale * np.sqrt(rng.uniform(0, 1, len(at)))
-                at = at + (np.stack([far * np.cos(turn), far * np.sin(turn)], 1) if disc else rng.normal(0, scale, at.shape))
-                at = at[(at[:, 0] >= x0) & (at[:, 0] <= x1) & (at[:, 1] >= y0) & (at[:, 1] <= y1)]
-                out.append(pd.DataFrame({"pattern_id": pid, "idx": np.arange(len(at)), "x": at[:, 0], "y": at[:, 1]}))
-            yield pd.concat(out)
-
-    return patterns.select("pattern_id").mapInPandas(run, "pattern_id long, idx long, x double, y double")
+    wx, wy = x1 - x0 + 2 * wide, y1 - y0 + 2 * wide
+    own, up, child = ("pattern_id",), ("pattern_id", "parent"), ("pattern_id", "parent", "child")
+    upto = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
+    rows = patterns.select("pattern_id", poisson(density * wx * wy, seed, *own).alias("n")).where("n > 0").select("pattern_id", upto(F.col("n")).alias("parent"))
+    rows = rows.withColumn("n", poisson(offspring, seed + 1, *up)).where("n > 0").withColumn("child", upto(F.col("n")))
+    if disc:
+        far, turn = scale * F.sqrt(uniform(seed + 4, *child)), 2 * F.pi() * uniform(seed + 5, *child)
+        dx, dy = far * F.cos(turn), far * F.sin(turn)
+    else:
+        dx, dy = scale * normal(seed + 4, *child), scale * normal(seed + 6, *child)
+    x, y = x0 - wide + wx * uniform(seed + 2, *up) + dx, y0 - wide + wy * uniform(seed + 3, *up) + dy
+    out = rows.select("pattern_id", (F.col("parent").cast("long") * 1048576 + F.col("child")).alias("idx"), x.alias("x"), y.alias("y"))
+    return out.where(F.col("x").between(x0, x1) & F.col("y").between(y0, y1))
 
 
 def unbalanced_sinkhorn(costs: DataFrame, epsilon: float, rho: float, rounds: int, tolerance: float = 1e-9) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.core import nearest_any, pairs
 from ..functions.lineage import cut
+from .waves import connected
 
 
 def radius_edges(points: DataFrame, radius: float, columns: Sequence[str] = ()) -> DataFrame:
@@ -183,23 +184,13 @@ def bond_order(points: DataFrame, k: int, reach: float, symmetry: int = 6) -> Da
 def density_clusters(points: DataFrame, radius: float, least: int) -> DataFrame:
     """DBSCAN: core points have `least` points within the radius, themselves included; cores within
     the radius share a cluster, named by its smallest core; a border point joins the smallest one it
-    touches. Labels spread along core edges until they rest."""
-    near = pairs(points, None, radius, with_self=True).select("pattern_id", "i", "j")
-    core = near.groupBy("pattern_id", "i").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least).select("pattern_id", "i")
-    links = near.join(core, ["pattern_id", "i"]).join(core.withColumnRenamed("i", "j"), ["pattern_id", "j"])
-    links = cut(links)
-    labels = core.withColumn("cluster", F.col("i"))
-    while True:
-        spread = links.join(labels.select("pattern_id", F.col("i").alias("j"), "cluster"), ["pattern_id", "j"]).groupBy("pattern_id", "i").agg(F.min("cluster").alias("cluster"))
-        # a label is a node itself: its own label is nearer the end
-        hop = spread.join(spread.select("pattern_id", F.col("i").alias("cluster"), F.col("cluster").alias("next")), ["pattern_id", "cluster"]).select("pattern_id", "i", F.least("cluster", "next").alias("cluster"))
-        hop = cut(hop)
-        moved = hop.join(labels.withColumnRenamed("cluster", "old"), ["pattern_id", "i"]).where("cluster <> old").limit(1).count()
-        labels = hop
-        if not moved:
-            break
+    touches."""
+    near = cut(pairs(points, None, radius, with_self=True).select("pattern_id", "i", "j"))
+    core = cut(near.groupBy("pattern_id", "i").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least).select("pattern_id", "i"))
+    links = near.join(core, ["pattern_id", "i"], "left_semi").join(core.withColumnRenamed("i", "j"), ["pattern_id", "j"], "left_semi")
+    labels = connected(core, links.select("pattern_id", "i", "j"), ["pattern_id"])
     border = near.join(labels.select("pattern_id", F.col("i").alias("j"), "cluster"), ["pattern_id", "j"]).join(core, ["pattern_id", "i"], "left_anti").groupBy("pattern_id", "i").agg(F.min("cluster").alias("cluster"))
-    return labels.withColumn("core", F.lit(True)).union(border.select("pattern_id", "i", "cluster").withColumn("core", F.lit(False))).withColumnRenamed("i", "idx")
+    return labels.select("pattern_id", "i", "cluster").withColumn("core", F.lit(True)).union(border.select("pattern_id", "i", "cluster").withColumn("core", F.lit(False))).withColumnRenamed("i", "idx")
 
 
 def disc_scan(points: DataFrame, radius: float, mark: str = "mark", stratum: str | None = None) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..operators import cohort, dynamics, graphs, groups, inference, models, morphology, point_process, spectra, tables
-from .queries import _MODES, _N, _NULL, _PAT, _SC, _SF, _WE, _null, AREA, BASE, BI, PR, PTS, RADII, WINDOW, B, _patients, _powers, _scores, draw, q, query, shuffle, table_query, transport_sql, unit
+from .queries import _MODES, _N, _NULL, _PAT, _SC, _SF, _WE, _null, AREA, BASE, BI, PR, PTS, RADII, WINDOW, B, _patients, _powers, _scores, draw, normal_sql, poisson_sql, q, query, shuffle, table_query, transport_sql, unit
 
 # Edge corrections and fits of point patterns -----------------------------------------------------
 
@@ -368,7 +368,15 @@ def hierarchical_means(t):
     return inference.shrunken_means(rows, "unit").withColumns({c: F.round(c, 3) for c in ("mean", "shrunken")})
 
 
-@query()
+_LEAPS = "SELECT *, t AS u, p + step * ((20.0 - t) / 100 + (s - n * t) / 225) / 2 AS v FROM d"
+for _k in range(6):
+    _LEAPS = f"SELECT * REPLACE (v + step * ((20.0 - u) / 100 + (s - n * u) / 225) * {1.0 if _k < 5 else 0.5} AS v) FROM (SELECT * REPLACE (u + step * v AS u) FROM ({_LEAPS}))"
+_ENERGY = "(pow({0} - 20.0, 2) / 200 + (n * {0} * {0} - 2 * s * {0}) / 450)"
+
+
+@query(f"""WITH RECURSIVE {PTS}, su AS (SELECT pattern_id, count(*)::DOUBLE AS n, sum(value)::DOUBLE AS s FROM pts GROUP BY 1), dr AS MATERIALIZED (SELECT pattern_id, k AS replicate, {normal_sql(3, 'replicate', 'pattern_id').replace('(replicate)', '(k)')} AS p, ln({unit(5, 'replicate', 'pattern_id').replace('(replicate)', '(k)')}) AS e FROM su, (SELECT unnest(range(1, 201)) AS k)),
+    ch AS (SELECT pattern_id, n, s, 0 AS k, 20.0::DOUBLE AS t, 0 AS took, 0.3 / sqrt(0.01 + n / 225) AS step FROM su UNION ALL SELECT pattern_id, n, s, k + 1, CASE WHEN ok THEN u ELSE t END, ok::INT, step FROM (SELECT *, e < {_ENERGY.format('t')} + p * p / 2 - {_ENERGY.format('u')} - v * v / 2 AS ok FROM ({_LEAPS.replace('FROM d', "FROM (SELECT c.pattern_id, c.n, c.s, c.k, c.t, c.step, r.p, r.e FROM ch c JOIN dr r ON r.pattern_id = c.pattern_id AND r.replicate = c.k + 1)")})))
+    SELECT pattern_id, n::BIGINT AS n, {q('avg(t) FILTER (k > 40)')} AS mean, {q('stddev_pop(t) FILTER (k > 40)')} AS deviation, {q('sum(took) FILTER (k > 0) / 200.0')} AS acceptance FROM ch GROUP BY pattern_id, n""")
 def hamiltonian_mean(pts):
     s = pts.groupBy("pattern_id").agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("s"))
     return inference.hamiltonian_mean(s, "pattern_id", 20.0, 100.0, 225.0, 200, 3)
@@ -490,7 +498,9 @@ def functional_permutation(t):
     return inference.functional_permutation(curves.withColumn("is_first", F.col("unit") < 10), 199, 23)
 
 
-@query()
+@query(f"""WITH {PTS}, {shuffle('sv', 'pts', 'pattern_id', 'idx', 'value, z', 19, 27)}, al AS MATERIALIZED (SELECT pattern_id, 0 AS replicate, idx, x, y, value AS v, z AS w FROM pts UNION ALL SELECT s.pattern_id, s.replicate, s.idx, p.x, p.y, s.value, s.z FROM sv s JOIN (SELECT pattern_id, idx, x, y FROM pts) p USING (pattern_id, idx)), n AS (SELECT pattern_id, count(*) AS n FROM pts GROUP BY 1),
+    r AS (SELECT a.pattern_id, a.replicate, corr(sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)), sqrt((a.v - b.v) * (a.v - b.v) + (a.w - b.w) * (a.w - b.w))) AS r FROM al a JOIN al b ON a.pattern_id = b.pattern_id AND a.replicate = b.replicate AND a.idx < b.idx GROUP BY 1, 2), o AS (SELECT pattern_id, r AS seen FROM r WHERE replicate = 0)
+    SELECT n.pattern_id, n, {q('any_value(seen)')} AS r, CASE WHEN count(seen) > 0 THEN {q('(1 + count(*) FILTER (r.r >= seen - 1e-12)) / 20.0')} END AS p FROM n LEFT JOIN o USING (pattern_id) LEFT JOIN (SELECT * FROM r WHERE replicate > 0) r USING (pattern_id) GROUP BY 1, 2""")
 def mantel_association(pts):
     return inference.mantel(pts, ["x", "y"], ["value", "z"], 19, 27)
 
@@ -563,7 +573,8 @@ def serial_gatekeeping(t):
     return groups.gatekept(rows, "family")
 
 
-@query()
+@query(f"""WITH {PTS}, p AS (SELECT pattern_id, {poisson_sql(1e-4 * 1096.0 * 1096.0, 33, 'pattern_id')} AS n FROM (SELECT DISTINCT pattern_id FROM pts)), a AS (SELECT pattern_id, unnest(range(n)) AS parent FROM p), b AS (SELECT pattern_id, parent, {poisson_sql(5.0, 34, 'pattern_id', 'parent')} AS n FROM a), c AS (SELECT pattern_id, parent, unnest(range(n)) AS child FROM b),
+    o AS (SELECT pattern_id, (parent * 1048576 + child)::BIGINT AS idx, -48 + 1096 * {unit(35, 'pattern_id', 'parent')} + 12 * {normal_sql(37, 'pattern_id', 'parent', 'child')} AS x, -48 + 1096 * {unit(36, 'pattern_id', 'parent')} + 12 * {normal_sql(39, 'pattern_id', 'parent', 'child')} AS y FROM c) SELECT pattern_id, idx, {q('x')} AS x, {q('y')} AS y FROM o WHERE x BETWEEN 0 AND 1000 AND y BETWEEN 0 AND 1000""")
 def thomas_simulation(pts):
     return models.cluster_points(pts.select("pattern_id").distinct(), WINDOW, 1e-4, 5.0, 12.0, 33)
 

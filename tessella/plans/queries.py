@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.core import benjamini_hochberg, envelope, plus_one_p
+from ..functions.draws import poisson_steps
 from ..operators import cohort, embedding, models, neighbourhood, point_process, tables
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -41,6 +42,17 @@ def unit(seed: int, *columns: str) -> str:
     return f"((('0x' || substr({draw(seed, *columns)}, 1, 8))::BIGINT + 0.5) / 4294967296.0)"
 
 
+def normal_sql(seed: int, *columns: str) -> str:
+    """The SQL of functions.draws.normal."""
+    return f"(sqrt(-2 * ln({unit(seed, *columns)})) * cos(2 * pi() * {unit(seed + 1, *columns)}))"
+
+
+def poisson_sql(mean: float, seed: int, *columns: str) -> str:
+    """The SQL of functions.draws.poisson."""
+    u, steps = unit(seed, *columns), ", ".join(f"{c!r}::DOUBLE" for c in poisson_steps(mean))
+    return f"len(list_filter([{steps}], lambda c: c < {u}))"
+
+
 def shuffle(name: str, source: str, within: str, ids: str, values: str, n: int, seed: int) -> str:
     """The SQL of functions.draws.shuffled: a CTE with within, ids, replicate, values."""
     key = draw(seed, "replicate", *ids.split(", "))
