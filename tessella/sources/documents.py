@@ -144,3 +144,36 @@ def embedding_profile(spark: SparkSession, path: str, id_col: str, vector_col: s
     odd = F.size(F.filter(v, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))))
     row = F.conv(F.substring(F.sha2(F.to_json(F.struct(F.col(id_col).cast("string").alias("i"), v.alias("v"))), 256), 1, 15), 16, 10).cast("decimal(38,0)")
     return df.agg(F.count(F.lit(1)).alias("rows"), F.count_distinct(id_col).alias("ids"), F.count(F.when(v.isNull(), 1)).alias("null_vectors"), F.min(F.size(v)).alias("least_dimension"), F.max(F.size(v)).alias("dimension"), F.sum(F.when(v.isNotNull(), odd).otherwise(0)).alias("not_finite"), F.sum(row).cast("string").alias("digest"))
+
+
+def curve_figures(curves: DataFrame, by: str, axis: str, value: str, width: int = 320, height: int = 200, margin: int = 24) -> DataFrame:
+    """One SVG figure of each unit's curve, points in order of the axis -> by, svg. A constant axis or
+    value is drawn in the middle; points without a value are left out."""
+    from pyspark.sql.window import Window
+
+    own = Window.partitionBy(by)
+    rows = curves.where(F.col(axis).isNotNull() & F.col(value).isNotNull()).select(by, F.col(axis).cast("double").alias("x"), F.col(value).cast("double").alias("y"))
+
+    def place(c: str, size: int):
+        low, high = F.min(c).over(own), F.max(c).over(own)
+        return F.when(high > low, margin + (F.col(c) - low) / (high - low) * (size - 2 * margin)).otherwise(size / 2.0)
+
+    at = rows.select(by, "x", F.round(place("x", width), 2).alias("px"), F.round(height - place("y", height), 2).alias("py"))
+    points = F.array_sort(F.collect_list(F.struct("x", "px", "py")))
+    path = F.array_join(F.transform(points, lambda p: F.concat(p["px"].cast("string"), F.lit(","), p["py"].cast("string"))), " ")
+    head = f'<svg xmlns="http://www.w3.org/2000/svg" width="{width}" height="{height}"><path d="M{margin},{margin} V{height - margin} H{width - margin}" fill="none" stroke="black"/><polyline fill="none" stroke="steelblue" points="'
+    title = F.concat(F.lit('"><title>'), F.replace(F.replace(F.col(by).cast("string"), F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit("</title></polyline></svg>"))
+    return at.groupBy(by).agg(path.alias("_path")).select(by, F.concat(F.lit(head), F.col("_path"), title).alias("svg"))
+
+
+def run_manifest(spark: SparkSession, parameters: dict, tables: dict[str, DataFrame]) -> str:
+    """JSON of what a run was made with: versions, parameters, and each table's columns, rows and a
+    digest of them that no order changes."""
+    import platform
+
+    out = {"format_version": VERSION, "spark": spark.version, "python": platform.python_version(), "parameters": parameters, "tables": {}}
+    for name, df in sorted(tables.items()):
+        row = F.conv(F.substring(F.sha2(F.to_json(F.struct(*df.columns), {"ignoreNullFields": "false"}), 256), 1, 15), 16, 10).cast("decimal(38,0)")
+        r = df.agg(F.count(F.lit(1)).alias("n"), F.sum(row).cast("string").alias("d")).first()
+        out["tables"][name] = {"columns": dict(df.dtypes), "rows": r["n"], "digest": r["d"]}
+    return json.dumps(out, sort_keys=True, indent=1)

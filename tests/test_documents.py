@@ -170,3 +170,16 @@ def test_validation_ladder(spark):
     rows = [("a", steps[0], True), ("a", steps[1], True), ("a", steps[3], True), ("b", steps[1], True), ("c", steps[0], False)] + [("d", s, True) for s in steps]
     got = {r.u: r.level for r in workflow.validation_level(spark.createDataFrame(rows, "u string, step string, passed boolean"), "u").collect()}
     assert got == {"a": steps[1], "b": "none", "c": "none", "d": steps[-1]}
+
+
+def test_figures_and_manifests(spark):
+    import xml.etree.ElementTree as ET
+
+    rows = spark.createDataFrame([("a<b&c", float(x), float(x * x)) for x in (3, 1, 2)] + [("flat", 1.0, 5.0), ("flat", 2.0, 5.0), ("flat", 3.0, None)], "u string, x double, y double")
+    got = {r.u: ET.fromstring(r.svg) for r in documents.curve_figures(rows, "u", "x", "y").collect()}
+    line = {k: v.find("{http://www.w3.org/2000/svg}polyline") for k, v in got.items()}
+    assert line["a<b&c"].get("points").split() == ["24.0,176.0", "160.0,119.0", "296.0,24.0"] and line["a<b&c"][0].text == "a<b&c"
+    assert line["flat"].get("points").split() == ["24.0,100.0", "296.0,100.0"]
+    one, two = (json.loads(documents.run_manifest(spark, {"radius": 30}, {"t": df})) for df in (rows, rows.orderBy("y").repartition(3)))
+    assert one == two and one["tables"]["t"]["rows"] == 6 and one["parameters"] == {"radius": 30}
+    assert json.loads(documents.run_manifest(spark, {}, {"t": rows.limit(5)}))["tables"]["t"]["digest"] != one["tables"]["t"]["digest"]
