@@ -145,24 +145,27 @@ def graph_smoothing(points: DataFrame, radius: float, signal: str = "value") ->
 
 
 def _triples(edges: DataFrame) -> DataFrame:
-    """pattern_id, i, j, k of each triangle of edges(pattern_id, i, j). Edges leave the node with fewer
-    of them, so a node's leaving edges are few however many meet at it, and only those are paired."""
+    """pattern_id, i, j, k of each triangle of edges(pattern_id, i, j), and li, lj, lk if edges have li
+    and lj. Edges leave the node with fewer of them, so a node's leaving edges are few however many meet
+    at it, and only those are paired."""
+    named = "li" in edges.columns
     degree = edges.select("pattern_id", F.explode(F.array("i", "j")).alias("n")).groupBy("pattern_id", "n").agg(F.count(F.lit(1)).alias("d"))
     of = lambda c: degree.select("pattern_id", F.col("n").alias(c), F.struct("d", "n").alias(f"o{c}"))
     both = edges.join(of("i"), ["pattern_id", "i"]).join(of("j"), ["pattern_id", "j"])
     first = F.col("oi") < F.col("oj")
-    out = cut(both.select("pattern_id", F.when(first, F.col("i")).otherwise(F.col("j")).alias("a"), F.when(first, F.col("j")).otherwise(F.col("i")).alias("b")))
-    wedge = out.join(out.withColumnRenamed("b", "c"), ["pattern_id", "a"]).where("b < c")
-    return wedge.join(edges.select("pattern_id", F.col("i").alias("b"), F.col("j").alias("c")), ["pattern_id", "b", "c"]).select("pattern_id", F.col("a").alias("i"), F.col("b").alias("j"), F.col("c").alias("k"))
+    pick = lambda x, y, n: F.when(first, F.col(x)).otherwise(F.col(y)).alias(n)
+    out = cut(both.select("pattern_id", pick("i", "j", "a"), pick("j", "i", "b"), *([pick("li", "lj", "la"), pick("lj", "li", "lb")] if named else [])))
+    other = out.select("pattern_id", "a", F.col("b").alias("c"), *([F.col("lb").alias("lc")] if named else []))
+    wedge = out.join(other, ["pattern_id", "a"]).where("b < c")
+    met = wedge.join(edges.select("pattern_id", F.col("i").alias("b"), F.col("j").alias("c")), ["pattern_id", "b", "c"])
+    return met.select("pattern_id", F.col("a").alias("i"), F.col("b").alias("j"), F.col("c").alias("k"), *([F.col(f"l{x}").alias(f"l{y}") for x, y in zip("abc", "ijk")] if named else []))
 
 
 def triangles(points: DataFrame, radius: float, label: str = "label") -> DataFrame:
     """Triangles of the radius graph by their sorted labels."""
-    met = _triples(cut(pairs(points, None, radius, unordered=True).select("pattern_id", "i", "j")))
-    for c in "ijk":
-        met = met.join(points.select("pattern_id", F.col("idx").alias(c), F.col(label).alias(f"l{c}")), ["pattern_id", c])
+    e = pairs(points, None, radius, [label], unordered=True).select("pattern_id", "i", "j", F.col(f"i_{label}").alias("li"), F.col(f"j_{label}").alias("lj"))
     kind = F.array_sort(F.array("li", "lj", "lk"))
-    return met.groupBy("pattern_id", F.array_join(kind, "-").alias("motif")).agg(F.count(F.lit(1)).alias("triangles"))
+    return _triples(cut(e)).groupBy("pattern_id", F.array_join(kind, "-").alias("motif")).agg(F.count(F.lit(1)).alias("triangles"))
 
 
 def clustering(points: DataFrame, radius: float) -> DataFrame:
