@@ -107,23 +107,31 @@ def plan(counts: dict[int, int], limit: int = LIMIT, groups: int = GROUPS, large
     bins.add(counts.get(limit, 0), 0, ((limit, 1),))
     left = {k: n for k, n in counts.items() if n and k < limit}
     big = sorted((k for k in left if k * large > limit), reverse=True)
-    total, parts, part, held = sum(left[k] for k in big), [], [], 0
-    for length in big:  # a length isn't parted; groups may differ by one length's pieces
-        part.append(length)
-        held += left[length]
-        if held * groups >= total:
-            parts.append(part)
-            part, held = [], 0
-    parts += [part] * bool(part)
-    if parts:
-        queues = [[[k, left[k]] for k in part] for part in parts]
-        for k in big:
-            left[k] = 0
-        for column, times in configurations([p[0] for p in parts], [sum(n for _, n in q) for q in queues], limit):
+    total, queues, part = sum(left[k] for k in big), [], []
+    room = share = -(-total // groups)
+    for length in big:  # each group has as many pieces; a frequent length has groups of its own
+        n = left[length]
+        while n:
+            some = min(n, room)
+            part.append([length, some])
+            n, room = n - some, room - some
+            if not room or (not n and length == big[-1]):
+                if queues and queues[-1][0][0] == part[0][0]:  # rounded up to the same size
+                    queues[-1] += part
+                else:
+                    queues.append(part)
+                part, room = [], share
+    # the first group has nothing above it to stand for; unless it is one length, best fit places it
+    queues = queues[len(queues) > 1 and len(queues[0]) > 1 :]
+    if queues:
+        for q in queues:
+            for k, n in q:
+                left[k] -= n
+        for column, times in configurations([q[0][0] for q in queues], [sum(n for _, n in q) for q in queues], limit):
             times = int(times + 1e-9)
             if not times:
                 continue
-            slots = [_take(queues[g], times) for g in range(len(parts)) for _ in range(column[g])]
+            slots = [_take(queues[g], times) for g in range(len(queues)) for _ in range(column[g])]
             while times := min((s[-1][1] for s in slots if s), default=0):
                 lengths = sorted(s[-1][0] for s in slots if s)
                 content = tuple((k, lengths.count(k)) for k in dict.fromkeys(lengths))

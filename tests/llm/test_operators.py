@@ -307,6 +307,11 @@ def test_plans_hold_every_piece_once(counts, limit):
     assert -(-total // limit) <= bins <= 2 * -(-total // limit) + 1
 
 
+def test_a_rare_long_piece_leaves_frequent_ones_their_size():
+    assert sum(n for n, _ in packing.plan({13: 32, 34: 1}, 100)) == 5
+    assert sum(n for n, _ in packing.plan({1000: 100_000, 1400: 3}, 4096)) <= 25_002
+
+
 def test_packing(spark, odd):
     docs = frame(spark, [" ".join(["word"] * (i * 7 % 60)) for i in range(200)] + [None, "long " * 300])
     got = packing.pack(docs, limit=64).toPandas().sort_values(["sequence_id", "offset"])
