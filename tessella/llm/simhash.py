@@ -10,7 +10,7 @@ and texts of one fingerprint are one row long before that.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from itertools import combinations
 
 import numpy as np
@@ -63,8 +63,13 @@ def fingerprint(text: str | None, shingle: int = SHINGLE, seed: int = SEED) -> i
     A-Z are lower-cased; words are parted by space, tab, newline, vertical tab, form feed and
     carriage return. Fewer words than a shingle holds: the whole sequence is the one shingle.
     """
+    return fold(shingle_hashes(text, shingle, seed))
+
+
+def fold(parts: Iterable[np.ndarray]) -> int:
+    """The fingerprint of hashes."""
     ones, n = np.zeros(64, np.int64), 0
-    for hashes in shingle_hashes(text, shingle, seed):
+    for hashes in parts:
         for at in range(0, len(hashes), 65536):
             part = hashes[at : at + 65536]
             ones += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)

@@ -1,13 +1,19 @@
-"""Near dedup by the Jaccard similarity of word sets.
-
-A text's set is the XXH64 of its runs of five words. Fingerprints can't find sets of a similarity
-of 4/5: of 64 bits they differ in ten on average, far outside any ball that could be hashed. So
-each set is drawn from by minima of many hash functions, a few of them to a band; two sets agree in
-a minimum as often as they are similar, and in a whole band at 4/5 with a probability of
-1 - (1 - 0.8 ** ROWS) ** BANDS = 0.998, more above. Texts that share a band are compared whole, so
-no pair is taken that isn't similar. Equal sets are one node long before that. In a band's bucket
-each set is compared with a few of it, the first of each part; of what isn't one component by then,
-each component's first is compared with the next one by size. So work grows with the texts, not with their pairs.
+"""Near dedup by the Jaccard similarity of word sets, without a miss.
+
+A text's set is the XXH64 of its runs of five words. Links are found in two rounds. The first joins
+what is cheap to find: SimHash fingerprints of the sets meet by ball hashing, as in simhash.py, and
+sets that share a band of minima of hash functions meet a few of their bucket, the first of each
+part. Fingerprints alone can't do: at a similarity of 4/5 they differ in ten of 64 bits on average.
+Bands can't be sure: they miss two sets of 4/5 with a probability of 0.8 ** ROWS taken from one, to
+the power of BANDS, 0.002.
+
+The second round leaves none out. All sets are put in one order, shingles that many texts hold last.
+Two sets of similarity 4/5 or more share a shingle among the first n // 5 + 1 of each, so texts meet
+at these, and all pairs that aren't in one component by then are candidates. At the shingle that two
+sets meet at first, at most what follows it can be common to both; and their parities, a bit for each
+residue of the hashes, can't differ in more bits than the sets do in hashes. Both rule out only pairs
+that aren't similar. What the order knows of frequent shingles decides on the work to do, never on
+the pairs found. Every pair of either round is compared whole. Equal sets are one node long before.
 """
 
 from __future__ import annotations
@@ -19,15 +25,16 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from .common import Cut, fresh, text_of
 from .components import connected_components
-from .simhash import SEED, shingle_hashes
+from .simhash import SEED, fingerprint_links, fold, shingle_hashes
 
 SHINGLE, ROWS, BANDS = 5, 5, 16
 #: Sets of a bucket that all of its sets are compared with.
 PIVOTS = 8
+#: Shingles that are looked at together for frequent ones; how often one is in them; how many are ordered by frequency.
+_LOOK, _OFTEN, _FREQUENT = 2_000_000, 3, 1 << 18
 _TURNS = np.random.default_rng(SEED).integers(0, 1 << 64, ROWS * BANDS, dtype=np.uint64) | np.uint64(1)
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
@@ -57,19 +64,74 @@ def bands(own: np.ndarray) -> np.ndarray:
     return held.view(np.int64)
 
 
+def parity(own: np.ndarray) -> bytes:
+    """A bit for each residue, of at least as many as there are hashes: whether an odd number has it."""
+    bits = max(64, 1 << (len(own) - 1).bit_length()) if len(own) else 64
+    counts = np.bincount((own & np.uint64(bits - 1)).astype(np.int64), minlength=bits)
+    return np.packbits(counts & 1, bitorder="little").tobytes()
+
+
+def differing(x: np.ndarray, y: np.ndarray) -> int:
+    """In how many bits two parities (bytes) differ; the longer one is folded to the shorter one's residues."""
+    x, y = sorted((x, y), key=len)
+    return int(np.bitwise_count(np.bitwise_xor.reduce(y.reshape(-1, len(x)), axis=0) ^ x).sum())
+
+
 def _sketches(texts: DataFrame) -> DataFrame:
-    """texts(id, text) -> id, mark (of the text), node (of its set), n, keys (of its bands)."""
-    names = ["id", "mark", "node", "n", "keys"]
+    """texts(id, text) -> id, mark (of the text), node (of its set), n, fp, odd (its fingerprint and
+    parity), keys (of its bands), and rows (key, often) of shingles that are often met nearby."""
+    names = ["id", "mark", "node", "n", "fp", "odd", "keys", "key", "often"]
+    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.binary(), pa.list_(pa.int64()), pa.int64(), pa.int64()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def often() -> pa.RecordBatch:
+            keys, n = np.unique(np.concatenate(held), return_counts=True)
+            keys, n = keys[n >= _OFTEN].view(np.int64), n[n >= _OFTEN]
+            return pa.RecordBatch.from_arrays([*(pa.nulls(len(keys), k) for k in kinds[:7]), pa.array(keys), pa.array(n, pa.int64())], names=names)
+
+        held, size = [], 0
         for batch in batches:
-            own = [word_set(x.as_py()) for x in batch.column(2)]
+            own, none = [], pa.nulls(batch.num_rows, pa.int64())
+            for x in batch.column(2):
+                own.append(word_set(x.as_py()))
+                held.append(own[-1])
+                size += len(own[-1])
+                if size >= _LOOK:
+                    yield often()
+                    held, size = [], 0
             keys = [bands(x) for x in own]
             ends = pa.array(np.cumsum([0, *map(len, keys)]).astype(np.int32))
             lists = pa.ListArray.from_arrays(ends, pa.array(np.concatenate(keys) if keys else np.zeros(0, np.int64)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(list(map(_node, own)), pa.int64()), pa.array(list(map(len, own)), pa.int32()), lists], names=names)
+            fps = pa.array(np.array([fold([x]) for x in own], np.uint64).view(np.int64))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(list(map(_node, own)), pa.int64()), pa.array(list(map(len, own)), pa.int32()), fps, pa.array(list(map(parity, own)), pa.binary()), lists, none, none], names=names)
+        if held:
+            yield often()
+
+    return texts.select("id", F.xxhash64(text_of()).alias("mark"), "text").mapInArrow(run, "id long, mark long, node long, n int, fp long, odd binary, keys array<long>, key long, often long")
 
-    return texts.select("id", F.xxhash64(text_of()).alias("mark"), "text").mapInArrow(run, "id long, mark long, node long, n int, keys array<long>")
+
+def _starts(texts: DataFrame, keys: np.ndarray, counts: np.ndarray) -> DataFrame:
+    """texts(id, text) -> (key, node, n, at): the first n // 5 + 1 shingles of each set of n."""
+    shared = texts.sparkSession.sparkContext.broadcast((keys, counts))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys, counts = shared.value
+        for batch in batches:
+            out = [(np.zeros(0, np.int64), 0, 0)]
+            for x in batch.column(0):
+                own = word_set(x.as_py())
+                if len(own) < 5:  # similar to equal sets only
+                    continue
+                first = own[: len(own) // 5 + 1]
+                if len(keys):
+                    at = np.minimum(np.searchsorted(keys, own), len(keys) - 1)
+                    first = own[np.argsort(np.where(keys[at] == own, counts[at], 0), kind="stable")[: len(first)]]
+                out.append((first.view(np.int64), _node(own), len(own)))
+            each = [len(f) for f, *_ in out]
+            cols = [np.concatenate([f for f, *_ in out]), np.repeat([x for _, x, _ in out], each), np.repeat([n for *_, n in out], each), np.concatenate([np.arange(n) for n in each])]
+            yield pa.RecordBatch.from_arrays([pa.array(c.astype(k)) for c, k in zip(cols, (np.int64, np.int64, np.int32, np.int32))], names=["key", "node", "n", "at"])
+
+    return texts.select("text").mapInArrow(run, "key long, node long, n int, at int")
 
 
 def _alike(n: Column, m: Column) -> Column:
@@ -77,6 +139,11 @@ def _alike(n: Column, m: Column) -> Column:
     return 5 * F.least(n, m) >= 4 * F.greatest(n, m)
 
 
+def _possible(n: Column, at: Column, m: Column, to: Column) -> Column:
+    """Whether sets of n and m that first meet at these places can have a similarity of 4/5."""
+    return 9 * F.least(n - at, m - to).cast("long") >= 4 * (n + m).cast("long")
+
+
 def _verified(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, cut: Cut) -> DataFrame:
     """The pairs (a, b) whose sets have a similarity of 4/5 or more."""
     pairs = cut(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
@@ -104,24 +171,71 @@ def _verified(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, cut: Cut) ->
     return cut(pairs.join(of("a"), "a").join(of("b"), "b").select("a", "b", "own_a", "own_b").mapInArrow(similar, "a long, b long"))
 
 
-def similar_links(texts: DataFrame, cut: Cut) -> tuple[DataFrame, DataFrame]:
-    """texts(id, text) -> nodes(id, mark, node), one row a text, and links (a, b) of similar nodes."""
-    made = cut(_sketches(texts))
-    nodes, c = made.select("id", "mark", "node"), F.col
-    sets = made.groupBy("node").agg(F.first("n").alias("n"), F.first("keys").alias("keys"))
+def _balls(sets: DataFrame, cut: Cut) -> DataFrame:
+    """Pairs (a, b) of nodes that connect all whose fingerprints differ in RADIUS bits at most."""
+    c = F.col
+    firsts = cut(sets.where("n > 0").groupBy("fp").agg(F.min(F.struct("node", "n")).alias("first")))
+    same = sets.select("node", c("fp").alias("own")).join(firsts, c("own") == c("fp")).where(c("node") != c("first.node")).select(c("node").alias("a"), c("first.node").alias("b"))
+    of = lambda x: firsts.select(c("fp").alias(f"fp_{x}"), c("first.node").alias(f"node_{x}"), c("first.n").alias(f"n_{x}"))
+    near = fingerprint_links(firsts.select("fp")).join(of("a"), c("a") == c("fp_a")).join(of("b"), c("b") == c("fp_b"))
+    return same.union(near.where(_alike(c("n_a"), c("n_b"))).select(c("node_a").alias("a"), c("node_b").alias("b")))
+
+
+def _buckets(sets: DataFrame, cut: Cut) -> DataFrame:
+    """Pairs (a, b) of nodes that share a band, one of them the first of a part of the bucket."""
+    c = F.col
     rows = sets.select("node", "n", F.explode("keys").alias("key"))
     each = rows.groupBy("key", F.pmod(F.xxhash64("node"), F.lit(PIVOTS)).alias("part")).agg(F.min(F.struct("node", "n")).alias("first"), F.count(F.lit(1)).alias("k"))
     pivots = each.groupBy("key").agg(F.collect_list("first").alias("pivots"), F.sum("k").alias("k")).where("k > 1").drop("k")  # PIVOTS at most
-    met = cut(rows.join(pivots, "key"))
-    pairs = met.select("node", "n", F.explode("pivots").alias("p")).where((c("node") != c("p.node")) & _alike(c("n"), c("p.n")))
-    found = _verified(pairs.select(c("node").alias("a"), c("p.node").alias("b")), nodes, texts, cut)
+    met = rows.join(pivots, "key").select("node", "n", F.explode("pivots").alias("p"))
+    return met.where((c("node") != c("p.node")) & _alike(c("n"), c("p.n"))).select(c("node").alias("a"), c("p.node").alias("b"))
+
+
+def _apart(texts: DataFrame, often: DataFrame, roots: DataFrame, cut: Cut) -> DataFrame:
+    """The pairs (a, b) of nodes with different roots (node, root; others are their own) that may be
+    similar; no such pair that is similar is left out."""
+    c = F.col
+    top = often.groupBy("key").agg(F.sum("often").alias("n")).orderBy(F.desc("n"), "key").limit(_FREQUENT).toPandas()
+    keys, counts = top["key"].to_numpy(np.int64).view(np.uint64), top["n"].to_numpy(np.int64)
+    order = np.argsort(keys)
+    rows = cut(_starts(texts, keys[order], counts[order]))
+    shared = rows.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low <> high").select("key")
+    met = rows.join(shared, "key", "left_semi").distinct()
+    met = cut(met.join(roots, c("node") == c("own"), "left").select("key", "node", "n", "at", F.coalesce("root", "node").alias("root")))
+    mixed = met.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("key")
+    left = cut(met.join(mixed, "key", "left_semi"))
+    cut.drop(rows, met)
+    x, y = left.alias("x"), left.alias("y")
+    may = (c("x.key") == c("y.key")) & (c("x.node") < c("y.node")) & (c("x.root") != c("y.root")) & _possible(c("x.n"), c("x.at"), c("y.n"), c("y.at"))
+    return x.join(y.hint("merge"), may).select(c("x.node").alias("a"), c("y.node").alias("b")).distinct()
+
+
+def _close(pairs: DataFrame, sets: DataFrame, cut: Cut) -> DataFrame:
+    """The pairs (a, b) whose parities don't differ in more bits than similar sets of their sizes do in hashes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            odd = [[np.frombuffer(v.as_buffer(), np.uint8) for v in batch.column(i)] for i in (2, 3)]
+            bits = np.array([differing(x, y) for x, y in zip(*odd)], np.int64)
+            keep = 9 * bits <= np.asarray(batch.column(4), np.int64) + np.asarray(batch.column(5), np.int64)
+            yield batch.select(["a", "b"]).filter(pa.array(keep))
+
+    of = lambda x: sets.select(F.col("node").alias(x), F.col("odd").alias(f"odd_{x}"), F.col("n").alias(f"n_{x}"))
+    both = pairs.join(of("a"), "a").join(of("b"), "b").select("a", "b", "odd_a", "odd_b", "n_a", "n_b")
+    return cut(both.mapInArrow(run, "a long, b long"))
+
+
+def similar_links(texts: DataFrame, cut: Cut) -> tuple[DataFrame, DataFrame]:
+    """texts(id, text) -> nodes(id, mark, node), one row a text, and links (a, b) of similar nodes
+    that connect the same ones as all pairs of a similarity of 4/5 or more would."""
+    made = cut(_sketches(texts))
+    rows = made.where("node is not null")
+    nodes = rows.select("id", "mark", "node")
+    sets = cut(rows.groupBy("node").agg(*[F.first(c).alias(c) for c in ("n", "fp", "odd", "keys")]))
+    found = _verified(_balls(sets, cut).union(_buckets(sets, cut)), nodes, texts, cut)
     roots = cut(connected_components(found, cut).withColumnRenamed("node", "own"))
-    parts = met.join(roots, c("node") == c("own"), "left").select("key", "node", "n", F.coalesce("root", "node").alias("root"))
-    parts = parts.groupBy("key", "root").agg(F.min(F.struct("n", "node")).alias("one"))
-    chain = Window.partitionBy("key").orderBy("one")
-    near = parts.select(c("one.node").alias("a"), c("one.n").alias("n"), F.lag("one").over(chain).alias("before"))
-    rest = near.where(c("before").isNotNull() & _alike(c("n"), c("before.n"))).select("a", c("before.node").alias("b"))
-    return nodes, found.union(_verified(rest, nodes, texts, cut))
+    rest = _apart(texts, made.where("key is not null").select("key", "often"), roots, cut)
+    return nodes, found.union(_verified(_close(rest, sets, cut), nodes, texts, cut))
 
 
 def keep_one_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -69,3 +69,48 @@ def test_odd_rows_of_similar_texts(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string").withColumns({c: F.lit(1) for c in ("mark_", "id_", "root", "node", "key", "one")})
     got = similar.keep_one_each(df)
     assert got.columns == df.columns and sorted((str(r.doc_id), r.text) for r in got.collect()) == [("3", "x"), ("3", "y"), ("4", "a b c d e f g"), ("5", "")]
+
+
+def test_similar_texts_without_a_shared_band_are_linked(spark):
+    """A pair of similarity 0.8 that shares no band and isn't near by fingerprint."""
+    rng = random.Random(1)
+    while True:
+        one = [f"w{rng.randrange(10**6)}" for _ in range(49)]
+        two = [*one[5:], *[f"w{rng.randrange(10**6)}" for _ in range(5)]]  # 40 of 50 sets of five in common
+        x, y = (similar.word_set(" ".join(t)) for t in (one, two))
+        if not set(similar.bands(x).tolist()) & set(similar.bands(y).tolist()):
+            break
+    assert (x.size, np.intersect1d(x, y).size) == (45, 40) and (similar.fold([x]) ^ similar.fold([y])).bit_count() > 2
+    rows = spark.createDataFrame([(1, " ".join(one)), (2, " ".join(two))], "doc_id long, text string")
+    assert [r.doc_id for r in similar.keep_one_each(rows).collect()] == [1]
+
+
+def test_a_link_between_members_that_are_no_firsts_isnt_lost(spark):
+    """Chains of sets of which only neighbours are similar, beside sets that share half of each."""
+    rng = random.Random(4)
+    word = lambda: f"w{rng.randrange(10**6)}"
+    texts, half = [], [word() for _ in range(60)]
+    for _ in range(12):
+        run = half + [word() for _ in range(60)]
+        for _ in range(6):
+            texts.append(" ".join(run))
+            run = run[11:] + [word() for _ in range(11)]
+    rng.shuffle(texts)
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {r.doc_id for r in similar.keep_one_each(rows).collect()} == plain_kept(texts)
+
+
+def test_the_stage_meets_by_balls_of_fingerprints(spark):
+    """Fingerprints of two bits' difference meet, those of three don't."""
+    sets = spark.createDataFrame([(1, 100, 0b0), (2, 100, 0b11), (3, 100, 0b11), (4, 90, 0b10011), (5, 100, 0b111 << 20), (6, 20, 0b1)], "node long, n int, fp long")
+    got = {tuple(sorted((r.a, r.b))) for r in similar._balls(sets, similar.Cut(spark, "test")).collect()}
+    assert got == {(1, 2), (2, 3), (2, 4)}
+
+
+def test_parities_never_differ_more_than_sets():
+    dice = np.random.default_rng(2)
+    for n in (1, 5, 63, 64, 65, 300, 5000):
+        x = np.unique(dice.integers(0, 1 << 64, n, dtype=np.uint64))
+        y = np.unique(np.concatenate([x[: n * 4 // 5], dice.integers(0, 1 << 64, n // 3, dtype=np.uint64)]))
+        bits = similar.differing(*[np.frombuffer(similar.parity(v), np.uint8) for v in (x, y)])
+        assert bits <= len(np.setxor1d(x, y)) and bits % 2 == len(np.setxor1d(x, y)) % 2
