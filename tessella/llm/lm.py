@@ -6,12 +6,13 @@ frequent words, and below those one unit per suffix bucket, so that every word,
 unit without any table of all words. How often unit follows unit is counted once over the whole
 training corpus, a table of units by units at most. Each pass moves half of the units that another
 class suits better, at random; if that doesn't raise the likelihood of the corpus' class bigrams,
-half as many are tried. Passes go on until the likelihood rests.
+half as many are tried. Passes go on until the likelihood rests. Then every word without a unit of
+its own is moved by itself, from its bucket's class to the one that suits its own neighbours; of
+these too as many move as raise the likelihood. Only words that training never met keep the class
+of their bucket.
 
-Counts of all words stay a table. A score needs the count c of each of its words once, and both
-the mixture and the base score are (c + 0.5) times something the text alone decides; so frequent
-words are scored at once from a table of bounded size and the rest of a text's words, which are
-few, join the table of counts.
+Counts and classes of all words stay a table. Frequent words are looked up in a part of it of
+bounded size; the rest of a text's words join it, and a text goes on as its words' classes.
 """
 
 from __future__ import annotations
@@ -273,6 +274,40 @@ def _model(units: Units, classes: np.ndarray, pairs: np.ndarray, sizes: np.ndarr
     return Model(units, classes, factor, tokens, kinds)
 
 
+def _own_classes(training: DataFrame, units: Units, classes: np.ndarray, pairs: np.ndarray) -> DataFrame:
+    """training(text) -> ow, oc: for each word without a unit of its own, the class under which its
+    neighbours are likeliest; theirs are those of their units."""
+    kinds = pairs.shape[0]
+    follow = np.log((pairs + 0.1) / (pairs.sum(1)[:, None] + 0.1 * kinds))
+    lead = np.log((pairs + 0.1) / (pairs.sum(0)[None] + 0.1 * kinds))
+    gains = (lead[:, None, :] + follow.T[None]).reshape(kinds * kinds, kinds)[:, :-1]  # [before, after], class; the end's is its alone
+
+    def met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in _slices(batch, 0):
+                index, words, starts = _tokens(part.column(0))
+                c = _stream(index, classes[np.array([units.of(w) for w in words], np.int64)], starts, int(classes[units.end])).astype(np.int64)
+                at = np.arange(len(index)) + np.repeat(np.arange(1, len(starts)), np.diff(starts))  # places of the words in c
+                other = np.array([w not in units.own for w in words], bool)[index]
+                cell, n = np.unique(index[other] * (kinds * kinds) + c[at[other] - 1] * kinds + c[at[other] + 1], return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(words, pa.binary()).take(pa.array(cell // (kinds * kinds))), pa.array((cell % (kinds * kinds)).astype(np.int32)), pa.array(n)], names=["w", "cell", "n"])
+
+    def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 500):
+                part = batch.slice(at, 500)
+                lists = part.column(1)
+                of = np.repeat(np.arange(part.num_rows), np.asarray(pc.list_value_length(lists)))
+                cells = lists.flatten()
+                held = np.zeros((part.num_rows, kinds * kinds))
+                held[of, np.asarray(cells.field("cell"))] = np.asarray(cells.field("n"))
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array((held @ gains).argmax(1).astype(np.int32))], names=["ow", "oc"])
+
+    rows = training.select("text").mapInArrow(met, "w binary, cell int, n long").repartition("w")
+    rows = rows.groupBy("w", "cell").agg(F.sum("n").alias("n")).groupBy("w").agg(F.collect_list(F.struct("cell", "n")).alias("cells"))
+    return rows.mapInArrow(best, "ow binary, oc int")
+
+
 def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", near: int = NEAR) -> DataFrame:
     """One row per input row: <id_col>, held_out, n_tokens, n_known, train_tokens, base_score, score.
 
@@ -282,8 +317,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", near:
     are ignored; an empty table gives an empty result. Without training rows every word is
     unknown and all probabilities are those of the smoothing alone.
     """
-    spark = docs.sparkSession
-    cut = Cut(spark, "lm")
+    cut = Cut(docs.sparkSession, "lm")
     held = F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("null")).cast("binary")) % 5 == 1
     own = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), held.alias("held_out"))
     training = own.where("not held_out")
@@ -291,55 +325,110 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", near:
     counts = cut(word_counts(training))
     top = _frequent(counts, max(near, MOST_OWN))
     units = Units([bytes(r["w"]) for r in top[:MOST_OWN]])
-    table = {bytes(r["w"]): r["n"] for r in top[:near]}
     follows = cut(unit_pairs(training, units))
     classes, pairs, _ = learn_classes(follows, units)
-    sizes, types = np.zeros(pairs.shape[0]), np.zeros(pairs.shape[0])
 
-    def class_sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        n, k = np.zeros(len(sizes), np.int64), np.zeros(len(sizes), np.int64)
+    def by_unit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            c = classes[np.array([units.of(w) for w in batch.column(0).to_pylist()], np.int64)] if batch.num_rows else np.zeros(0, np.int64)
-            n += np.bincount(c, np.asarray(batch.column(1)), minlength=len(n)).astype(np.int64)
-            k += np.bincount(c, minlength=len(k))
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(n))), pa.array(n), pa.array(k)], names=["c", "n", "k"])
+            c = classes[np.array([units.of(w) for w in batch.column(0).to_pylist()], np.int64)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(c.astype(np.int32))], names=["w", "n", "c"])
 
-    for r in counts.select("w", "n").mapInArrow(class_sizes, "c long, n long, k long").groupBy("c").agg(F.sum("n").alias("n"), F.sum("k").alias("k")).collect():
+    words = cut(counts.select("w", "n").mapInArrow(by_unit, "w binary, n long, c int"))
+    made = cut(_classed(own, words, units, classes, [r["w"] for r in top[:near]], ends, cut))
+    if counts.count() > len(units.own):
+        others, share = cut(_own_classes(training, units, classes, pairs)), 1.0
+        while share > 0.05:
+            moves = F.pmod(F.xxhash64("w"), F.lit(1024)) < int(1024 * share)
+            moved = words.join(others, F.col("w") == F.col("ow"), "left").select("w", "n", F.when(moves, F.coalesce("oc", "c")).otherwise(F.col("c")).alias("c"))
+            moved = cut(moved)
+            tried = cut(_classed(own, moved, units, classes, [r["w"] for r in top[:near]], ends, cut))
+            found = _pairs_of(tried, pairs.shape[0])
+            if likelihood(found) > likelihood(pairs):
+                words, made, pairs = moved, tried, found
+                break
+            share /= 2
+    sizes, types = np.zeros(pairs.shape[0]), np.zeros(pairs.shape[0])
+    for r in words.groupBy("c").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("k")).collect():
         sizes[r["c"]], types[r["c"]] = r["n"], r["k"]
-    sizes[-1], types[-1] = ends, int(ends > 0)
+    sizes[-1], types[-1] = sizes[-1] + ends, types[-1] + int(ends > 0)
     model = _model(units, classes, pairs, sizes, types, SHARE)
-    shared = spark.sparkContext.broadcast((model, table, ends))
-    base = float(np.log10(model.tokens + 0.5 * (model.kinds + 1)))
+    logs, base = np.log10(model.factor), float(np.log10(model.tokens + 0.5 * (model.kinds + 1)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, table, ends = shared.value
-        logs, end = np.log10(model.factor), model.units.end
         for batch in batches:
-            for part in _slices(batch, 1, 2_000_000):
-                index, words, starts = _tokens(part.column(1))
-                c = _stream(index, model.classes[np.array([model.units.of(w) for w in words], np.int64)], starts, int(model.classes[end]))
-                step = logs[c[:-1], c[1:]]  # of each word and each text's end
-                n = np.array([table.get(w, -1) for w in words], np.int64)  # -1: to be joined
-                counted = _stream(index, n, starts, ends)[1:]
-                known = np.log10(np.where(counted < 0, 1, counted + 0.5)) * (counted >= 0)
-                texts = np.arange(part.num_rows) + starts[:-1]
-                total = lambda x: np.add.reduceat(x, texts) if len(texts) else np.zeros(0)
-                tokens, near, far = np.diff(starts) + 1, total((counted > 0).astype(np.int64)), counted < 0
-                of = np.repeat(np.arange(part.num_rows), tokens)[far]
-                pair = of * len(words) + np.insert(index, starts[1:], 0)[far]
-                pair, times = np.unique(pair, return_counts=True)
-                each = np.bincount(pair // max(1, len(words)), minlength=part.num_rows)
-                offsets = pa.array(np.concatenate([[0], np.cumsum(each)]).astype(np.int32))
-                rest = pa.StructArray.from_arrays([pa.array(words, pa.binary()).take(pa.array(pair % max(1, len(words)))), pa.array(times.astype(np.int32))], ["w", "t"])
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array(tokens), pa.array(near.astype(np.int64)), pa.array(total(known) - tokens * base), pa.array(total(known + step)), pa.ListArray.from_arrays(offsets, rest)], names=["id", "held_out", "n_tokens", "n_known", "base_score", "score", "rest"])
+            step = [float(logs[c[:-1], c[1:]].sum()) for c in (np.frombuffer(x.as_buffer(), np.uint8) for x in batch.column(5))]
+            tokens, known = np.asarray(batch.column(2)), np.asarray(batch.column(4))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(np.full(len(step), model.tokens, np.int64)), pa.array(known - tokens * base), pa.array(known + np.array(step, float))], names=["id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    made = own.select("id", "text", "held_out").mapInArrow(run, f"id {kind}, held_out boolean, n_tokens long, n_known long, base_score double, score double, rest array<struct<w: binary, t: int>>")
+    made = made.mapInArrow(run, f"id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    return made.withColumnRenamed("id", id_col)
+
+
+def _pairs_of(made: DataFrame, kinds: int) -> np.ndarray:
+    """How often class follows class in the rows of _classed that are learned from."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = np.zeros(kinds * kinds, np.int64)
+        for batch in batches:
+            for x in batch.column(0):
+                c = np.frombuffer(x.as_buffer(), np.uint8).astype(np.int64)
+                held += np.bincount(c[:-1] * kinds + c[1:], minlength=len(held))
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(held))), pa.array(held)], names=["cell", "n"])
+
+    out = np.zeros(kinds * kinds)
+    for r in made.where("not held_out").select("seq").mapInArrow(run, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).collect():
+        out[r["cell"]] = r["n"]
+    return out.reshape(kinds, kinds)
+
+
+def _classed(own: DataFrame, words: DataFrame, units: Units, classes: np.ndarray, near: list, ends: int, cut: Cut) -> DataFrame:
+    """own(id, text, held_out), words(w, n, c) -> id, held_out, n_tokens, n_known, known (the sum of
+    log10(n + 0.5)), seq (a byte a token: the end's class, then that of each word and of the end)."""
+    nearest = own.sparkSession.createDataFrame([(bytes(w),) for w in near], "nw binary")
+    table = {bytes(r["w"]): (r["n"], r["c"]) for r in words.join(nearest, F.col("w") == F.col("nw"), "left_semi").collect()}  # at most len(near)
+    shared = own.sparkSession.sparkContext.broadcast((table, units, classes, ends))
+    last = int(classes[units.end])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table, units, classes, ends = shared.value
+        for batch in batches:
+            for part in _slices(batch, 1, 2_000_000):
+                index, words, starts = _tokens(part.column(1))
+                found = np.array([table.get(w, (-1, -1)) for w in words], np.int64).reshape(-1, 2)  # -1: to be joined
+                rows = {k: [] for k in ("tokens", "known", "log", "seq", "rest")}
+                for a, b in zip(starts[:-1].tolist(), starts[1:].tolist()):
+                    i = index[a:b]
+                    n, c = found[i, 0], found[i, 1].astype(np.int32)
+                    far, at = np.unique(i[n < 0], return_inverse=True)
+                    c[n < 0] = -1 - at
+                    rows["tokens"].append(len(i) + 1)
+                    rows["known"].append(int((n > 0).sum()) + (ends > 0))
+                    rows["log"].append(float(np.log10(n[n >= 0] + 0.5).sum() + np.log10(ends + 0.5)))
+                    rows["seq"].append(c.tobytes())
+                    rows["rest"].append([{"j": j, "w": words[k], "t": t, "d": int(classes[units.of(words[k])])} for j, (k, t) in enumerate(zip(far.tolist(), np.bincount(at, minlength=len(far)).tolist()))])
+                rest = pa.array(rows["rest"], pa.list_(pa.struct([("j", pa.int32()), ("w", pa.binary()), ("t", pa.int32()), ("d", pa.int32())])))
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array(rows["tokens"], pa.int64()), pa.array(rows["known"], pa.int64()), pa.array(rows["log"], pa.float64()), pa.array(rows["seq"], pa.binary()), rest], names=["id", "held_out", "n_tokens", "n_known", "known", "seq", "rest"])
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for x, far in zip(batch.column(5), batch.column(6)):
+                c = np.frombuffer(x.as_buffer(), np.int32)
+                if far.is_valid and len(far):
+                    of = np.zeros(len(far), np.int32)
+                    of[np.asarray(far.values.field("j"))] = np.asarray(far.values.field("c"))
+                    c = np.where(c < 0, of[np.minimum(-1 - np.minimum(c, -1), len(of) - 1)], c)
+                out.append(np.concatenate([[last], c, [last]]).astype(np.uint8).tobytes())
+            yield pa.RecordBatch.from_arrays([*batch.columns[:5], pa.array(out, pa.binary())], names=["id", "held_out", "n_tokens", "n_known", "known", "seq"])
+
+    kind = own.schema["id"].dataType.simpleString()
+    plain = f"id {kind}, held_out boolean, n_tokens long, n_known long, known double, seq binary"
+    made = own.select("id", "text", "held_out").mapInArrow(run, plain + ", rest array<struct<j: int, w: binary, t: int, d: int>>")
     made = cut(made.withColumn("row", F.monotonically_increasing_id()))
-    rest = made.select("row", F.explode("rest").alias("x")).select("row", "x.w", "x.t")
-    found = rest.join(counts.select(F.col("w").alias("cw"), "n"), F.col("w") == F.col("cw"), "left")
+    rest = made.select("row", F.explode("rest").alias("x")).select("row", "x.*")
+    found = rest.join(words.select(F.col("w").alias("cw"), "n", "c"), F.col("w") == F.col("cw"), "left")
     log = F.col("t") * F.log10(F.coalesce("n", F.lit(0)) + 0.5)
-    found = found.groupBy("row").agg(F.sum(log).alias("log"), F.sum(F.when(F.col("n") > 0, F.col("t")).otherwise(0)).alias("known")).withColumnRenamed("row", "frow")
-    out = made.drop("rest").join(found, F.col("row") == F.col("frow"), "left")
-    more = F.coalesce("log", F.lit(0.0))
-    return out.select(F.col("id").alias(id_col), "held_out", "n_tokens", (F.col("n_known") + F.coalesce("known", F.lit(0))).alias("n_known"), F.lit(model.tokens).cast("long").alias("train_tokens"), (F.col("base_score") + more).alias("base_score"), (F.col("score") + more).alias("score"))
+    found = found.groupBy(F.col("row").alias("frow")).agg(F.sum(log).alias("log"), F.sum(F.when(F.col("n") > 0, F.col("t")).otherwise(0)).alias("more"), F.collect_list(F.struct("j", F.coalesce("c", "d").alias("c"))).alias("far"))
+    both = made.drop("rest").join(found, F.col("row") == F.col("frow"), "left")
+    return both.select("id", "held_out", "n_tokens", (F.col("n_known") + F.coalesce("more", F.lit(0))).alias("n_known"), (F.col("known") + F.coalesce("log", F.lit(0.0))).alias("known"), "seq", "far").mapInArrow(whole, plain)

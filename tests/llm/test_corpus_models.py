@@ -149,3 +149,12 @@ def test_repeated_ids_count_once_in_learning(spark):
     for _ in range(4):
         many = many.unionByName(docs)
     assert once and quality.learn_rules(many, labels) == once
+
+
+def test_words_without_units_have_classes_of_their_own(spark, monkeypatch):
+    """Words of one suffix that stand at different places: in one class they'd score as the base does."""
+    monkeypatch.setattr(lm, "MOST_OWN", 4)
+    rng = random.Random(8)
+    texts = [" ".join(f"{'pq'[j % 2]}{rng.randrange(40):02}ing" for j in range(40)) for _ in range(120)]
+    rows = lm.score(frame(spark, texts), near=7).where("held_out").collect()
+    assert sum(r.score - r.base_score for r in rows) / sum(r.n_tokens for r in rows) > 0.05
