@@ -12,12 +12,14 @@ Two sets of similarity 4/5 or more share a shingle among the first n // 5 + 1 of
 at these, and all pairs that aren't in one component by then are candidates. At the shingle that two
 sets meet at first, at most what follows it can be common to both; and their parities, a bit for each
 residue of the hashes, can't differ in more bits than the sets do in hashes. Both rule out only pairs
-that aren't similar. What the order knows of frequent shingles decides on the work to do, never on
-the pairs found. Every pair of either round is compared whole. Equal sets are one node long before.
+that aren't similar. The order goes by counters of all shingles, a bounded number that many shingles
+share: beyond some hundred million shingles the copies of small groups aren't told from single texts
+any more. What the order knows decides on the work to do, never on the pairs found. Every pair of either round is compared whole. Equal sets are one node long before.
 """
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,8 +35,10 @@ from .simhash import SEED, fingerprint_links, fold, shingle_hashes
 SHINGLE, ROWS, BANDS = 5, 5, 16
 #: Sets of a bucket that all of its sets are compared with.
 PIVOTS = 8
-#: Shingles that are looked at together for frequent ones; how often one is in them; how many are ordered by frequency.
-_LOOK, _OFTEN, _FREQUENT = 2_000_000, 3, 1 << 18
+#: Bits of a shingle's hash that name its counter, and bits of these that name a part of the counters.
+_COUNTERS, _PARTS = 24, 8
+#: Shingles that are counted together.
+_LOOK = 500_000
 _TURNS = np.random.default_rng(SEED).integers(0, 1 << 64, ROWS * BANDS, dtype=np.uint64) | np.uint64(1)
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
@@ -77,55 +81,76 @@ def differing(x: np.ndarray, y: np.ndarray) -> int:
     return int(np.bitwise_count(np.bitwise_xor.reduce(y.reshape(-1, len(x)), axis=0) ^ x).sum())
 
 
+def _counter(own: np.ndarray) -> np.ndarray:
+    return (own >> np.uint64(64 - _COUNTERS)).astype(np.int64)
+
+
 def _sketches(texts: DataFrame) -> DataFrame:
     """texts(id, text) -> id, mark (of the text), node (of its set), n, fp, odd (its fingerprint and
-    parity), keys (of its bands), and rows (key, often) of shingles that are often met nearby."""
-    names = ["id", "mark", "node", "n", "fp", "odd", "keys", "key", "often"]
-    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.binary(), pa.list_(pa.int64()), pa.int64(), pa.int64()]
+    parity), keys (of its bands), and rows (part, counts): a task's counters, up to 255 each."""
+    names = ["id", "mark", "node", "n", "fp", "odd", "keys", "part", "counts"]
+    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.binary(), pa.list_(pa.int64()), pa.int32(), pa.binary()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def often() -> pa.RecordBatch:
-            keys, n = np.unique(np.concatenate(held), return_counts=True)
-            keys, n = keys[n >= _OFTEN].view(np.int64), n[n >= _OFTEN]
-            return pa.RecordBatch.from_arrays([*(pa.nulls(len(keys), k) for k in kinds[:7]), pa.array(keys), pa.array(n, pa.int64())], names=names)
+        def count() -> None:
+            at, n = np.unique(_counter(np.concatenate(held)), return_counts=True)
+            counts[at] = np.minimum(counts[at] + n, 255)
 
-        held, size = [], 0
+        held, size, counts = [], 0, np.zeros(1 << _COUNTERS, np.uint8)
         for batch in batches:
-            own, none = [], pa.nulls(batch.num_rows, pa.int64())
+            own, none = [], [pa.nulls(batch.num_rows, k) for k in kinds[7:]]
             for x in batch.column(2):
                 own.append(word_set(x.as_py()))
                 held.append(own[-1])
                 size += len(own[-1])
                 if size >= _LOOK:
-                    yield often()
+                    count()
                     held, size = [], 0
             keys = [bands(x) for x in own]
             ends = pa.array(np.cumsum([0, *map(len, keys)]).astype(np.int32))
             lists = pa.ListArray.from_arrays(ends, pa.array(np.concatenate(keys) if keys else np.zeros(0, np.int64)))
             fps = pa.array(np.array([fold([x]) for x in own], np.uint64).view(np.int64))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(list(map(_node, own)), pa.int64()), pa.array(list(map(len, own)), pa.int32()), fps, pa.array(list(map(parity, own)), pa.binary()), lists, none, none], names=names)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(list(map(_node, own)), pa.int64()), pa.array(list(map(len, own)), pa.int32()), fps, pa.array(list(map(parity, own)), pa.binary()), lists, *none], names=names)
         if held:
-            yield often()
+            count()
+        parts = [(i, zlib.compress(x.tobytes(), 1)) for i, x in enumerate(counts.reshape(1 << _PARTS, -1)) if x.any()]
+        yield pa.RecordBatch.from_arrays([*(pa.nulls(len(parts), k) for k in kinds[:7]), pa.array([i for i, _ in parts], pa.int32()), pa.array([x for _, x in parts], pa.binary())], names=names)
+
+    return texts.select("id", F.xxhash64(text_of()).alias("mark"), "text").mapInArrow(run, "id long, mark long, node long, n int, fp long, odd binary, keys array<long>, part int, counts binary")
+
+
+def _levels(counts: DataFrame) -> np.ndarray:
+    """(part, counts) of all tasks -> a byte for each counter, higher for higher sums."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums = {}
+        for batch in batches:
+            for part, own in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                own = np.frombuffer(zlib.decompress(own), np.uint8)
+                sums[part] = sums.get(part, 0) + own.astype(np.int64)
+        made = [np.minimum(np.round(12 * np.log2(1 + x)), 255).astype(np.uint8).tobytes() for x in sums.values()]
+        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array(made, pa.binary())], names=["part", "levels"])
 
-    return texts.select("id", F.xxhash64(text_of()).alias("mark"), "text").mapInArrow(run, "id long, mark long, node long, n int, fp long, odd binary, keys array<long>, key long, often long")
+    out = np.zeros((1 << _PARTS, 1 << (_COUNTERS - _PARTS)), np.uint8)
+    for r in counts.repartition("part").mapInArrow(run, "part int, levels binary").collect():  # as many bytes as counters
+        out[r["part"]] = np.frombuffer(r["levels"], np.uint8)
+    return out.reshape(-1)
 
 
-def _starts(texts: DataFrame, keys: np.ndarray, counts: np.ndarray) -> DataFrame:
-    """texts(id, text) -> (key, node, n, at): the first n // 5 + 1 shingles of each set of n."""
-    shared = texts.sparkSession.sparkContext.broadcast((keys, counts))
+def _starts(texts: DataFrame, levels: np.ndarray) -> DataFrame:
+    """texts(id, text) -> (key, node, n, at): the first n // 5 + 1 shingles of each set of n, by the
+    levels of their counters and then by hash."""
+    shared = texts.sparkSession.sparkContext.broadcast(levels)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, counts = shared.value
+        levels = shared.value
         for batch in batches:
             out = [(np.zeros(0, np.int64), 0, 0)]
             for x in batch.column(0):
                 own = word_set(x.as_py())
                 if len(own) < 5:  # similar to equal sets only
                     continue
-                first = own[: len(own) // 5 + 1]
-                if len(keys):
-                    at = np.minimum(np.searchsorted(keys, own), len(keys) - 1)
-                    first = own[np.argsort(np.where(keys[at] == own, counts[at], 0), kind="stable")[: len(first)]]
+                first = own[np.argsort(levels[_counter(own)], kind="stable")[: len(own) // 5 + 1]]
                 out.append((first.view(np.int64), _node(own), len(own)))
             each = [len(f) for f, *_ in out]
             cols = [np.concatenate([f for f, *_ in out]), np.repeat([x for _, x, _ in out], each), np.repeat([n for *_, n in out], each), np.concatenate([np.arange(n) for n in each])]
@@ -191,14 +216,11 @@ def _buckets(sets: DataFrame, cut: Cut) -> DataFrame:
     return met.where((c("node") != c("p.node")) & _alike(c("n"), c("p.n"))).select(c("node").alias("a"), c("p.node").alias("b"))
 
 
-def _apart(texts: DataFrame, often: DataFrame, roots: DataFrame, cut: Cut) -> DataFrame:
+def _apart(texts: DataFrame, levels: np.ndarray, roots: DataFrame, cut: Cut) -> DataFrame:
     """The pairs (a, b) of nodes with different roots (node, root; others are their own) that may be
     similar; no such pair that is similar is left out."""
     c = F.col
-    top = often.groupBy("key").agg(F.sum("often").alias("n")).orderBy(F.desc("n"), "key").limit(_FREQUENT).toPandas()
-    keys, counts = top["key"].to_numpy(np.int64).view(np.uint64), top["n"].to_numpy(np.int64)
-    order = np.argsort(keys)
-    rows = cut(_starts(texts, keys[order], counts[order]))
+    rows = cut(_starts(texts, levels))
     shared = rows.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low <> high").select("key")
     met = rows.join(shared, "key", "left_semi").distinct()
     met = cut(met.join(roots, c("node") == c("own"), "left").select("key", "node", "n", "at", F.coalesce("root", "node").alias("root")))
@@ -234,7 +256,7 @@ def similar_links(texts: DataFrame, cut: Cut) -> tuple[DataFrame, DataFrame]:
     sets = cut(rows.groupBy("node").agg(*[F.first(c).alias(c) for c in ("n", "fp", "odd", "keys")]))
     found = _verified(_balls(sets, cut).union(_buckets(sets, cut)), nodes, texts, cut)
     roots = cut(connected_components(found, cut).withColumnRenamed("node", "own"))
-    rest = _apart(texts, made.where("key is not null").select("key", "often"), roots, cut)
+    rest = _apart(texts, _levels(made.where("part is not null").select("part", "counts")), roots, cut)
     return nodes, found.union(_verified(_close(rest, sets, cut), nodes, texts, cut))
 
 

@@ -114,3 +114,15 @@ def test_parities_never_differ_more_than_sets():
         y = np.unique(np.concatenate([x[: n * 4 // 5], dice.integers(0, 1 << 64, n // 3, dtype=np.uint64)]))
         bits = similar.differing(*[np.frombuffer(similar.parity(v), np.uint8) for v in (x, y)])
         assert bits <= len(np.setxor1d(x, y)) and bits % 2 == len(np.setxor1d(x, y)) % 2
+
+
+def test_copies_changed_too_much_make_few_pairs(spark, monkeypatch):
+    """Forty copies of a text in twenty parts, each changed in a twelfth of its words: none are similar, and none meet."""
+    rng, seen, close = random.Random(7), [], similar._close
+    word = lambda: f"w{rng.randrange(10**9)}"
+    base = [word() for _ in range(300)]
+    texts = [" ".join(word() if rng.random() < 1 / 12 else w for w in base) for _ in range(40)]
+    monkeypatch.setattr(similar, "_close", lambda pairs, sets, cut: seen.append(pairs.count()) or close(pairs, sets, cut))
+    rows = spark.createDataFrame(spark.sparkContext.parallelize(list(enumerate(texts)), 20), "doc_id long, text string")
+    assert similar.keep_one_each(rows).count() == 40 == len(plain_kept(texts))
+    assert seen[0] < 40
