@@ -20,6 +20,7 @@ from __future__ import annotations
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -49,13 +50,14 @@ def is_held_out(doc_id: str) -> bool:
 def _tokens(texts: pa.Array) -> tuple[np.ndarray, list[bytes], np.ndarray]:
     """Words as numbers into a list of distinct words, and where each text's words start (one more
     entry than texts). A-Z are lower-cased; words are parted by ASCII white space."""
-    counts, words = np.zeros(len(texts) + 1, np.int64), []
-    for i, x in enumerate(texts):
-        own = (x.as_py() or "").encode().lower().split()
-        counts[i + 1] = len(own)
-        words += own
-    made = pa.array(words, pa.binary()).dictionary_encode()
-    return np.asarray(made.indices, np.int64), made.dictionary.to_pylist(), np.cumsum(counts)
+    lists = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts, "")))
+    words, ends = lists.flatten(), np.asarray(lists.offsets, np.int64)
+    ends = ends - ends[0]
+    real = np.asarray(pc.binary_length(words)) > 0  # white space at a text's ends parts empty words
+    if not real.all():
+        words, ends = words.filter(pa.array(real)), np.concatenate([[0], np.cumsum(real)])[ends]
+    made = words.dictionary_encode()
+    return np.asarray(made.indices, np.int64), made.dictionary.cast(pa.binary()).to_pylist(), ends
 
 
 def _slices(batch: pa.RecordBatch, column: int, limit: int = 6_000_000) -> Iterator[pa.RecordBatch]:
@@ -281,31 +283,49 @@ def _own_classes(training: DataFrame, units: Units, classes: np.ndarray, pairs:
     follow = np.log((pairs + 0.1) / (pairs.sum(1)[:, None] + 0.1 * kinds))
     lead = np.log((pairs + 0.1) / (pairs.sum(0)[None] + 0.1 * kinds))
     gains = (lead[:, None, :] + follow.T[None]).reshape(kinds * kinds, kinds)[:, :-1]  # [before, after], class; the end's is its alone
+    gains = np.round(gains * (1 << 24)).astype(np.int64)  # sums don't hang on the rows' order
 
     def met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in _slices(batch, 0):
                 index, words, starts = _tokens(part.column(0))
-                c = _stream(index, classes[np.array([units.of(w) for w in words], np.int64)], starts, int(classes[units.end])).astype(np.int64)
+                u = np.array([units.of(w) for w in words], np.int64)
+                c = _stream(index, classes[u], starts, int(classes[units.end])).astype(np.int64)
                 at = np.arange(len(index)) + np.repeat(np.arange(1, len(starts)), np.diff(starts))  # places of the words in c
-                other = np.array([w not in units.own for w in words], bool)[index]
-                cell, n = np.unique(index[other] * (kinds * kinds) + c[at[other] - 1] * kinds + c[at[other] + 1], return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(words, pa.binary()).take(pa.array(cell // (kinds * kinds))), pa.array((cell % (kinds * kinds)).astype(np.int32)), pa.array(n)], names=["w", "cell", "n"])
+                other = (u >= len(units.own))[index]
+                own = np.sort(index[other] * (kinds * kinds) + c[at[other] - 1] * kinds + c[at[other] + 1])
+                word, cell = own // (kinds * kinds), (own % (kinds * kinds)).astype(np.int16)
+                first = np.flatnonzero(np.concatenate([[True], word[1:] != word[:-1]])) if len(word) else np.zeros(0, np.int64)
+                ends = np.append(first, len(word)).astype(np.int32) * 2
+                cells = pa.Array.from_buffers(pa.binary(), len(first), [None, pa.py_buffer(ends.tobytes()), pa.py_buffer(cell.tobytes())])
+                yield pa.RecordBatch.from_arrays([pa.array(words, pa.binary()).take(pa.array(word[first])), cells], names=["w", "cells"])
 
     def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out = lambda w, sums: pa.RecordBatch.from_arrays([pa.array(w, pa.binary()), pa.array(sums.argmax(1).astype(np.int32))], names=["ow", "oc"])
+        last, rest = None, np.zeros(kinds - 1, np.int64)  # the word that the next rows may go on with
         for batch in batches:
-            for at in range(0, batch.num_rows, 500):
-                part = batch.slice(at, 500)
-                lists = part.column(1)
-                of = np.repeat(np.arange(part.num_rows), np.asarray(pc.list_value_length(lists)))
-                cells = lists.flatten()
-                held = np.zeros((part.num_rows, kinds * kinds))
-                held[of, np.asarray(cells.field("cell"))] = np.asarray(cells.field("n"))
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array((held @ gains).argmax(1).astype(np.int32))], names=["ow", "oc"])
-
-    rows = training.select("text").mapInArrow(met, "w binary, cell int, n long").repartition("w")
-    rows = rows.groupBy("w", "cell").agg(F.sum("n").alias("n")).groupBy("w").agg(F.collect_list(F.struct("cell", "n")).alias("cells"))
-    return rows.mapInArrow(best, "ow binary, oc int")
+            for at in range(0, batch.num_rows, 5000):
+                words, blobs = (batch.column(i).slice(at, 5000).to_pylist() for i in (0, 1))
+                sizes = np.fromiter(map(len, blobs), np.int64, len(blobs)) // 2
+                starts = np.cumsum(sizes) - sizes
+                cells = np.frombuffer(b"".join(blobs), np.int16)
+                new = [0, *(i for i in range(1, len(words)) if words[i] != words[i - 1])]
+                sums = np.empty((len(new), kinds - 1), np.int64)
+                stops = np.append(starts[new[1:]], len(cells))
+                for a in range(0, len(new), 500):  # a part of the gains at a time
+                    lo, hi = int(starts[new[a]]), int(stops[min(a + 500, len(new)) - 1])
+                    sums[a : a + 500] = np.add.reduceat(gains[cells[lo:hi]], starts[new[a : a + 500]] - lo, axis=0)
+                if words[0] == last:
+                    sums[0] += rest
+                elif last is not None:
+                    yield out([last], rest[None])
+                yield out([words[i] for i in new[:-1]], sums[:-1])
+                last, rest = words[-1], sums[-1]
+        if last is not None:
+            yield out([last], rest[None])
+
+    rows = training.select("text").mapInArrow(met, "w binary, cells binary")
+    return rows.repartition("w").sortWithinPartitions("w").mapInArrow(best, "ow binary, oc int")
 
 
 def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", near: int = NEAR) -> DataFrame:
@@ -334,7 +354,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", near:
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(c.astype(np.int32))], names=["w", "n", "c"])
 
     words = cut(counts.select("w", "n").mapInArrow(by_unit, "w binary, n long, c int"))
-    made = cut(_classed(own, words, units, classes, [r["w"] for r in top[:near]], ends, cut))
+    made = None
     if counts.count() > len(units.own):
         others, share = cut(_own_classes(training, units, classes, pairs)), 1.0
         while share > 0.05:
@@ -346,7 +366,10 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", near:
             if likelihood(found) > likelihood(pairs):
                 words, made, pairs = moved, tried, found
                 break
+            cut.drop(tried, moved)
             share /= 2
+    if made is None:  # no word moves; texts as the classes of their words' units
+        made = cut(_classed(own, words, units, classes, [r["w"] for r in top[:near]], ends, cut))
     sizes, types = np.zeros(pairs.shape[0]), np.zeros(pairs.shape[0])
     for r in words.groupBy("c").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("k")).collect():
         sizes[r["c"]], types[r["c"]] = r["n"], r["k"]
@@ -386,29 +409,34 @@ def _classed(own: DataFrame, words: DataFrame, units: Units, classes: np.ndarray
     """own(id, text, held_out), words(w, n, c) -> id, held_out, n_tokens, n_known, known (the sum of
     log10(n + 0.5)), seq (a byte a token: the end's class, then that of each word and of the end)."""
     nearest = own.sparkSession.createDataFrame([(bytes(w),) for w in near], "nw binary")
-    table = {bytes(r["w"]): (r["n"], r["c"]) for r in words.join(nearest, F.col("w") == F.col("nw"), "left_semi").collect()}  # at most len(near)
-    shared = own.sparkSession.sparkContext.broadcast((table, units, classes, ends))
+    rows = words.join(nearest, F.col("w") == F.col("nw"), "left_semi").collect()  # at most len(near)
+    table = {bytes(r["w"]): i for i, r in enumerate(rows)}
+    of_table = np.array([[*(r["n"] for r in rows), -1], [*(r["c"] for r in rows), -1]], np.int64)  # the last entry: to be joined
+    shared = own.sparkSession.sparkContext.broadcast((table, of_table, units, classes, ends))
     last = int(classes[units.end])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table, units, classes, ends = shared.value
+        table, of_table, units, classes, ends = shared.value
         for batch in batches:
-            for part in _slices(batch, 1, 2_000_000):
+            for part in _slices(batch, 1, 3_000_000):
                 index, words, starts = _tokens(part.column(1))
-                found = np.array([table.get(w, (-1, -1)) for w in words], np.int64).reshape(-1, 2)  # -1: to be joined
-                rows = {k: [] for k in ("tokens", "known", "log", "seq", "rest")}
-                for a, b in zip(starts[:-1].tolist(), starts[1:].tolist()):
-                    i = index[a:b]
-                    n, c = found[i, 0], found[i, 1].astype(np.int32)
-                    far, at = np.unique(i[n < 0], return_inverse=True)
-                    c[n < 0] = -1 - at
-                    rows["tokens"].append(len(i) + 1)
-                    rows["known"].append(int((n > 0).sum()) + (ends > 0))
-                    rows["log"].append(float(np.log10(n[n >= 0] + 0.5).sum() + np.log10(ends + 0.5)))
-                    rows["seq"].append(c.tobytes())
-                    rows["rest"].append([{"j": j, "w": words[k], "t": t, "d": int(classes[units.of(words[k])])} for j, (k, t) in enumerate(zip(far.tolist(), np.bincount(at, minlength=len(far)).tolist()))])
-                rest = pa.array(rows["rest"], pa.list_(pa.struct([("j", pa.int32()), ("w", pa.binary()), ("t", pa.int32()), ("d", pa.int32())])))
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array(rows["tokens"], pa.int64()), pa.array(rows["known"], pa.int64()), pa.array(rows["log"], pa.float64()), pa.array(rows["seq"], pa.binary()), rest], names=["id", "held_out", "n_tokens", "n_known", "known", "seq", "rest"])
+                each, texts = np.diff(starts), part.num_rows
+                found = of_table[:, np.fromiter(map(table.get, words, repeat(-1)), np.int64, len(words))]
+                n, c, of = found[0][index], found[1][index].astype(np.int32), np.repeat(np.arange(texts), each)
+                sums = lambda x: np.bincount(of, x, texts)
+                logs = sums(np.where(n < 0, 0.0, np.log10(np.maximum(found[0], 0) + 0.5)[index])) + np.log10(ends + 0.5)
+                far, at, t = np.unique(of[n < 0] * max(1, len(words)) + index[n < 0], return_inverse=True, return_counts=True)
+                k = far % max(1, len(words))
+                first = np.searchsorted(far, np.arange(texts + 1) * max(1, len(words)))  # where each text's words to be joined start
+                j = np.arange(len(far)) - np.repeat(first[:-1], np.diff(first))
+                c[n < 0] = -1 - j[at]
+                seen, back = np.unique(k, return_inverse=True)
+                d = classes[np.array([units.of(words[i]) for i in seen.tolist()], np.int64)][back]
+                rest = pa.StructArray.from_arrays([pa.array(j.astype(np.int32)), pa.array(words, pa.binary()).take(pa.array(k)), pa.array(t.astype(np.int32)), pa.array(d.astype(np.int32))], names=["j", "w", "t", "d"])
+                rest = pa.ListArray.from_arrays(pa.array(first.astype(np.int32)), rest)
+                seq = pa.Array.from_buffers(pa.binary(), texts, [None, pa.py_buffer((starts * 4).astype(np.int32).tobytes()), pa.py_buffer(c.tobytes())])
+                known = sums(n > 0).astype(np.int64) + int(ends > 0)
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array(each + 1), pa.array(known), pa.array(logs), seq, rest], names=["id", "held_out", "n_tokens", "n_known", "known", "seq", "rest"])
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -58,6 +58,32 @@ def test_class_model_by_plain_recomputation(spark):
         assert got[i] == pytest.approx(score, abs=1e-9)
 
 
+def test_words_move_by_their_own_neighbours_and_texts_are_classed_once(spark, monkeypatch):
+    texts, calls, cut = _corpus(), [], Cut(spark, "test")
+    tokens = [[w.encode() for w in (t or "").lower().split()] for t in texts]
+    units = lm.Units(sorted({w for t in tokens for w in t})[::3], 8)
+    classes = np.append(np.arange(units.end) % 4, 4)
+    pairs, met = np.zeros((5, 5)), defaultdict(Counter)
+    for t in tokens:
+        c = [4, *(int(classes[units.of(w)]) for w in t), 4]
+        for a, w, b in zip(c, t, c[2:]):
+            met[w][a, b] += 1
+        for a, b in zip(c, c[1:]):
+            pairs[a, b] += 1
+    follow = np.log((pairs + 0.1) / (pairs.sum(1)[:, None] + 0.5))
+    lead = np.log((pairs + 0.1) / (pairs.sum(0)[None] + 0.5))
+    best = {w: [sum(n * (lead[a, k] + follow[k, b]) for (a, b), n in own.items()) for k in range(4)] for w, own in met.items() if w not in units.own}
+    got = {bytes(r.ow): r.oc for r in lm._own_classes(frame(spark, texts).repartition(3), units, classes, pairs).collect()}
+    assert got.keys() == best.keys() and all(best[w][k] == pytest.approx(max(best[w]), abs=1e-5) for w, k in got.items())
+    classed = lm._classed
+    monkeypatch.setattr(lm, "MOST_OWN", 4)
+    monkeypatch.setattr(lm, "_classed", lambda *a: calls.append(1) or classed(*a))
+    rng = random.Random(8)
+    texts = [" ".join(f"{'pq'[j % 2]}{rng.randrange(40):02}ing" for j in range(40)) for _ in range(120)]
+    assert lm.score(frame(spark, texts), near=7).count() == len(texts)
+    assert len(calls) == 1  # the words' moves help at once
+
+
 def test_class_model_is_a_distribution():
     """Over all words and one unseen word of each class, probabilities add up to one."""
     classes, pairs = np.array([0, 0, 1, 2]), np.array([[3.0, 2, 1], [1, 0, 4], [2, 3, 0]])
