@@ -337,7 +337,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", near:
     are ignored; an empty table gives an empty result. Without training rows every word is
     unknown and all probabilities are those of the smoothing alone.
     """
-    cut = Cut(docs.sparkSession, "lm")
+    cut = Cut(docs.sparkSession, "lm", small=True)
     held = F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("null")).cast("binary")) % 5 == 1
     own = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), held.alias("held_out"))
     training = own.where("not held_out")
@@ -408,7 +408,8 @@ def _pairs_of(made: DataFrame, kinds: int) -> np.ndarray:
 def _classed(own: DataFrame, words: DataFrame, units: Units, classes: np.ndarray, near: list, ends: int, cut: Cut) -> DataFrame:
     """own(id, text, held_out), words(w, n, c) -> id, held_out, n_tokens, n_known, known (the sum of
     log10(n + 0.5)), seq (a byte a token: the end's class, then that of each word and of the end)."""
-    nearest = own.sparkSession.createDataFrame([(bytes(w),) for w in near], "nw binary")
+    # by Arrow: rows of Python objects would start workers of their own on every executor
+    nearest = own.sparkSession.createDataFrame(pa.table({"nw": pa.array([bytes(w) for w in near], pa.binary())}))
     rows = words.join(nearest, F.col("w") == F.col("nw"), "left_semi").collect()  # at most len(near)
     table = {bytes(r["w"]): i for i, r in enumerate(rows)}
     of_table = np.array([[*(r["n"] for r in rows), -1], [*(r["c"] for r in rows), -1]], np.int64)  # the last entry: to be joined

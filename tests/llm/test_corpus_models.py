@@ -6,11 +6,12 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from test_operators import frame
 
-from tessella.llm import language, lm, quality
+from tessella.llm import common, language, lm, quality
 from tessella.llm.common import Cut
 
 
@@ -84,6 +85,22 @@ def test_words_move_by_their_own_neighbours_and_texts_are_classed_once(spark, mo
     assert len(calls) == 1  # the words' moves help at once
 
 
+def test_texts_come_in_small_batches_and_near_words_need_no_worker(spark, monkeypatch):
+    """Ten thousand texts at once, and workers of another kind, took an executor beyond its memory."""
+    sizes = lambda batches: (pa.RecordBatch.from_arrays([pa.array([b.nbytes])], names=["n"]) for b in batches)
+    rows = spark.range(0, 4000, 1, 1).select(F.repeat(F.lit("x"), 4000).alias("text")).mapInArrow(sizes, "n long")
+    for small, least, most in ((True, 3, common.BATCH_BYTES + 10_000), (False, 1, 1 << 30)):
+        found = [r.n for r in Cut(spark, "test", small=small)(rows).collect()]
+        assert len(found) >= least and max(found) <= most and sum(found) > 16_000_000
+    assert spark.conf.get(common._BATCH_CONF, None) is None
+    docs, seen = frame(spark, _corpus()), []
+    write = Cut.__call__
+    monkeypatch.setattr(Cut, "__call__", lambda self, df: seen.append(self.batches) or write(self, df))
+    monkeypatch.setattr(type(spark.sparkContext), "parallelize", None)
+    assert lm.score(docs, near=7).count() == docs.count()
+    assert set(seen) == {common.small_batches}
+
+
 def test_class_model_is_a_distribution():
     """Over all words and one unseen word of each class, probabilities add up to one."""
     classes, pairs = np.array([0, 0, 1, 2]), np.array([[3.0, 2, 1], [1, 0, 4], [2, 3, 0]])
