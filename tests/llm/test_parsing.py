@@ -1,6 +1,7 @@
 """Corpus order by prefix-free parsing, and the repeats found by it, against brute force."""
 
 import random
+import tracemalloc
 from collections import Counter
 
 import numpy as np
@@ -36,6 +37,27 @@ def test_corpus_order_and_repeated_places(every, monkeypatch):
         assert parsing.repeated_places(data, offsets, places, length).tolist() == [p for p, x in rest.items() if times[x[:length]] > 1]
 
 
+def test_memory_of_ordering():
+    """Two workers of an executor order several MB each; 60 bytes for each byte were too many."""
+    rng = np.random.default_rng(4)
+    pool, sizes = rng.integers(0, 256, 300_000, np.uint8), rng.integers(400, 700, 1800)
+    data, offsets = np.concatenate([pool[a : a + n] for a, n in zip(rng.integers(0, 299_000, len(sizes)), sizes)]), np.concatenate([[0], np.cumsum(sizes)])
+    n = sizes - 399
+    places = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(offsets[:-1], n)
+    tracemalloc.start()
+    hit = parsing.repeated_places(data, offsets, places, 400)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    times = Counter(data[p : p + 400].tobytes() for p in places.tolist())
+    assert hit.tolist() == [p for p in places.tolist() if times[data[p : p + 400].tobytes()] > 1] and len(hit)
+    assert peak < 40 * len(data)
+
+
+def test_no_place_in_few_bytes():
+    few = np.zeros(3, np.uint8)
+    assert len(parsing.repeated_places(few, np.array([0, 3]), np.zeros(0, np.int64), 400)) == 0
+
+
 def _passages(rng):
     """Texts that share passages around and beyond 400 bytes, one of them very often, and copies."""
     word = lambda: "".join(rng.choice("abcdefgh é") for _ in range(rng.randint(1, 9)))
