@@ -5,12 +5,16 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from ..functions.core import pairs
+from ..functions.draws import key
+from ..functions.inside import beside, by_pattern, near, near_each, plus_one, shuffles, uniform_points
 from ..functions.draws import key, replicates, shuffled, uniform
 
 KEY = "pattern_id"
@@ -78,19 +82,35 @@ def interpretation(flags: Column, p: Column, alpha: float) -> Column:
     return F.when(flags != "", F.concat(F.lit("suppressed: "), flags)).when(p.isNull(), "unavailable").when(p <= alpha, "structure beyond the null").otherwise("compatible with the null")
 
 
+def block_share(m: np.ndarray, x: np.ndarray, y: np.ndarray, ids: np.ndarray, width: float, n: int, seed: int, groups: np.ndarray | None = None) -> tuple[float, float, float, float] | None:
+    """One pattern's share, mean, sd and p of `block_share_null`; None where the marks have no spread."""
+    p, v = np.nanmean(m), np.nanvar(m)
+    if not v > 0:
+        return None
+    block = [np.nan_to_num(np.floor(c / width), nan=np.inf) for c in (x, y)]
+    order = np.lexsort(block)
+    new = np.any([b[order][1:] != b[order][:-1] for b in block], 0)
+    starts, out = np.r_[0, np.flatnonzero(new) + 1], []
+    for marks in shuffles(m, ids, n, seed, groups):
+        marks = marks[:, order]
+        k = np.add.reduceat((~np.isnan(marks)).astype(float), starts, axis=1)
+        b = np.add.reduceat(np.nan_to_num(marks), starts, axis=1) / np.where(k > 0, k, 1)
+        out.append((k * (b - p) ** 2).sum(1) / k.sum(1) / v)
+    s = np.concatenate(out)
+    null = s[1:]
+    return s[0], null.mean(), null.std(ddof=1) if n > 1 else np.nan, plus_one(null, s[0])
+
+
 def block_share_null(points: DataFrame, width: float, n: int, seed: int, stratum: str | None = None, mark: str = "mark") -> DataFrame:
     """Variance of the mean mark of square blocks over the variance of all marks, against shuffled
     marks, within strata if given -> pattern_id, share, mean, sd, p."""
-    within = [KEY, *[stratum] * bool(stratum)]
-    own = points.select(*dict.fromkeys([*within, "idx", mark]))
-    every = own.withColumn("replicate", F.lit(0)).unionByName(shuffled(own, within, ["idx"], [mark], n, seed)).select(KEY, "idx", "replicate", F.col(mark).cast("double").alias("m"))
-    block = points.select(KEY, "idx", F.floor(F.col("x") / width).alias("bx"), F.floor(F.col("y") / width).alias("bz"))
-    means = every.join(block, [KEY, "idx"]).groupBy(KEY, "replicate", "bx", "bz").agg(F.avg("m").alias("b"), F.count(F.lit(1)).alias("k"))
-    spread = points.groupBy(KEY).agg(F.avg(mark).alias("p"), F.var_pop(mark).alias("v")).where("v > 0")
-    share = means.join(spread, KEY).groupBy(KEY, "replicate").agg((F.sum(F.col("k") * (F.col("b") - F.col("p")) * (F.col("b") - F.col("p"))) / F.sum("k") / F.first("v")).alias("s"))
-    seen = share.where("replicate = 0").select(KEY, F.col("s").alias("share"))
-    null = share.where("replicate > 0").join(seen, KEY)
-    return null.groupBy(KEY, "share").agg(F.avg("s").alias("mean"), F.stddev_samp("s").alias("sd"), ((1 + F.count(F.when(F.col("s") >= F.col("share") - 1e-12, 1))) / (n + 1)).alias("p"))
+
+    def run(_, pdf: pd.DataFrame) -> pd.DataFrame | None:
+        m, x, y = (pdf[c].to_numpy(float) for c in (mark, "x", "y"))
+        got = block_share(m, x, y, pdf["idx"].to_numpy(), width, n, seed, pd.factorize(pdf[stratum])[0] if stratum else None)
+        return got and pd.DataFrame([got], columns=["share", "mean", "sd", "p"])
+
+    return by_pattern(points, ["idx", "x", "y", mark, *[stratum] * bool(stratum)], run, "share double, mean double, sd double, p double")
 
 
 def null_sensitivity(free: DataFrame, within: DataFrame, alpha: float) -> DataFrame:

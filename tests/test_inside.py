@@ -15,6 +15,7 @@ from tessella.plans import registry
 #: Queries whose points are dealt by pattern once and never written as a row a point and shuffle.
 WHOLE = [
     "assay_summary",
+    "block_share_test",
 ]
 
 
