@@ -17,6 +17,7 @@ WHOLE = [
     "assay_summary",
     "block_share_test",
     "repeated_permutation",
+    "rejection_rates",
 ]
 
 
