@@ -18,6 +18,7 @@ WHOLE = [
     "block_share_test",
     "repeated_permutation",
     "rejection_rates",
+    "null_sensitivity",
 ]
 
 
