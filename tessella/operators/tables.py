@@ -40,8 +40,13 @@ def nearest_rank(points: DataFrame, share: float, value: str, *by: str) -> DataF
 def validation_flags(points: DataFrame, least: int, least_marked: int, least_unmarked: int, low: float, high: float, *by: str) -> DataFrame:
     """Which minimum requirements a pattern misses."""
     s = points.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.sum("mark").alias("m"))
+    return s.select(*by, "n", flags(least, least_marked, least_unmarked, low, high).alias("flags"))
+
+
+def flags(least: int, least_marked: int, least_unmarked: int, low: float, high: float) -> Column:
+    """What n cells of which m are marked miss."""
     tests = {"too_few_cells": F.col("n") < least, "too_few_marked": F.col("m") < least_marked, "too_few_unmarked": F.col("n") - F.col("m") < least_unmarked, "prevalence_out_of_range": (F.col("m") / F.col("n") < low) | (F.col("m") / F.col("n") > high)}
-    return s.select(*by, "n", F.concat_ws(",", *[F.when(t, name) for name, t in tests.items()]).alias("flags"))
+    return F.concat_ws(",", *[F.when(t, name) for name, t in tests.items()])
 
 
 def quadrats(points: DataFrame, width: float, *by: str) -> DataFrame:

@@ -19,6 +19,7 @@ WHOLE = [
     "repeated_permutation",
     "rejection_rates",
     "null_sensitivity",
+    "marked_analysis",
 ]
 
 
