@@ -20,6 +20,7 @@ WHOLE = [
     "rejection_rates",
     "null_sensitivity",
     "marked_analysis",
+    "analysis_report",
 ]
 
 
