@@ -263,18 +263,15 @@ def matching_loss(summaries: DataFrame, scale: DataFrame) -> DataFrame:
 def close_pair_check(points: DataFrame, radius: float, window: tuple[float, float, float, float], n: int, seed: int) -> DataFrame:
     """Close pairs of each pattern against as many uniform points, n times -> pattern_id, observed,
     mean, low and high (2.5 and 97.5 % nearest rank), p_high."""
-    x0, y0, x1, y1 = window
-    size = points.groupBy(KEY).agg(F.count(F.lit(1)).alias("n"))
-    sim = replicates(size, n).select(KEY, "replicate", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)).alias("idx"))
-    sim = sim.withColumn("x", x0 + (x1 - x0) * uniform(seed, KEY, "replicate", "idx")).withColumn("y", y0 + (y1 - y0) * uniform(seed + 1, KEY, "replicate", "idx"))
-    apart = F.struct(KEY, "replicate").alias("run")
-    close = pairs(sim.withColumn("run", apart), None, radius, key="run", unordered=True).groupBy("run").agg(F.count(F.lit(1)).alias("k"))
-    k = replicates(size.select(KEY), n).join(close.select("run.*", "k"), [KEY, "replicate"], "left").fillna(0, ["k"])
-    seen = size.select(KEY).join(pairs(points, None, radius, unordered=True).groupBy(KEY).agg(F.count(F.lit(1)).alias("observed")), KEY, "left").fillna(0, ["observed"])
-    own = Window.partitionBy(KEY).orderBy("k", "replicate")
-    rank = k.withColumn("r", F.row_number().over(own)).join(seen, KEY)
-    at = lambda p: F.max(F.when(F.col("r") == max(1, math.ceil(p * n)), F.col("k")))
-    return rank.groupBy(KEY, "observed").agg(F.avg("k").alias("mean"), at(0.025).alias("low"), at(0.975).alias("high"), ((1 + F.count(F.when(F.col("k") >= F.col("observed"), 1))) / (n + 1)).alias("p_high"))
+
+    def run(of, pdf: pd.DataFrame) -> pd.DataFrame:
+        seen = sum(len(i) for i, _, _ in near(pdf["x"].to_numpy(float), pdf["y"].to_numpy(float), radius))
+        count = lambda x, y: sum(np.bincount(i // len(pdf), minlength=len(x)) for i, _, _ in near_each(x, y, radius)) + np.zeros(len(x), int)
+        k = np.concatenate([count(*p) for p in uniform_points(of, len(pdf), window, n, seed)])
+        at = lambda p: np.sort(k)[max(1, math.ceil(p * n)) - 1]
+        return pd.DataFrame({"observed": [seen], "mean": [k.mean()], "low": [at(0.025)], "high": [at(0.975)], "p_high": [plus_one(k, seen)]})
+
+    return by_pattern(points, ["x", "y"], run, "observed long, mean double, low long, high long, p_high double", order=None)
 
 
 def calibration(scores: DataFrame, by: str, label: str = "label", score: str = "score", eps: float = 1e-6) -> DataFrame:

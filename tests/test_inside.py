@@ -22,6 +22,7 @@ WHOLE = [
     "marked_analysis",
     "analysis_report",
     "border_k_envelope",
+    "close_pair_check",
 ]
 
 
