@@ -25,6 +25,7 @@ WHOLE = [
     "close_pair_check",
     "cross_k_envelope",
     "mapper_nodes",
+    "mapper_edges",
 ]
 
 
