@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.core import envelope_bands, pairs
-from ..functions.draws import shuffled
+from ..functions.core import pairs
+from ..functions.inside import BANDS, band_rows, by_pattern, counted, near, shuffles
 
 KEY = "pattern_id"
 
@@ -72,17 +74,26 @@ def registration_qc(landmarks: DataFrame, affine: Sequence[float], multiplier: f
 def cross_interaction(cells: DataFrame, label_pairs: Sequence[tuple[str, str]], width: float, most: float, n: int, seed: int, alpha: float, label: str = "primary", section: str = "section") -> DataFrame:
     """Unordered pairs of two labels per distance bin, with the global envelope over labels shuffled
     within sections -> pattern_id, a, b, bin, observed, lower, upper, outside, p_global."""
-    bins = -(-most // width)
-    own = cells.select(KEY, section, "idx", label)
-    labels = own.withColumn("replicate", F.lit(0)).unionByName(shuffled(own, [KEY, section], ["idx"], [label], n, seed))
-    met = pairs(cells, None, most, unordered=True).select(KEY, "i", "j", F.least(F.floor(F.sqrt("d2") / width), F.lit(bins - 1)).cast("int").alias("bin"))
-    of = lambda side, name: labels.select(KEY, F.col("idx").alias(side), "replicate", F.col(label).alias(name))
-    seen = met.join(of("i", "li"), [KEY, "i"]).join(of("j", "lj"), [KEY, "j", "replicate"])
-    wanted = F.broadcast(cells.sparkSession.createDataFrame([(min(p), max(p)) for p in label_pairs], "a string, b string"))
-    counts = seen.select(KEY, "replicate", "bin", F.least("li", "lj").alias("a"), F.greatest("li", "lj").alias("b")).join(wanted, ["a", "b"]).groupBy(KEY, "a", "b", "replicate", "bin").agg(F.count(F.lit(1)).cast("double").alias("value"))
-    grid = cells.select(KEY).distinct().crossJoin(wanted).withColumn("replicate", F.explode(F.sequence(F.lit(0), F.lit(n)))).withColumn("bin", F.explode(F.sequence(F.lit(0), F.lit(int(bins) - 1))))
-    full = grid.join(counts, [KEY, "a", "b", "replicate", "bin"], "left").fillna(0.0, ["value"])
-    return envelope_bands(full, [KEY, "a", "b"], alpha)
+    bins = int(-(-most // width))
+    wanted = [(min(p), max(p)) for p in label_pairs]
+    names = sorted({c for p in wanted for c in p})
+
+    def run(_, pdf: pd.DataFrame) -> pd.DataFrame:
+        x, y, k = pdf["x"].to_numpy(float), pdf["y"].to_numpy(float), len(names)
+        labels = pd.Categorical(pdf[label], categories=names).codes.astype(np.int64)  # any other label: -1
+        curves = []
+        for drawn in shuffles(labels, pdf["idx"].to_numpy(), n, seed, pd.factorize(pdf[section], use_na_sentinel=False)[0]):
+            total = np.zeros((len(drawn), bins * k * k), np.int64)
+            for i, j, d2 in near(x, y, most):
+                bin_ = np.minimum(np.floor(np.sqrt(d2) / width), bins - 1).astype(np.int64)
+                a, b = drawn[:, i], drawn[:, j]
+                low, high = np.minimum(a, b), np.maximum(a, b)
+                total += counted(np.where(low < 0, -1, (low * k + high) * bins + bin_), bins * k * k)
+            curves.append(total.reshape(len(drawn), k, k, bins).astype(float))
+        every = np.concatenate(curves)
+        return pd.concat([band_rows(every[:, names.index(a), names.index(b)], range(bins), alpha, a=a, b=b) for a, b in wanted])
+
+    return by_pattern(cells, ["idx", "x", "y", label, section], run, "a string, b string, " + BANDS)
 
 
 def territory_profiles(cells: DataFrame, centres: DataFrame, radius: float, label: str = "primary") -> DataFrame:

@@ -28,6 +28,7 @@ WHOLE = [
     "mapper_edges",
     "embedding_envelope",
     "anisotropy_null",
+    "cross_interaction",
 ]
 
 
