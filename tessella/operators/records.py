@@ -15,7 +15,6 @@ from pyspark.sql.window import Window
 from ..functions.core import pairs
 from ..functions.draws import key
 from ..functions.inside import beside, by_pattern, near, near_each, plus_one, shuffles, uniform_points
-from ..functions.draws import key, replicates, shuffled, uniform
 
 KEY = "pattern_id"
 _COMPARE = {"at_least": Column.__ge__, "above": Column.__gt__, "at_most": Column.__le__, "below": Column.__lt__}
@@ -183,8 +182,6 @@ def compartment_contact(raster: DataFrame, width: float) -> DataFrame:
 def compartment_fragments(raster: DataFrame, width: float, rounds: int = 400) -> DataFrame:
     """Components of each compartment's raster cells that share sides: their number, the largest one's
     share of the area, entropy of the areas in nats and over its maximum."""
-    import pandas as pd
-
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         cells, sizes = set(zip(pdf["gx"].tolist(), pdf["gy"].tolist())), []
         while cells:
@@ -221,15 +218,24 @@ def exact_max_t(rows: DataFrame, endpoint: str, unit: str, first: Sequence[int],
 def interference(points: DataFrame, radius: float, n: int, seed: int, treated: str = "mark", outcome: str = "value") -> DataFrame:
     """Mean outcome difference of untreated units with and without a treated neighbour, against
     treatments shuffled within the pattern -> pattern_id, exposed, isolated, effect, p (two-sided)."""
-    own = points.select(KEY, "idx", treated)
-    every = own.withColumn("replicate", F.lit(0)).unionByName(shuffled(own, [KEY], ["idx"], [treated], n, seed))
-    met = pairs(points, None, radius).select(KEY, "i", F.col("j").alias("idx")).join(every, [KEY, "idx"]).groupBy(KEY, "replicate", F.col("i").alias("idx")).agg(F.max(treated).alias("near"))
-    units = every.where(F.col(treated) == 0).join(points.select(KEY, "idx", F.col(outcome).alias("o")), [KEY, "idx"]).join(met, [KEY, "replicate", "idx"], "left").withColumn("near", F.coalesce("near", F.lit(0)))
-    at = lambda v: F.when(F.col("near") == v, F.col("o"))
-    e = units.groupBy(KEY, "replicate").agg(F.count(at(1)).alias("exposed"), F.count(at(0)).alias("isolated"), (F.avg(at(1)) - F.avg(at(0))).alias("effect"))
-    seen = e.where("replicate = 0").drop("replicate")
-    null = e.where("replicate > 0").select(KEY, F.col("effect").alias("null")).join(seen, KEY)
-    return null.groupBy(KEY, "exposed", "isolated", "effect").agg(((1 + F.count(F.when(F.abs("null") >= F.abs("effect") - 1e-12, 1))) / (n + 1)).alias("p"))
+
+    def run(_, pdf: pd.DataFrame) -> pd.DataFrame | None:
+        x, y, t, o = (pdf[c].to_numpy(float) for c in ("x", "y", treated, outcome))
+        known, value, effects, seen = ~np.isnan(o), np.nan_to_num(o), [], None
+        for marks in shuffles(t, pdf["idx"].to_numpy(), n, seed):
+            near_one, free = beside((marks > 0).astype(float), near(x, y, radius)) > 0, marks == 0
+            one, none = free & near_one, free & ~near_one
+            if seen is None:
+                seen = int((one[0] & known).sum()), int((none[0] & known).sum())
+            with np.errstate(invalid="ignore", divide="ignore"):
+                effects.append((one @ value) / (one @ known.astype(float)) - (none @ value) / (none @ known.astype(float)))
+        if not (t == 0).any():
+            return None
+        e = np.concatenate(effects)
+        p = (1 + (np.abs(e[1:]) >= abs(e[0]) - 1e-12).sum()) / (n + 1)
+        return pd.DataFrame({"exposed": [seen[0]], "isolated": [seen[1]], "effect": [e[0]], "p": [p]})
+
+    return by_pattern(points, ["idx", "x", "y", treated, outcome], run, "exposed long, isolated long, effect double, p double")
 
 
 def information_gain(rows: DataFrame, by: str, prior: float, noise: float) -> DataFrame:

@@ -29,6 +29,7 @@ WHOLE = [
     "embedding_envelope",
     "anisotropy_null",
     "cross_interaction",
+    "interference_test",
 ]
 
 
