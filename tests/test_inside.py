@@ -31,6 +31,7 @@ WHOLE = [
     "cross_interaction",
     "interference_test",
     "local_moran_max_t",
+    "stratified_hotspots",
 ]
 
 
