@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.core import envelope_bands, pairs
-from ..functions.draws import key, shuffled
-from ..operators import fusion
+from ..functions.draws import key
+from ..operators import extras, fusion
 from .queries import PR, PTS, draw, q, query, shuffle
 
 AFFINE = (0.0, -1.0, 1000.0, 1.0, 0.0, 0.0)
@@ -102,7 +102,7 @@ def territory_comparison(pts):
     kv AS (SELECT p.pattern_id, x.replicate, bin, avg((x.mark - m) * (y.mark - m)) AS v FROM pb p JOIN al x ON x.pattern_id = p.pattern_id AND x.idx = p.i JOIN al y ON y.pattern_id = p.pattern_id AND y.idx = p.j AND y.replicate = x.replicate JOIN mu ON mu.pattern_id = p.pattern_id GROUP BY ALL),
     cv AS (SELECT pattern_id, replicate, bin, round(v, 9) AS value FROM kv), {bands('cv', 'pattern_id', 0.05)} SELECT pattern_id, bin::INT AS bin, {BAND} FROM band""")
 def mark_covariance_envelope(pts):
-    return _pair_envelope(pts, "mark", lambda a, b, m: F.avg((a - m) * (b - m)), 62)
+    return _pair_envelope(pts, "mark", lambda a, b, m: (a - m) * (b - m), 62)
 
 
 @query(f"""WITH {PTS}, {PR}, {shuffle('sm', 'pts', 'pattern_id', 'idx', 'value', 39, 63)}, al AS (SELECT pattern_id, 0 AS replicate, idx, value AS u FROM pts UNION ALL SELECT pattern_id, replicate, idx, value FROM sm),
@@ -110,17 +110,15 @@ def mark_covariance_envelope(pts):
     kv AS (SELECT p.pattern_id, x.replicate, bin, avg(0.5 * (x.u - y.u) * (x.u - y.u)) AS v FROM pb p JOIN al x ON x.pattern_id = p.pattern_id AND x.idx = p.i JOIN al y ON y.pattern_id = p.pattern_id AND y.idx = p.j AND y.replicate = x.replicate GROUP BY ALL),
     cv AS (SELECT pattern_id, replicate, bin, round(v, 9) AS value FROM kv), {bands('cv', 'pattern_id', 0.05)} SELECT pattern_id, bin::INT AS bin, {BAND} FROM band""")
 def semivariogram_envelope(pts):
-    return _pair_envelope(pts, "value", lambda a, b, m: F.avg(0.5 * (a - b) * (a - b)), 63)
+    return _pair_envelope(pts, "value", lambda a, b, m: 0.5 * (a - b) * (a - b), 63)
 
 
 def _pair_envelope(pts, mark: str, statistic, seed: int):
     """The curve of a pair statistic by shell against shuffled marks; m is the pattern's mean mark."""
-    own = pts.select("pattern_id", "idx", F.col(mark).cast("double").alias("u"))
-    every = own.withColumn("replicate", F.lit(0)).unionByName(shuffled(own, ["pattern_id"], ["idx"], ["u"], 39, seed))
-    shell = F.when(F.col("d2") <= 225, 0).when(F.col("d2") <= 900, 1).otherwise(2)
-    met = pairs(pts, None, 50.0, unordered=True).select("pattern_id", "i", "j", shell.alias("bin"))
-    of = lambda side, name: every.select("pattern_id", F.col("idx").alias(side), "replicate", F.col("u").alias(name))
-    mean = own.groupBy("pattern_id").agg(F.avg("u").alias("m"))
-    both = met.join(of("i", "a"), ["pattern_id", "i"]).join(of("j", "b"), ["pattern_id", "j", "replicate"]).join(mean, "pattern_id")
-    curves = both.groupBy("pattern_id", "replicate", "bin").agg(F.round(statistic(F.col("a"), F.col("b"), F.col("m")), 9).alias("value"))
-    return envelope_bands(curves, ["pattern_id"], 0.05)
+
+    def of(drawn, i, j, pdf):
+        v = pdf[mark].to_numpy(float)
+        return statistic(v[drawn[:, i]], v[drawn[:, j]], np.nanmean(v))
+
+    shell = lambda d2: np.where(d2 <= 225, 0, np.where(d2 <= 900, 1, 2))
+    return extras.pair_envelope(pts, [mark], 50.0, shell, 3, of, 39, seed, 0.05)

@@ -32,6 +32,7 @@ WHOLE = [
     "interference_test",
     "local_moran_max_t",
     "stratified_hotspots",
+    "mark_covariance_envelope",
 ]
 
 
