@@ -33,6 +33,7 @@ WHOLE = [
     "local_moran_max_t",
     "stratified_hotspots",
     "mark_covariance_envelope",
+    "semivariogram_envelope",
 ]
 
 
