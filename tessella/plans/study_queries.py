@@ -41,7 +41,7 @@ def _half(stratum: str) -> str:
 @query(f"""WITH a AS {_half('F')}, b AS {_half('O')} SELECT pattern_id, CASE WHEN a.pattern_id IS NULL THEN 'only_after' WHEN b.pattern_id IS NULL THEN 'only_before' ELSE 'paired' END AS status, {q('b.moran_i - a.moran_i')} AS moran_i_change, abs(b.moran_i - a.moran_i) <= 0.05 AS moran_i_within,
     {q('b.l - a.l')} AS l_change, abs(b.l - a.l) <= 1.0 AS l_within FROM a FULL JOIN b USING (pattern_id)""")
 def paired_analysis(pts):
-    a, b = (_analysis(pts.where(F.col("stratum") == s)) for s in "FO")
+    a, b = (studies.readouts(pts.where(F.col("stratum") == s), 30.0, WINDOW) for s in "FO")
     return studies.paired_analysis(a, b, {"moran_i": 0.05, "l": 1.0})
 
 

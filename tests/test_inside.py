@@ -36,6 +36,7 @@ WHOLE = [
     "semivariogram_envelope",
     "motif_null",
     "spectral_null",
+    "paired_analysis",
 ]
 
 
